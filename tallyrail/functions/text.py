@@ -33,6 +33,11 @@ def has_keywords(payload: str, keywords: Iterable[str], like: bool = False) -> C
     return reduce(and_, tests)
 
 
+def amount_text(amount: str) -> Column:
+    """Amount for display, with thousands separators and two decimals."""
+    return F.format_number(amount, 2)
+
+
 def category_code(code: str) -> Column:
     """Merchant category code with blanks removed and short codes padded to four digits."""
     text = F.trim(code)

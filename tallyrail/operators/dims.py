@@ -1,7 +1,8 @@
 """Dimension lookups.
 
-No join here is forced to broadcast: Catalyst (and AQE at run time) broadcasts a dimension when its size
-is below `spark.sql.autoBroadcastJoinThreshold`, and shuffles it otherwise.
+Reports join dimensions to counts, not to logs, and leave the strategy to Catalyst and AQE, which broadcast
+below `spark.sql.autoBroadcastJoinThreshold`. Only a lookup on log rows asks for a broadcast, through
+`broadcast_if_small`, which counts the dimension first.
 """
 
 from __future__ import annotations
@@ -14,17 +15,29 @@ from pyspark.sql import functions as F
 from tallyrail import config, schemas
 
 
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Ask for a broadcast if the dimension has at most `rows` rows, else leave the join as it is.
+
+    The count runs when the query is built, so give it a dimension table, not something made from a log.
+    """
+    small = dimension.limit(rows + 1).count() <= rows
+    return F.broadcast(dimension) if small else dimension
+
+
 def channel_ranks(spark: SparkSession, ranks: Iterable[tuple] = config.CHANNEL_RANKS) -> DataFrame:
-    return spark.createDataFrame(list(ranks), schemas.CHANNEL_RANK)
+    return schemas.literal_table(spark, ranks, schemas.CHANNEL_RANK)
 
 
 def channel_labels(spark: SparkSession, labels: Iterable[tuple] = config.CHANNEL_LABELS) -> DataFrame:
-    return spark.createDataFrame(list(labels), schemas.CHANNEL_LABEL)
+    return schemas.literal_table(spark, labels, schemas.CHANNEL_LABEL)
 
 
 def message_families(spark: SparkSession,
                      families: Mapping[str, str] = config.MESSAGE_FAMILIES) -> DataFrame:
-    return spark.createDataFrame(list(families.items()), "trx_cd string, family string")
+    return schemas.literal_table(spark, families.items(), schemas.MESSAGE_FAMILY)
 
 
 def label_channels(df: DataFrame, labels: DataFrame, default: str = config.OTHER_LABEL) -> DataFrame:
@@ -62,8 +75,8 @@ def catalog_rows(catalog: DataFrame, name: str, channel: str | None = None,
 def extend_catalog(catalog: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
     """Add literal rows to a catalog; columns not given are NULL."""
     names = schemas.CATALOG.fieldNames()
-    extra = catalog.sparkSession.createDataFrame(
-        [tuple(row.get(c) for c in names) for row in rows], schemas.CATALOG)
+    extra = schemas.literal_table(
+        catalog.sparkSession, [tuple(row.get(c) for c in names) for row in rows], schemas.CATALOG)
     return catalog.unionByName(extra, allowMissingColumns=True)
 
 

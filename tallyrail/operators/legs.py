@@ -1,13 +1,15 @@
 """Request/response pairing, unanswered requests and the unified activity view.
 
-A report never needs the pairs themselves, only sums over them. So both legs are first collapsed per
-correlation key (with map-side combine) and joined as counts: a key with `n` requests and `m` responses
-costs one joined row instead of `n * m` pairs, and the sums are the same as over the plain self-join.
+A report never needs the pairs themselves, only counts over them. So both legs are first collapsed per
+correlation key (with map-side combine): a key with `n` requests and `m` responses costs one row instead
+of `n * m` pairs, and the products of the counts add up to what the plain self-join would count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,38 +32,65 @@ def responses(log: DataFrame) -> DataFrame:
 
 
 def approval_measures(code: str | Column = "resp_cd") -> dict[str, Column]:
-    return {"approve": n_where(is_approved(code)), "tot": n_rows()}
+    """Conditions a response is counted under, by result column."""
+    return {"approve": is_approved(code), "tot": F.lit(True)}
 
 
 def error_measures(code: str | Column = "resp_cd",
                    customer_codes: Sequence[str] = config.CUSTOMER_CODES) -> dict[str, Column]:
     return {
-        "volume": n_rows(),
-        "errors": n_where(is_error(code)),
-        "service_errors": n_where(is_service_error(code, customer_codes)),
+        "volume": F.lit(True),
+        "errors": is_error(code),
+        "service_errors": is_service_error(code, customer_codes),
     }
 
 
+def counted(measures: Mapping[str, Column]) -> list[Column]:
+    return [n_where(condition).alias(name) for name, condition in measures.items()]
+
+
 def pair_sums(request_legs: DataFrame, response_legs: DataFrame, keys: Sequence[str], by: Sequence[str],
               measures: Mapping[str, Column], by_response: Sequence[str] = ()) -> DataFrame:
-    """Sum additive response measures over all request/response pairs with equal keys.
+    """Count request/response pairs with equal keys, one column per response condition.
 
-    `by` are request columns, `by_response` response columns; names must differ. `measures` are
-    aggregates over response rows that add up (counts, sums). With no grouping, one row always results.
+    `by` are request columns, `by_response` response columns; names must differ. With no grouping, one
+    row always results.
     """
     extra = [c for c in by if c not in keys]
     left = request_legs.groupBy(*keys, *extra).agg(n_rows().alias("_requests"))
     right = response_legs.groupBy(*keys, *by_response).agg(
-        *[m.alias(f"_{name}") for name, m in measures.items()])
-    sums = [F.coalesce(F.sum(F.col("_requests") * F.col(f"_{name}")), F.lit(0)).alias(name)
+        *[n_where(condition).alias(f"_{name}") for name, condition in measures.items()])
+    return left.join(right, list(keys)).groupBy(*by, *by_response).agg(*_products(measures))
+
+
+def pair_sums_by_key(log: DataFrame, keys: Sequence[str], by: Sequence[str], measures: Mapping[str, Column],
+                     asked: Column | None = None, answered: Column | None = None) -> DataFrame:
+    """`pair_sums` for groupings that are part of the key: one scan, one shuffle on the key, no join.
+
+    `asked` and `answered` narrow the request and the response legs.
+    """
+    if not set(by) <= set(keys):
+        raise ValueError("group by key columns only")
+    is_request, is_response = F.col("io_cd") == "I", F.col("io_cd") == "O"
+    is_request = is_request if asked is None else is_request & asked
+    is_response = is_response if answered is None else is_response & answered
+    keyed = [F.col(k).isNotNull() for k in keys]
+    per_key = log.where(reduce(and_, keyed, is_request | is_response)).groupBy(*keys).agg(
+        n_where(is_request).alias("_requests"), n_where(is_response).alias("_responses"),
+        *[n_where(is_response & condition).alias(f"_{name}") for name, condition in measures.items()])
+    paired = per_key.where((F.col("_requests") > 0) & (F.col("_responses") > 0))
+    return paired.groupBy(*by).agg(*_products(measures))
+
+
+def _products(measures: Mapping[str, Column]) -> list[Column]:
+    return [F.coalesce(F.sum(F.col("_requests") * F.col(f"_{name}")), F.lit(0)).alias(name)
             for name in measures]
-    return left.join(right, list(keys)).groupBy(*by, *by_response).agg(*sums)
 
 
 def pair_counts(request_legs: DataFrame, response_legs: DataFrame, keys: Sequence[str],
                 by: Sequence[str], by_response: Sequence[str] = ("resp_cd",)) -> DataFrame:
     """Number of pairs per request and response column values."""
-    return pair_sums(request_legs, response_legs, keys, by, {"n": n_rows()}, by_response)
+    return pair_sums(request_legs, response_legs, keys, by, {"n": F.lit(True)}, by_response)
 
 
 def unanswered_requests(request_legs: DataFrame, response_legs: DataFrame,

@@ -9,23 +9,36 @@ from pyspark.sql import functions as F
 
 from tallyrail import config
 from tallyrail.functions.text import field_at, has_keywords
-from tallyrail.operators.dims import map_message_family
+from tallyrail.operators.dims import broadcast_if_small, map_message_family
 
 
-def message_layout(codes: DataFrame, layout: DataFrame, families: DataFrame, side: str = "I",
-                   common_side: str = "C", default_family: str = config.DEFAULT_FAMILY) -> DataFrame:
+UNLISTED = "*"
+
+
+def message_layout(layout: DataFrame, families: DataFrame, side: str = "I", common_side: str = "C",
+                   default_family: str = config.DEFAULT_FAMILY) -> DataFrame:
     """All fields of each message code: its own body fields and its family's common header fields.
 
-    `codes` lists the distinct message codes. A layout belongs to the code its id starts with.
+    A layout belongs to the code its id starts with. The code `*` stands for every message without an
+    entry; it has the default family's header only.
     """
     keyed = layout.withColumn("_map", F.substring("map_id", 1, 7))
-    body = codes.join(keyed.where(F.col("inout_cd") == side), F.col("trx_cd") == F.col("_map"))
+    body = keyed.where(F.col("inout_cd") == side).withColumn("trx_cd", F.col("_map"))
+    codes = (body.select("trx_cd").union(families.select("trx_cd")).distinct()
+             .union(layout.sparkSession.range(1).select(F.lit(UNLISTED).alias("trx_cd"))))
     common = map_message_family(codes, families, default_family).join(
         keyed.where(F.col("inout_cd") == common_side), F.col("family") == F.col("_map"))
     fields = ["trx_cd", "inout_cd", "seq_no", "field_nm", "field_len"]
     return body.select(fields).unionByName(common.select(fields))
 
 
+def with_layout_code(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Add `layout_cd`: the message code if `codes` lists it, else `*`."""
+    listed = codes.select(F.col("layout_cd").alias("_listed"))
+    joined = df.join(listed, F.col("trx_cd") == F.col("_listed"), "left")
+    return joined.withColumn("layout_cd", F.coalesce("_listed", F.lit(UNLISTED))).drop("_listed")
+
+
 def layout_offsets(fields: DataFrame, by: Sequence[str] = ("trx_cd",),
                    base: int = config.LAYOUT_BASE) -> DataFrame:
     """Start position of every field: base plus the lengths of all fields with a lower number."""
@@ -46,20 +59,26 @@ def named_field(offsets: DataFrame, names: Sequence[str], prefix: str) -> DataFr
                     F.col("_f.field_len").alias(f"{prefix}_len")))
 
 
-def layout_extract(log: DataFrame, offsets: DataFrame, payload: str = "log_data",
+def field_places(offsets: DataFrame) -> DataFrame:
+    """One row per message code with the places of its currency and amount; broadcast if small."""
+    codes = offsets.select("trx_cd").distinct()
+    places = (codes.join(named_field(offsets, config.CURRENCY_NAMES, "ccy"), ["trx_cd"], "left")
+              .join(named_field(offsets, config.AMOUNT_NAMES, "amt"), ["trx_cd"], "left"))
+    return broadcast_if_small(places.withColumnRenamed("trx_cd", "layout_cd"))
+
+
+def layout_extract(log: DataFrame, places: DataFrame, payload: str = "log_data",
                    scale: int = 0) -> DataFrame:
     """Currency and amount of every message, each by the layout of its own message code.
 
-    `scale` is the number of implied decimals in the amount text.
+    `places` comes from `field_places`; `scale` is the number of implied decimals in the amount text.
     """
-    places = named_field(offsets, config.CURRENCY_NAMES, "ccy").join(
-        named_field(offsets, config.AMOUNT_NAMES, "amt"), ["trx_cd"], "full")
     amount = F.expr("try_cast(trim(_amt) as decimal(18,2))") / F.lit(10 ** scale)
-    return (log.join(places, ["trx_cd"], "left")
+    return (with_layout_code(log, places).join(places, ["layout_cd"], "left")
             .withColumn("ccy", field_at(payload, "ccy_pos", "ccy_len"))
             .withColumn("_amt", field_at(payload, "amt_pos", "amt_len"))
             .withColumn("amt", amount.cast("decimal(18,2)"))
-            .drop("ccy_pos", "ccy_len", "amt_pos", "amt_len", "_amt"))
+            .drop("layout_cd", "ccy_pos", "ccy_len", "amt_pos", "amt_len", "_amt"))
 
 
 def search_payload(inbound: DataFrame, outbound: DataFrame, channel: str, keywords: Sequence[str],

@@ -12,9 +12,10 @@ from tallyrail.functions.timeaxis import MICROS, instant, slot_start
 from tallyrail.sources.readers import lookback
 
 
-def poll_at(log: DataFrame, as_of: datetime, minutes: int = 60, ts: str = "event_ts") -> DataFrame:
+def poll_at(log: DataFrame, as_of: datetime, minutes: int = 60, ts: str = "event_ts",
+            day: str | None = "trx_dt") -> DataFrame:
     """The rows one dashboard poll at `as_of` looks at."""
-    return lookback(log, as_of, minutes, ts).withColumn("poll_ts", instant(as_of))
+    return lookback(log, as_of, minutes, ts, day).withColumn("poll_ts", instant(as_of))
 
 
 def poll_every(log: DataFrame, every_minutes: int, minutes: int = 60, ts: str = "event_ts") -> DataFrame:

@@ -10,23 +10,25 @@ from pyspark.sql import functions as F
 from tallyrail import config
 from tallyrail.functions.rates import floor_pct
 from tallyrail.functions.timeaxis import MICROS, instant
-from tallyrail.operators.legs import KEYS_5, approval_measures, pair_sums, requests, responses
+from tallyrail.operators.legs import KEYS_5, approval_measures, counted, pair_sums, requests, responses
 from tallyrail.operators.spine import on_spine, with_keys
+from tallyrail.sources.readers import lagged_window
 
 DIRECTIONS = ("INC", "OUT")
 
 
 def with_window_no(log: DataFrame, as_of: datetime, lag: int, width: int, windows: int,
-                   ts: str = "reg_ts", inclusive: bool = False) -> DataFrame:
+                   ts: str = "reg_ts", inclusive: bool = False, day: str | None = "trx_dt") -> DataFrame:
     """Number each row's window; window 0 ended `lag` seconds before `as_of`, window k `k` widths earlier.
 
     Windows are half-open. With `inclusive`, a row on a boundary belongs to both neighbours.
     """
+    rows = lagged_window(log, as_of, lag, width * windows, ts, inclusive, day)
     age = F.unix_micros(instant(as_of)) - lag * MICROS - F.unix_micros(F.col(ts))
     size = F.lit(width * MICROS)
     newest = _div(age - 1, size)
     numbers = F.sequence(newest, _div(age, size)) if inclusive else F.array(newest)
-    return (log.withColumn("window_no", F.explode(numbers))
+    return (rows.withColumn("window_no", F.explode(numbers))
             .where(F.col("window_no").between(0, windows - 1)))
 
 
@@ -43,7 +45,7 @@ def throughput(inbound: DataFrame, outbound: DataFrame, as_of: datetime, lag: in
     asked = numbered(requests(inbound).where(F.col("bsns_cd") != config.ODS))
     inc = pair_sums(asked, responses(inbound), KEYS_5, ["window_no"], approval_measures())
     out = numbered(outbound).groupBy("window_no").agg(
-        *[m.alias(name) for name, m in approval_measures().items()])
+        *counted(approval_measures()))
     facts = inc.withColumn("direction", F.lit("INC")).unionByName(out.withColumn("direction", F.lit("OUT")))
     axis = with_keys(inbound.sparkSession.range(windows).withColumnRenamed("id", "window_no"),
                      "direction", DIRECTIONS)

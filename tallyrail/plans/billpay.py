@@ -13,18 +13,15 @@ from tallyrail.functions.rates import n_rows, round_pct
 from tallyrail.functions.text import field
 from tallyrail.functions.timeaxis import hour_label
 from tallyrail.operators.dims import catalog_rows
-from tallyrail.operators.digest import error_code_digest
+from tallyrail.operators.digest import digest, with_digest_rank
 from tallyrail.operators.legs import (
     KEYS_4, approval_measures, pair_counts, pair_sums, requests, responses)
 from tallyrail.plans.channels import with_two_rates
 
 
-def with_product(legs: DataFrame, catalog: DataFrame, name: str = config.BILLPAY_CATALOG,
-                 product_field: tuple[int, int] = config.PRODUCT_FIELD) -> DataFrame:
-    """Join the catalogued product (`product`) on a payload field (`product_cd`)."""
-    products = catalog_rows(catalog, name).select(
+def products(catalog: DataFrame, name: str = config.BILLPAY_CATALOG) -> DataFrame:
+    return catalog_rows(catalog, name).select(
         F.col("cnts_2").alias("product_cd"), F.col("cnts_4").alias("product"))
-    return legs.withColumn("product_cd", field("log_data", *product_field)).join(products, ["product_cd"])
 
 
 def _bill_requests(inbound: DataFrame, channels: Sequence[str], codes: Sequence[str]) -> DataFrame:
@@ -43,9 +40,7 @@ def billpay_monitor(inbound: DataFrame, catalog: DataFrame,
     asked = _bill_requests(inbound, channels, codes).withColumn(
         "product_cd", field("log_data", *product_field))
     sums = pair_sums(asked, responses(inbound), KEYS_4, ["product_cd"], approval_measures())
-    products = catalog_rows(catalog, config.BILLPAY_CATALOG).select(
-        F.col("cnts_2").alias("product_cd"), F.col("cnts_4").alias("product"))
-    named = sums.join(products, ["product_cd"]).groupBy("product").agg(
+    named = sums.join(products(catalog), ["product_cd"]).groupBy("product").agg(
         F.sum("approve").alias("approve"), F.sum("tot").alias("tot"))
     return (named.withColumn("rate", round_pct(F.col("approve"), F.col("tot")))
             .orderBy(F.desc("tot"), "product").limit(top))
@@ -62,20 +57,19 @@ def payload_counts(inbound: DataFrame, catalog: DataFrame,
                    product_field: tuple[int, int] = config.PRODUCT_FIELD) -> DataFrame:
     """Distinct payloads per day, channel, message code, product and response.
 
-    Payloads are compared by SHA-256, which keeps long texts out of the shuffles. Both legs are distinct
-    before they meet, and each side of the join sits on its own exchange, so AQE can split a hot key.
+    Payloads are compared by SHA-256, which keeps long texts out of the shuffles. A request meets each
+    response code of its key once. Both sides of the join sit directly on their exchange, so AQE can
+    split a hot key's requests over tasks.
     """
     group = ["trx_dt", "switch_id", "bsns_cd", "trx_cd", "product_cd"]
     asked = (_bill_requests(inbound, channels, [*payments, *inquiries])
              .withColumn("product_cd", field("log_data", *product_field))
              .withColumn("_payload", F.unhex(F.sha2("log_data", 256)))
-             .select(*KEYS_4, "bsns_cd", "trx_cd", "product_cd", "_payload").distinct())
+             .select(*KEYS_4, "bsns_cd", "trx_cd", "product_cd", "_payload"))
     answered = responses(inbound).select(*KEYS_4, "resp_cd").distinct()
     found = (asked.join(answered, list(KEYS_4)).select(*group, "resp_cd", "_payload").distinct()
              .groupBy(*group, "resp_cd").agg(n_rows().alias("n")))
-    products = catalog_rows(catalog, config.BILLPAY_CATALOG).select(
-        F.col("cnts_2").alias("product_cd"), F.col("cnts_4").alias("product"))
-    return found.join(products, ["product_cd"])
+    return found.join(products(catalog), ["product_cd"])
 
 
 def billpay_report(counts: DataFrame, inquiries: Sequence[str] = config.BILLPAY_INQUIRIES,
@@ -85,12 +79,13 @@ def billpay_report(counts: DataFrame, inquiries: Sequence[str] = config.BILLPAY_
     per_code = counts.withColumn("trx_type", payment_type(inquiries)).groupBy(*by, "resp_cd").agg(
         F.sum("n").alias("n"))
     n = F.col("n")
-    sums = per_code.groupBy(*by).agg(
+    sums = with_digest_rank(per_code, by).groupBy(*by).agg(
         F.sum("n").alias("volume"),
         F.coalesce(F.sum(F.when(is_error(), n)), F.lit(0)).alias("errors"),
         F.coalesce(F.sum(F.when(is_service_error(customer_codes=customer_codes), n)), F.lit(0))
-        .alias("service_errors"))
-    return with_two_rates(sums).join(error_code_digest(per_code, by), by, "left")
+        .alias("service_errors"),
+        digest().alias("error_codes"))
+    return with_two_rates(sums)
 
 
 def product_hours(inbound: DataFrame, catalog: DataFrame, product_cd: str,
@@ -105,6 +100,4 @@ def product_hours(inbound: DataFrame, catalog: DataFrame, product_cd: str,
              .withColumn("trx_type", payment_type(inquiries))
              .withColumn("hour", hour_label()))
     counts = pair_counts(asked, responses(inbound), KEYS_4, ["trx_dt", "hour", "trx_type", "product_cd"])
-    products = catalog_rows(catalog, config.BILLPAY_CATALOG).select(
-        F.col("cnts_2").alias("product_cd"), F.col("cnts_4").alias("product"))
-    return counts.join(products, ["product_cd"])
+    return counts.join(products(catalog), ["product_cd"])

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from tallyrail import config
 from tallyrail.config import ChannelRule
-from tallyrail.functions.codes import effective_resp_code, in_channels, is_error
+from tallyrail.functions.codes import effective_resp_code, in_channels, is_error, is_service_error
 from tallyrail.functions.rates import floor_pct, n_rows
 from tallyrail.functions.text import field
 from tallyrail.functions.timeaxis import hour_label
-from tallyrail.operators.digest import error_code_digest
+from tallyrail.operators.digest import digest, error_code_digest, with_digest_rank
 from tallyrail.operators.legs import (
-    KEYS_3, KEYS_4, KEYS_5, error_measures, pair_counts, pair_sums, requests, responses)
+    KEYS_3, KEYS_4, KEYS_5, counted, error_measures, pair_counts, pair_sums, pair_sums_by_key, requests,
+    responses)
 
 CHANNEL = ("trx_dt", "switch_id", "bsns_cd")
+LEG_ORDER = ("io_cd", "n", "resp_cd")
 
 
 def with_two_rates(sums: DataFrame) -> DataFrame:
@@ -36,14 +38,15 @@ def two_rate_summary(inbound: DataFrame, outbound: DataFrame,
                      outbound_bsns: str = config.OUTBOUND_BSNS) -> DataFrame:
     """Volume and both success rates per channel: answered inbound requests and outbound calls.
 
-    The inbound grouping is part of the pairing key, so each leg is shuffled once and both meet there.
+    The inbound grouping is part of the pairing key: one scan and one shuffle on the key pair the legs.
     """
-    inc = pair_sums(requests(inbound).where(in_channels(inbound_rules)), responses(inbound), KEYS_5,
-                    CHANNEL, error_measures(customer_codes=customer_codes))
+    measures = error_measures(customer_codes=customer_codes)
+    listed = inbound.where(F.col("switch_id").isin([r.switch_id for r in inbound_rules]))
+    inc = pair_sums_by_key(listed, KEYS_5, CHANNEL, measures, asked=in_channels(inbound_rules))
     out = (outbound.where(in_channels(outbound_rules))
            .select("trx_dt", "switch_id", F.lit(outbound_bsns).alias("bsns_cd"),
                    effective_resp_code().alias("resp_cd"))
-           .groupBy(*CHANNEL).agg(*_named(error_measures(customer_codes=customer_codes))))
+           .groupBy(*CHANNEL).agg(*counted(measures)))
     both = inc.unionByName(out).groupBy(*CHANNEL).agg(
         *[F.sum(c).alias(c) for c in ("volume", "errors", "service_errors")])
     return with_two_rates(both)
@@ -65,16 +68,16 @@ def leg_mix_summary(counts: DataFrame) -> DataFrame:
     """Volume from request legs and calls, errors from response legs and calls, with an error digest."""
     leg, n = F.col("io_cd"), F.col("n")
     failed = leg.isin("O", "A") & is_error()
-    sums = counts.groupBy(*CHANNEL).agg(
+    ranked = with_digest_rank(counts, CHANNEL, LEG_ORDER, only=leg.isin("O", "A"))
+    sums = ranked.groupBy(*CHANNEL).agg(
         F.coalesce(F.sum(F.when(leg.isin("I", "A"), n)), F.lit(0)).alias("volume"),
-        F.coalesce(F.sum(F.when(failed, n)), F.lit(0)).alias("errors"))
-    return (sums.withColumn("success_rate", floor_pct(F.col("volume") - F.col("errors"), F.col("volume")))
-            .join(leg_digest(counts), list(CHANNEL), "left"))
+        F.coalesce(F.sum(F.when(failed, n)), F.lit(0)).alias("errors"),
+        digest().alias("error_codes"))
+    return sums.withColumn("success_rate", floor_pct(F.col("volume") - F.col("errors"), F.col("volume")))
 
 
 def leg_digest(counts: DataFrame) -> DataFrame:
-    return error_code_digest(counts.where(F.col("io_cd").isin("O", "A")), CHANNEL,
-                             order=("io_cd", "n", "resp_cd"))
+    return error_code_digest(counts, CHANNEL, LEG_ORDER, only=F.col("io_cd").isin("O", "A"))
 
 
 def active_channels(inbound: DataFrame, outbound: DataFrame,
@@ -103,20 +106,20 @@ def catalog_counts(inbound: DataFrame, outbound: DataFrame, catalog: DataFrame,
     a response code count zero.
     """
     used = ["switch_id", "bsns_cd", "trx_cd"]
-    asked, answered = requests(inbound), responses(inbound)
+    # A channel that needs equal business codes on both legs gets them as part of its key.
     strict = F.col("switch_id").isin(list(strict_channels))
+    keyed = inbound.withColumn("_own", F.when(strict, F.col("bsns_cd")).otherwise(F.lit("")))
+    asked, answered = requests(keyed), responses(keyed)
     by_request = F.lit(False)
     for channel, codes in (request_coded or {}).items():
         by_request = by_request | (
             (F.col("switch_id") == channel) & F.coalesce(F.col("trx_cd").isin(list(codes)), F.lit(False)))
 
-    parts = [pair_counts(asked.where(~by_request & ~strict), answered, KEYS_4, used)]
-    if strict_channels:
-        own = asked.where(~by_request & strict & (F.col("bsns_cd") != config.ODS))
-        parts.append(pair_counts(own, answered, KEYS_5, used))
+    usual = asked.where(~by_request & (~strict | (F.col("bsns_cd") != config.ODS)))
+    parts = [pair_counts(usual, answered, [*KEYS_4, "_own"], used)]
     if request_coded:
         parts.append(pair_sums(asked.where(by_request), answered, KEYS_3, [*used, "resp_cd"],
-                               {"n": n_rows()}))
+                               {"n": F.lit(True)}))
     for channel, feeds in outbound_feeds.items():
         calls = outbound.where(F.col("switch_id").isin(list(feeds))
                                & F.col("trx_cd").startswith(outbound_prefix))
@@ -141,28 +144,22 @@ CODE = ("switch_id", "bsns_cd", "trx_cd")
 
 def catalog_coverage(counts: DataFrame) -> DataFrame:
     """Volume, success percent and error digest of every catalogued code; no rate for unused codes."""
-    sums = _code_sums(counts, ())
-    digest = error_code_digest(counts.where(F.col("n") > 0), CODE)
-    rated = sums.withColumn("success_rate", floor_pct(F.col("volume") - F.col("errors"), F.col("volume")))
-    null_safe = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in CODE]
-    joined = rated.alias("r").join(digest.alias("d"), null_safe, "left")
-    return joined.select("r.*", "d.error_codes")
+    ranked = with_digest_rank(counts, CODE)
+    sums = ranked.groupBy(*CODE).agg(*_code_sums(), digest().alias("error_codes"))
+    return sums.withColumn("success_rate", floor_pct(F.col("volume") - F.col("errors"), F.col("volume")))
 
 
 def catalog_two_rate(counts: DataFrame,
                      customer_codes: Sequence[str] = config.CUSTOMER_CODES) -> DataFrame:
-    return with_two_rates(_code_sums(counts, customer_codes))
+    wrong = F.col("resp_cd").isNotNull() & is_service_error(customer_codes=customer_codes)
+    return with_two_rates(counts.groupBy(*CODE).agg(
+        *_code_sums(), F.coalesce(F.sum(F.when(wrong, F.col("n"))), F.lit(0)).alias("service_errors")))
 
 
-def _code_sums(counts: DataFrame, customer_codes: Sequence[str]) -> DataFrame:
-    n = F.col("n")
-    wrong = is_error() & F.col("resp_cd").isNotNull()
-    by_service = wrong & ~F.col("resp_cd").isin(list(customer_codes))
-    aggregates = [F.sum("n").alias("volume"),
-                  F.coalesce(F.sum(F.when(wrong, n)), F.lit(0)).alias("errors")]
-    if customer_codes:
-        aggregates.append(F.coalesce(F.sum(F.when(by_service, n)), F.lit(0)).alias("service_errors"))
-    return counts.groupBy(*CODE).agg(*aggregates)
+def _code_sums() -> tuple[Column, Column]:
+    wrong = F.col("resp_cd").isNotNull() & is_error()
+    return (F.sum("n").alias("volume"),
+            F.coalesce(F.sum(F.when(wrong, F.col("n"))), F.lit(0)).alias("errors"))
 
 
 @dataclass(frozen=True)
@@ -218,7 +215,3 @@ def segment_hours(inbound: DataFrame, segments: Sequence[Segment] = CARD_SEGMENT
     """Pairs per segment, hour and response; put it on an hour spine for the chart."""
     asked = with_segment(requests(inbound), segments, country_field).withColumn("hour", hour_label())
     return pair_counts(asked, responses(inbound), KEYS_5, ["trx_dt", "hour", "segment", "bsns_cd"])
-
-
-def _named(measures: dict[str, Column]) -> list[Column]:
-    return [m.alias(name) for name, m in measures.items()]

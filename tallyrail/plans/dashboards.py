@@ -14,7 +14,8 @@ from tallyrail.functions.rates import floor_pct, round_pct
 from tallyrail.functions.text import field
 from tallyrail.functions.timeaxis import slot_start
 from tallyrail.operators.legs import (
-    KEYS_3, KEYS_4, KEYS_5, approval_measures, pair_counts, pair_sums, requests, responses)
+    KEYS_3, KEYS_4, KEYS_5, approval_measures, counted, pair_counts, pair_sums, pair_sums_by_key, requests,
+    responses)
 from tallyrail.operators.spine import on_spine, with_keys
 
 SLOT = ("poll_ts", "slot_ts", "switch_id")
@@ -50,7 +51,7 @@ def outbound_slots(polled: DataFrame, exclude_trx: Sequence[str] = (), only_trx:
         calls = calls.where(F.col("trx_cd").isin(list(only_trx)))
     return (calls.withColumn("slot_ts", slot_start("event_ts", step))
             .withColumn("resp_cd", binary_resp_code())
-            .groupBy(*SLOT).agg(*[m.alias(name) for name, m in approval_measures().items()]))
+            .groupBy(*SLOT).agg(*counted(approval_measures())))
 
 
 def both_slots(inbound_facts: DataFrame, outbound_facts: DataFrame) -> DataFrame:
@@ -83,16 +84,16 @@ def outbound_health(outbound: DataFrame, days: DataFrame,
                     rules: Sequence[ChannelRule] = config.HEALTH_OUTBOUND) -> DataFrame:
     """Approved and total calls of each listed channel and day; silent channels show zero."""
     facts = outbound.where(in_channels(rules)).groupBy("trx_dt", "switch_id").agg(
-        *[m.alias(name) for name, m in approval_measures().items()])
+        *counted(approval_measures()))
     return _health(facts, days, [r.switch_id for r in rules])
 
 
 def inbound_health(inbound: DataFrame, days: DataFrame,
                    rules: Sequence[ChannelRule] = config.HEALTH_INBOUND,
                    exclude_resp: Sequence[str] = config.HEALTH_EXCLUDED_RESPONSES) -> DataFrame:
-    answered = responses(inbound).where(~F.col("resp_cd").isin(list(exclude_resp)))
-    facts = pair_sums(requests(inbound).where(in_channels(rules)), answered, KEYS_5,
-                      ["trx_dt", "switch_id"], approval_measures())
+    listed = inbound.where(F.col("switch_id").isin([r.switch_id for r in rules]))
+    facts = pair_sums_by_key(listed, KEYS_5, ["trx_dt", "switch_id"], approval_measures(),
+                             asked=in_channels(rules), answered=~F.col("resp_cd").isin(list(exclude_resp)))
     return _health(facts, days, [r.switch_id for r in rules])
 
 

@@ -11,7 +11,7 @@ from tallyrail import config
 from tallyrail.functions.rates import n_rows
 from tallyrail.functions.timeaxis import hour_label
 from tallyrail.operators.legs import KEYS_5, pair_counts, requests, responses
-from tallyrail.operators.payload import layout_extract
+from tallyrail.operators.payload import field_places, layout_extract
 from tallyrail.operators.spine import hour_spine, on_spine
 
 HOUR = ("trx_dt", "hour")
@@ -56,10 +56,11 @@ def transaction_detail(inbound: DataFrame, outbound: DataFrame, offsets: DataFra
 
     Give it legs already narrowed to the correlation keys of interest, or whole logs.
     """
+    places = field_places(offsets)
     columns = ["switch_id", "ccy", "amt", "trx_dt", "event_ts", "ret_ref_no", "trx_cd", "bsns_cd",
                "resp_cd"]
-    inc = layout_extract(requests(inbound), offsets, "log_data", scale).select(columns)
-    out = layout_extract(outbound, offsets, "i_log_data", scale).withColumns({
+    inc = layout_extract(requests(inbound), places, "log_data", scale).select(columns)
+    out = layout_extract(outbound, places, "i_log_data", scale).withColumns({
         "ccy": F.coalesce("ccy", F.lit(" ")),
         "amt": F.coalesce("amt", F.lit(0).cast("decimal(18,2)"))}).select(columns)
     return inc.unionByName(out)

@@ -11,6 +11,7 @@ from tallyrail.functions.text import field
 from tallyrail.functions.timeaxis import hour_label, slot_label
 from tallyrail.operators import dims, legs, payload, spine
 from tallyrail.operators.legs import KEYS_3, KEYS_4, KEYS_5, approval_measures, requests, responses
+from tallyrail.plans.billpay import products
 from tallyrail.registry import views as v
 from tallyrail.registry.core import register
 from tallyrail.session import work_dir
@@ -251,9 +252,7 @@ GROUP BY ALL""")
 def join_payload_field(spark, sf):
     counts = (requests(v.inbound_log(spark, sf))
               .groupBy("trx_dt", field("log_data", *v.PRODUCT).alias("product_cd")).agg(n_rows().alias("n")))
-    products = dims.catalog_rows(v.catalog(spark), config.BILLPAY_CATALOG).select(
-        F.col("cnts_2").alias("product_cd"), F.col("cnts_4").alias("product"))
-    return counts.join(products, ["product_cd"]).select("trx_dt", "product_cd", "product", "n")
+    return counts.join(products(v.catalog(spark)), ["product_cd"]).select("trx_dt", "product_cd", "product", "n")
 
 
 @register("contains_join", """
@@ -281,7 +280,7 @@ def parent_code_join(spark, sf):
 
 
 LAYOUT_SQL = """, layout AS (
-  SELECT c.trx_cd, f.* FROM (SELECT DISTINCT trx_cd FROM a UNION SELECT DISTINCT trx_cd FROM outbound_log) c
+  SELECT c.trx_cd, f.* FROM (SELECT unnest(['NPAYMNT', 'NINQURY', 'OPAYMNT', '*']) AS trx_cd) c
   JOIN (VALUES ('C', 1, 'TRACE_NO', 6), ('C', 2, 'TERMINAL_ID', 8), ('I', 3, 'PRODUCT_CD', 5),
     ('I', 4, 'COUNTRY_CD', 2), ('I', 5, 'TRX_AMT', 12), ('I', 6, 'CCY_CD', 3))
     f(inout_cd, seq_no, field_nm, field_len)
@@ -293,18 +292,24 @@ offsets AS (
 """
 
 
-def log_offsets(spark, sf):
-    activity = legs.unified_activity(v.inbound_log(spark, sf), v.outbound_log(spark, sf))
-    codes = activity.select("trx_cd").distinct()
-    families = dims.message_families(spark)
-    fields = payload.message_layout(codes, v.record_layout(spark), families)
-    return payload.layout_offsets(fields, base=v.LAYOUT_BASE)
+def layout_of(spark):
+    families = dims.message_families(spark, {"OPAYMNT": config.DEFAULT_FAMILY})
+    return payload.layout_offsets(payload.message_layout(v.record_layout(spark), families), base=v.LAYOUT_BASE)
 
 
 @register("layout_offsets", LAYOUT_SQL + """
-SELECT trx_cd, field_nm, CAST(field_len AS BIGINT) AS field_len, position FROM offsets""")
+SELECT o.trx_cd, field_nm, CAST(field_len AS BIGINT) AS field_len, position, count(m.trx_cd) AS n FROM offsets o
+LEFT JOIN (SELECT CASE WHEN trx_cd IN ('NPAYMNT', 'NINQURY', 'OPAYMNT') THEN trx_cd ELSE '*' END AS trx_cd
+           FROM (SELECT trx_cd FROM a UNION ALL SELECT trx_cd FROM outbound_log)) m USING (trx_cd) GROUP BY ALL""")
 def layout_offsets(spark, sf):
-    return log_offsets(spark, sf).select("trx_cd", "field_nm", "field_len", "position")
+    offsets = layout_of(spark)
+    counts = legs.unified_activity(v.inbound_log(spark, sf), v.outbound_log(spark, sf)).groupBy(
+        "trx_cd").agg(n_rows().alias("n"))
+    codes = offsets.select(F.col("trx_cd").alias("layout_cd")).distinct()
+    used = payload.with_layout_code(counts, codes).groupBy(F.col("layout_cd").alias("trx_cd")).agg(
+        F.sum("n").alias("n"))
+    return spine.on_spine(offsets, used, ["trx_cd"], ["n"]).select(
+        "trx_cd", "field_nm", "field_len", "position", "n")
 
 
 @register("agg_count", f"""
@@ -319,7 +324,7 @@ SELECT {DAY}, switch_id, trx_cd, count(*) FILTER (WHERE resp_cd = '00') AS appro
 FROM outbound_log GROUP BY ALL""")
 def agg_approval(spark, sf):
     return v.outbound_log(spark, sf).groupBy("trx_dt", "switch_id", "trx_cd").agg(
-        *[m.alias(name) for name, m in approval_measures().items()])
+        *legs.counted(approval_measures()))
 
 
 @register("agg_by_expr", """

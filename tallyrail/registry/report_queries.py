@@ -9,8 +9,10 @@ from tallyrail.operators import dims, payload, spine
 from tallyrail.plans import billpay, channels, drilldown, merchants
 from tallyrail.plans.channels import Segment
 from tallyrail.registry import views as v
-from tallyrail.registry.basic_queries import DAY, LAYOUT_SQL, log_offsets
+from tallyrail.registry.basic_queries import DAY, LAYOUT_SQL, layout_of
 from tallyrail.registry.core import register
+from tallyrail.session import work_dir
+from tallyrail.sources.sinks import write_json_objects
 
 RATES = """volume, errors, service_errors,
 CAST(floor(100 * (volume - errors) / nullif(volume, 0)) AS BIGINT) AS cae,
@@ -269,7 +271,7 @@ SELECT switch_id, ccy, CAST(amt AS DOUBLE) AS amt, {DAY}, strftime(event_ts, '%Y
   FROM outbound_log LEFT JOIN places USING (trx_cd))""")
 def layout_extract(spark, sf):
     return drilldown.transaction_detail(v.inbound_log(spark, sf), v.outbound_log(spark, sf),
-                                        log_offsets(spark, sf), scale=2)
+                                        layout_of(spark), scale=2)
 
 
 @register("by_auth_flag", """
@@ -322,3 +324,14 @@ def region_rollup(spark, sf):
 @register("region_rollup_all", REGION_SQL.format(distinct=""))
 def region_rollup_all(spark, sf):
     return _regions(spark, sf, False)
+
+
+@register("region_json", """
+SELECT name, total_trx AS "value", format('{:,.2f}', CAST(trx_amt_total AS DOUBLE)) AS trx_amt_total
+FROM (""" + REGION_SQL.format(distinct="DISTINCT") + ")")
+def region_json(spark, sf):
+    path = work_dir(spark, "region_json")
+    write_json_objects(
+        merchants.region_rollup(v.card_txn(spark, sf), v.code_table(spark, sf), "CITY", "PROV"), path,
+        {"name": "name", "total_trx": "value", "trx_amt_total": "trx_amt_total"}, ["trx_amt_total"])
+    return spark.read.schema("name string, value long, trx_amt_total string").json(path)

@@ -139,7 +139,7 @@ def catalog(spark: SparkSession) -> DataFrame:
     products = [("PART_CENT_ID", None, f"P000{i}", None, f"Product {i}", None) for i in range(7)]
     messages = [("INTER_ID", code, None, None, None, channel)
                 for channel in CHANNELS for code in ("NPAYMNT", "NINQURY", "NREFUND", "XOLDMSG")]
-    return spark.createDataFrame(products + messages, schemas.CATALOG)
+    return schemas.literal_table(spark, products + messages, schemas.CATALOG)
 
 
 def record_layout(spark: SparkSession) -> DataFrame:
@@ -147,8 +147,8 @@ def record_layout(spark: SparkSession) -> DataFrame:
     rows = [("EIO_COM", "C", i, name, size) for i, (name, size) in enumerate(LAYOUT_FIELDS[:2], 1)]
     for code in ("NPAYMNT", "NINQURY"):
         rows += [(code, "I", i, name, size) for i, (name, size) in enumerate(LAYOUT_FIELDS[2:], 3)]
-    return spark.createDataFrame(rows, schemas.RECORD_LAYOUT)
+    return schemas.literal_table(spark, rows, schemas.RECORD_LAYOUT)
 
 
 def titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TITLES), "code string, title string")
+    return schemas.literal_table(spark, TITLES, schemas.CODE_TITLE)

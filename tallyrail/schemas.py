@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,20 @@ CARD_TXN = _struct(
     trx_dt=_D, merchant_name=_S, location=_S, merchant_tp=_S, trx_amount=T.DecimalType(18, 2), onoff=_S)
 CODE_TABLE = _struct(type=_S, code=_S, code_nm=_S, code1=_S)
 CHANNEL_RANK = _struct(switch_id=_S, bsns_cd=_S, rank=_I)
+MESSAGE_FAMILY = _struct(trx_cd=_S, family=_S)
+CODE_TITLE = _struct(code=_S, title=_S)
+ALERT_RULE = _struct(switch_id=_S, since=_S, until=_S, max_rate=_I)
 CHANNEL_LABEL = _struct(switch_id=_S, bsns_cd=_S, label=_S)
 
 
+def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
+    """A small table from literal rows, made on the JVM and with a known size, so joins broadcast it."""
+    structs = [F.struct(*[F.lit(value).cast(f.dataType).alias(f.name) for value, f in zip(row, schema)])
+               for row in rows]
+    table = F.array(*structs).cast(T.ArrayType(schema))
+    return spark.range(0, 1, 1, 1).select(F.inline(table))
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

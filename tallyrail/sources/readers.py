@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +53,28 @@ def scan_trailing_days(log: DataFrame, as_of: datetime, days: int, day: str = "t
     return log.where(F.col(day) >= F.date_sub(F.lit(as_of.date()), days))
 
 
-def lookback(log: DataFrame, as_of: datetime, minutes: int, ts: str = "event_ts") -> DataFrame:
-    end = instant(as_of)
-    return log.where(F.col(ts).between(end - F.make_dt_interval(mins=F.lit(minutes)), end))
+def between(log: DataFrame, start: datetime, end: datetime, ts: str, inclusive: bool = True,
+            day: str | None = "trx_dt") -> DataFrame:
+    """Rows with `start <= ts <= end` (`< end` if not inclusive), as literals the scan can filter by.
+
+    `day` names the business-day column, which prunes partitions. One day of slack is kept at the start:
+    a response may come after midnight and still carry its request's day.
+    """
+    upper = F.col(ts) <= instant(end) if inclusive else F.col(ts) < instant(end)
+    rows = log.where((F.col(ts) >= instant(start)) & upper)
+    if day is None:
+        return rows
+    first = (start - timedelta(days=1)).date()
+    return rows.where(F.col(day).between(F.lit(first), F.lit(end.date())))
+
+
+def lookback(log: DataFrame, as_of: datetime, minutes: int, ts: str = "event_ts",
+             day: str | None = "trx_dt") -> DataFrame:
+    return between(log, as_of - timedelta(minutes=minutes), as_of, ts, day=day)
 
 
 def lagged_window(log: DataFrame, as_of: datetime, lag_seconds: int, width_seconds: int,
-                  ts: str = "reg_ts", inclusive: bool = False) -> DataFrame:
+                  ts: str = "reg_ts", inclusive: bool = False, day: str | None = "trx_dt") -> DataFrame:
     """Rows of the window that ended `lag_seconds` ago; `inclusive` also takes its end point."""
-    end = instant(as_of) - F.make_dt_interval(secs=F.lit(lag_seconds))
-    start = end - F.make_dt_interval(secs=F.lit(width_seconds))
-    upper = F.col(ts) <= end if inclusive else F.col(ts) < end
-    return log.where((F.col(ts) >= start) & upper)
+    end = as_of - timedelta(seconds=lag_seconds)
+    return between(log, end - timedelta(seconds=width_seconds), end, ts, inclusive, day)

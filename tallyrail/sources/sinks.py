@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyrail.functions.text import amount_text
 
-def write_json_objects(df: DataFrame, path: str, names: Mapping[str, str] | None = None) -> None:
-    """One JSON object per row; `names` maps columns to output keys. NULL values are kept."""
+
+def write_json_objects(df: DataFrame, path: str, names: Mapping[str, str] | None = None,
+                       amounts: Sequence[str] = ()) -> None:
+    """One JSON object per row; `names` maps columns to output keys. NULL values are kept.
+
+    Columns in `amounts` are written as display text.
+    """
     names = names or {c: c for c in df.columns}
-    out = df.select([F.col(c).alias(key) for c, key in names.items()])
+    out = df.select([(amount_text(c) if c in amounts else F.col(c)).alias(key)
+                     for c, key in names.items()])
     out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrail import config
 from tallyrail.functions.timeaxis import slot_label
+from tallyrail.schemas import ALERT_RULE, literal_table
 
 
 def window_alerts(windows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -23,7 +24,6 @@ def window_alerts(windows: DataFrame, rules: DataFrame) -> DataFrame:
             .select("window_start", "switch_id", "approve", "tot", "rate"))
 
 
-def zero_approval_rules(spark, channels: Sequence[str],
+def zero_approval_rules(spark: SparkSession, channels: Sequence[str],
                         hours: tuple[str, str] = config.SLOT_HOURS) -> DataFrame:
-    rows = [(c, *hours, 0) for c in channels]
-    return spark.createDataFrame(rows, "switch_id string, since string, until string, max_rate int")
+    return literal_table(spark, [(c, *hours, 0) for c in channels], ALERT_RULE)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyrail.schemas import literal_table
 from tallyrail.session import work_dir
 
 
@@ -63,7 +64,7 @@ def replay(stream: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]
     folder = work_dir(spark, name)
     query = run_batches(stream, folder, make) if make else run_to_parquet(stream, folder)
     query.awaitTermination()
-    result = spark.read.parquet(f"{folder}/data") if make is None else (
-        spark.read.schema(make(spark.createDataFrame([], stream.schema)).schema)
-        .option("recursiveFileLookup", "true").parquet(f"{folder}/data"))
-    return result
+    if make is None:
+        return spark.read.schema(stream.schema).parquet(f"{folder}/data")
+    schema = make(literal_table(spark, [], stream.schema)).schema
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/data")

@@ -12,22 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.functions.rates import n_rows
-from tallyrail.operators.legs import KEYS_4, approval_measures
+from tallyrail.operators.legs import KEYS_4, approval_measures, counted
 
 
 def _per_second(legs: DataFrame, keys: Sequence[str], by: Sequence[str], measures: dict[str, Column],
                 delay: str, ts: str, prefix: str) -> DataFrame:
-    counted = (legs.withWatermark(ts, delay)
-               .groupBy(F.window(ts, "1 second").alias("_second"), *keys, *by)
-               .agg(*[m.alias(name) for name, m in measures.items()]))
-    return counted.select(F.window_time("_second").alias(f"{prefix}_ts"),
-                          *[F.col(k).alias(f"{prefix}_{k}") for k in keys], *by, *measures)
+    per_second = (legs.withWatermark(ts, delay)
+                  .groupBy(F.window(ts, "1 second").alias("_second"), *keys, *by)
+                  .agg(*counted(measures)))
+    return per_second.select(F.window_time("_second").alias(f"{prefix}_ts"),
+                             *[F.col(k).alias(f"{prefix}_{k}") for k in keys], *by, *measures)
 
 
 def _sides(request_legs: DataFrame, response_legs: DataFrame, keys: Sequence[str], by: Sequence[str],
            delay: str, settle: int, ts: str) -> tuple[DataFrame, DataFrame, Column]:
-    asked = _per_second(request_legs, keys, by, {"n_requests": n_rows()}, delay, ts, "q")
+    asked = _per_second(request_legs, keys, by, {"n_requests": F.lit(True)}, delay, ts, "q")
     answered = _per_second(response_legs, keys, (), approval_measures(), delay, ts, "r")
     on = F.expr(f"r_ts >= q_ts and r_ts <= q_ts + interval {int(settle)} seconds")
     for k in keys:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrail.functions.rates import floor_pct
-from tallyrail.operators.legs import approval_measures
+from tallyrail.operators.legs import approval_measures, counted
 
 
 def window_paired(paired: DataFrame, width: str, by: Sequence[str] = ()) -> DataFrame:
@@ -22,7 +22,7 @@ def window_calls(calls: DataFrame, width: str, by: Sequence[str] = (), delay: st
                  ts: str = "event_ts") -> DataFrame:
     """Windowed counts of an outbound stream."""
     counts = calls.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("_w"), *by).agg(
-        *[m.alias(name) for name, m in approval_measures().items()])
+        *counted(approval_measures()))
     return _with_rate(counts, by)
 
 

@@ -39,6 +39,6 @@ def amount_text(amount: str) -> Column:
 
 
 def category_code(code: str) -> Column:
-    """Merchant category code with blanks removed and short codes padded to four digits."""
+    """Merchant category code with blanks removed and short numbers padded to four digits."""
     text = F.trim(code)
-    return F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
+    return F.when(text.rlike("^[0-9]{1,3}$"), F.lpad(text, 4, "0")).otherwise(text)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,23 +50,20 @@ def layout_offsets(fields: DataFrame, by: Sequence[str] = ("trx_cd",),
     return fields.withColumn("position", start.cast("int"))
 
 
-def named_field(offsets: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
-    """Position and length, per message code, of the first field whose name holds one of `names`."""
-    match = F.lit(False)
-    for name in names:
-        match = match | F.col("field_nm").contains(name)
-    first = F.min_by(F.struct("position", "field_len"), "seq_no")
-    return (offsets.where(match).groupBy("trx_cd").agg(first.alias("_f"))
-            .select("trx_cd", F.col("_f.position").alias(f"{prefix}_pos"),
-                    F.col("_f.field_len").alias(f"{prefix}_len")))
-
-
 def field_places(offsets: DataFrame) -> DataFrame:
-    """One row per message code with the places of its currency and amount; broadcast if small."""
-    codes = offsets.select("trx_cd").distinct()
-    places = (codes.join(named_field(offsets, config.CURRENCY_NAMES, "ccy"), ["trx_cd"], "left")
-              .join(named_field(offsets, config.AMOUNT_NAMES, "amt"), ["trx_cd"], "left"))
-    return broadcast_if_small(places.withColumnRenamed("trx_cd", "layout_cd"))
+    """One row per message code with the places of its currency and amount; broadcast if small.
+
+    A field is found by a part of its name; the first one counts.
+    """
+    def first(names: Sequence[str]) -> Column:
+        match = reduce(or_, [F.col("field_nm").contains(name) for name in names])
+        return F.min_by(F.struct("position", "field_len"), F.when(match, F.col("seq_no")))
+
+    found = offsets.groupBy(F.col("trx_cd").alias("layout_cd")).agg(
+        first(config.CURRENCY_NAMES).alias("_ccy"), first(config.AMOUNT_NAMES).alias("_amt"))
+    return broadcast_if_small(found.select(
+        "layout_cd", F.col("_ccy.position").alias("ccy_pos"), F.col("_ccy.field_len").alias("ccy_len"),
+        F.col("_amt.position").alias("amt_pos"), F.col("_amt.field_len").alias("amt_len")))
 
 
 def layout_extract(log: DataFrame, places: DataFrame, payload: str = "log_data",

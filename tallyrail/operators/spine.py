@@ -9,47 +9,60 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrail.functions.timeaxis import MICROS, instant, slot_start
-from tallyrail.sources.readers import lookback
 
 
-def poll_at(log: DataFrame, as_of: datetime, minutes: int = 60, ts: str = "event_ts",
-            day: str | None = "trx_dt") -> DataFrame:
-    """The rows one dashboard poll at `as_of` looks at."""
-    return lookback(log, as_of, minutes, ts, day).withColumn("poll_ts", instant(as_of))
+def with_slot(log: DataFrame, step: int = 5, ts: str = "event_ts") -> DataFrame:
+    """The slot of each row, and whether the row lies exactly on its start.
+
+    A poll at a slot's start sees of that slot only the rows on the start; `on_start` keeps them apart, so
+    that polls can be worked out on slot counts instead of rows.
+    """
+    return log.withColumn("slot_ts", slot_start(ts, step)).withColumn(
+        "on_start", F.col(ts) == F.col("slot_ts"))
+
+
+def seen_at(facts: DataFrame, as_of: datetime, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Slot counts as one poll sees them; the counted rows must be within the poll's lookback."""
+    return facts.withColumn("poll_ts", instant(as_of)).groupBy("poll_ts", "slot_ts", *by).agg(
+        *[F.sum(c).alias(c) for c in sums])
 
 
-def poll_every(log: DataFrame, every_minutes: int, minutes: int = 60, ts: str = "event_ts") -> DataFrame:
-    """Each row once per regular poll that looks at it: a replay of the dashboard over a whole log.
+def seen_every(facts: DataFrame, every: int, by: Sequence[str], sums: Sequence[str], minutes: int = 60,
+               step: int = 5) -> DataFrame:
+    """Slot counts as each regular poll sees them: a replay of the dashboard over a whole log.
 
-    The copies (`minutes / every_minutes`, plus one for rows on a poll) stay inside the map stage; the
-    slot counts that follow combine them before any shuffle.
+    Only slot counts are copied to the polls that show them, never log rows.
     """
-    first, last = _poll_numbers(F.col(ts), F.col(ts), every_minutes, minutes)
-    return log.withColumn("_poll", F.explode(F.sequence(first, last))).withColumn(
-        "poll_ts", F.timestamp_seconds(F.col("_poll") * every_minutes * 60)).drop("_poll")
+    if every % step or minutes % step or minutes < every:
+        raise ValueError("polls and lookback must be whole slots, and the lookback reach the poll before")
+    start = F.unix_seconds("slot_ts")
+    opens = F.when(F.col("on_start"), start).otherwise(start + step * 60)
+    polls = F.sequence(_ceil(opens, every * 60), _floor(start + minutes * 60, every * 60))
+    seen = facts.withColumn("_poll", F.explode(polls)).withColumn(
+        "poll_ts", F.timestamp_seconds(F.col("_poll") * every * 60))
+    return seen.groupBy("poll_ts", "slot_ts", *by).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def polls_at(spark: SparkSession, as_of: datetime) -> DataFrame:
-    return spark.range(1).select(instant(as_of).alias("poll_ts"))
+    return spark.range(0, 1, 1, 1).select(instant(as_of).alias("poll_ts"))
 
 
-def polls_every(log: DataFrame, every_minutes: int, minutes: int = 60, ts: str = "event_ts") -> DataFrame:
+def polls_every(log: DataFrame, every: int, minutes: int = 60, ts: str = "event_ts") -> DataFrame:
     """All regular polls between the first and the last that see a row of the log."""
     bounds = log.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).where("lo is not null")
-    first, last = _poll_numbers(F.col("lo"), F.col("hi"), every_minutes, minutes)
+    size = every * 60 * MICROS
+    first = _ceil(F.unix_micros("lo"), size)
+    last = _floor(F.unix_micros("hi") + minutes * 60 * MICROS, size)
     return bounds.select(F.explode(F.sequence(first, last)).alias("_poll")).select(
-        F.timestamp_seconds(F.col("_poll") * every_minutes * 60).alias("poll_ts"))
-
-
-def _poll_numbers(lo: Column, hi: Column, every_minutes: int, minutes: int) -> tuple[Column, Column]:
-    """Numbers of the first poll at or after `lo` and of the last that still sees `hi`."""
-    if minutes < every_minutes:
-        raise ValueError("the lookback must reach the poll before")
-    step = every_minutes * 60 * MICROS
-    start = F.unix_micros(lo)
-    end = F.unix_micros(hi) + minutes * 60 * MICROS
-    return (((start + F.pmod(-start, F.lit(step))) / step).cast("bigint"),
-            ((end - F.pmod(end, F.lit(step))) / step).cast("bigint"))
+        F.timestamp_seconds(F.col("_poll") * every * 60).alias("poll_ts"))
+
+
+def _floor(value: Column, size: int) -> Column:
+    return ((value - F.pmod(value, F.lit(size))) / size).cast("bigint")
+
+
+def _ceil(value: Column, size: int) -> Column:
+    return ((value + F.pmod(-value, F.lit(size))) / size).cast("bigint")
 
 
 def minute_spine(polls: DataFrame, minutes: int = 60, step: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,64 +13,86 @@ from tallyrail.config import ChannelRule
 from tallyrail.functions.codes import binary_resp_code, decode_values, in_channels, is_approved
 from tallyrail.functions.rates import floor_pct, round_pct
 from tallyrail.functions.text import field
-from tallyrail.functions.timeaxis import slot_start
 from tallyrail.operators.legs import (
     KEYS_3, KEYS_4, KEYS_5, approval_measures, counted, pair_counts, pair_sums, pair_sums_by_key, requests,
     responses)
-from tallyrail.operators.spine import on_spine, with_keys
+from tallyrail.operators.spine import (
+    minute_spine, on_spine, polls_at, seen_at, seen_every, with_keys, with_slot)
+from tallyrail.sources.readers import lookback
 
-SLOT = ("poll_ts", "slot_ts", "switch_id")
+SLOT = ("slot_ts", "on_start", "switch_id")
+COUNTS = ("approve", "tot")
 
 
-def inbound_slots(polled: DataFrame, log: DataFrame, keys: Sequence[str] = KEYS_3,
-                  exclude_trx: Sequence[str] = (), exclude_resp: Sequence[str] = (),
-                  exclude_bsns: Sequence[str] = (), step: int = 5) -> DataFrame:
-    """Answered requests per poll, slot and channel. `polled` is the log with `poll_ts` attached."""
-    asked = requests(polled)
-    answered = responses(log)
+def inbound_slots(log: DataFrame, keys: Sequence[str] = KEYS_3, exclude_trx: Sequence[str] = (),
+                  exclude_resp: Sequence[str] = (), exclude_bsns: Sequence[str] = (),
+                  as_of: datetime | None = None, minutes: int = 60, step: int = 5) -> DataFrame:
+    """Answered requests per slot and channel; with `as_of`, of the requests one poll looks back on."""
+    asked, answered = requests(log), responses(log)
+    if as_of is not None:
+        asked = lookback(asked, as_of, minutes)
     if exclude_trx:
         asked = asked.where(~F.col("trx_cd").isin(list(exclude_trx)))
     if exclude_bsns:
         asked = asked.where(~F.col("bsns_cd").isin(list(exclude_bsns)))
     if exclude_resp:
         answered = answered.where(~F.col("resp_cd").isin(list(exclude_resp)))
-    return pair_sums(asked.withColumn("slot_ts", slot_start("event_ts", step)), answered, keys, SLOT,
-                     approval_measures())
+    return pair_sums(with_slot(asked, step), answered, keys, SLOT, approval_measures())
 
 
-def strict_inbound_slots(polled: DataFrame, log: DataFrame, step: int = 5) -> DataFrame:
-    return inbound_slots(polled, log, KEYS_5, config.ADMIN_KEY, exclude_bsns=(config.ODS,), step=step)
-
-
-def outbound_slots(polled: DataFrame, exclude_trx: Sequence[str] = (), only_trx: Sequence[str] = (),
-                   step: int = 5) -> DataFrame:
-    """Outbound calls per poll, slot and channel; every code but the approved one is a failure."""
-    calls = polled
+def outbound_slots(outbound: DataFrame, exclude_trx: Sequence[str] = (), only_trx: Sequence[str] = (),
+                   as_of: datetime | None = None, minutes: int = 60, step: int = 5) -> DataFrame:
+    """Outbound calls per slot and channel; every code but the approved one is a failure."""
+    calls = outbound if as_of is None else lookback(outbound, as_of, minutes)
     if exclude_trx:
         calls = calls.where(~F.col("trx_cd").isin(list(exclude_trx)))
     if only_trx:
         calls = calls.where(F.col("trx_cd").isin(list(only_trx)))
-    return (calls.withColumn("slot_ts", slot_start("event_ts", step))
-            .withColumn("resp_cd", binary_resp_code())
-            .groupBy(*SLOT).agg(*counted(approval_measures())))
+    coded = with_slot(calls, step).withColumn("resp_cd", binary_resp_code())
+    return coded.groupBy(*SLOT).agg(*counted(approval_measures()))
 
 
 def both_slots(inbound_facts: DataFrame, outbound_facts: DataFrame) -> DataFrame:
     return inbound_facts.unionByName(outbound_facts).groupBy(*SLOT).agg(
-        F.sum("approve").alias("approve"), F.sum("tot").alias("tot"))
+        *[F.sum(c).alias(c) for c in COUNTS])
+
+
+def live_series(facts: DataFrame, as_of: datetime, channels: Sequence[str], minutes: int = 60,
+                step: int = 5) -> DataFrame:
+    """The series of one poll: every slot of the listed channels with its approval percent."""
+    spine = minute_spine(polls_at(facts.sparkSession, as_of), minutes, step)
+    return _series(seen_at(facts, as_of, ["switch_id"], COUNTS), spine, channels)
+
 
+def replayed_series(facts: DataFrame, polls: DataFrame, every: int, channels: Sequence[str],
+                    minutes: int = 60, step: int = 5) -> DataFrame:
+    """The series of every regular poll."""
+    spine = minute_spine(polls, minutes, step)
+    return _series(seen_every(facts, every, ["switch_id"], COUNTS, minutes, step), spine, channels)
 
-def slot_series(facts: DataFrame, spine: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """The facts of the listed channels on the spine, empty slots as zero, with the approval percent."""
-    series = on_spine(with_keys(spine, "switch_id", channels), facts, SLOT, ["approve", "tot"])
+
+def _series(seen: DataFrame, spine: DataFrame, channels: Sequence[str]) -> DataFrame:
+    series = on_spine(with_keys(spine, "switch_id", channels), seen, ["poll_ts", "slot_ts", "switch_id"],
+                      COUNTS)
     return series.withColumn("rate", floor_pct(F.col("approve"), F.col("tot")))
 
 
-def feed_heartbeat(polled_feed: DataFrame, spine: DataFrame, step: int = 5) -> DataFrame:
+def feed_slots(feed: DataFrame, as_of: datetime | None = None, minutes: int = 60, step: int = 5) -> DataFrame:
     """Price-feed rows per slot; rows without an instrument do not count."""
-    facts = (polled_feed.withColumn("slot_ts", slot_start("event_ts", step))
-             .groupBy("poll_ts", "slot_ts").agg(F.count(F.substring("ric", 1, 3)).alias("tot")))
-    return on_spine(spine, facts, ["poll_ts", "slot_ts"], ["tot"])
+    rows = feed if as_of is None else lookback(feed, as_of, minutes, day="feed_dt")
+    return with_slot(rows, step).groupBy("slot_ts", "on_start").agg(
+        F.count(F.substring("ric", 1, 3)).alias("tot"))
+
+
+def live_heartbeat(facts: DataFrame, as_of: datetime, minutes: int = 60, step: int = 5) -> DataFrame:
+    spine = minute_spine(polls_at(facts.sparkSession, as_of), minutes, step)
+    return on_spine(spine, seen_at(facts, as_of, [], ["tot"]), ["poll_ts", "slot_ts"], ["tot"])
+
+
+def replayed_heartbeat(facts: DataFrame, polls: DataFrame, every: int, minutes: int = 60,
+                       step: int = 5) -> DataFrame:
+    seen = seen_every(facts, every, [], ["tot"], minutes, step)
+    return on_spine(minute_spine(polls, minutes, step), seen, ["poll_ts", "slot_ts"], ["tot"])
 
 
 def _health(facts: DataFrame, days: DataFrame, channels: Sequence[str]) -> DataFrame:

@@ -76,7 +76,7 @@ def zero_fill_keys(spark, sf):
 SELECT strftime(poll_ts, '%Y-%m-%d %H:%M:%S') AS poll_ts, CAST(slot_no AS BIGINT) AS slot_no,
        strftime(slot_ts, '%H:%M') AS slot FROM spine""")
 def minute_spine(spark, sf):
-    polls = spine.polls_every(v.inbound_log(spark, sf), 60)
+    polls = spine.polls_every(v.inbound_log(spark, sf), every=60)
     return spine.minute_spine(polls).select("poll_ts", "slot_no", slot_label("slot_ts").alias("slot"))
 
 

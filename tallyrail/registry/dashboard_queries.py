@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyrail import config
 from tallyrail.functions.timeaxis import slot_label
 from tallyrail.operators import spine
+from tallyrail.operators.legs import KEYS_5
 from tallyrail.operators.throughput import rolling_strip, throughput
 from tallyrail.plans import alerts, dashboards
 from tallyrail.registry import views as v
@@ -29,15 +30,14 @@ def _shown(series):
                          "tot", "rate")
 
 
-def _axis(log):
-    return spine.minute_spine(spine.polls_every(log, POLL))
+def _polls(log):
+    return spine.polls_every(log, POLL)
 
 
 def _inbound_series(spark, sf, exclude_resp=(), channels=(*v.CHANNELS, v.SILENT_CHANNEL)):
     log = v.inbound_log(spark, sf)
-    facts = dashboards.inbound_slots(spine.poll_every(log, POLL), log, exclude_trx=v.ADMIN_MESSAGES,
-                                     exclude_resp=exclude_resp)
-    return dashboards.slot_series(facts, _axis(log), channels)
+    facts = dashboards.inbound_slots(log, exclude_trx=v.ADMIN_MESSAGES, exclude_resp=exclude_resp)
+    return dashboards.replayed_series(facts, _polls(log), POLL, channels)
 
 
 @register("slots_inbound", slots(INBOUND_FACTS, ALL) + f"SELECT {SLOT_COLUMNS} FROM rated")
@@ -54,9 +54,8 @@ def slots_inbound_filtered(spark, sf):
 @register("slots_inbound_strict", slots(STRICT_FACTS, ALL) + f"SELECT {SLOT_COLUMNS} FROM rated")
 def slots_inbound_strict(spark, sf):
     log = v.inbound_log(spark, sf)
-    facts = dashboards.inbound_slots(
-        spine.poll_every(log, POLL), log, dashboards.KEYS_5, v.ADMIN_MESSAGES, exclude_bsns=(config.ODS,))
-    return _shown(dashboards.slot_series(facts, _axis(log), [*v.CHANNELS, v.SILENT_CHANNEL]))
+    facts = dashboards.inbound_slots(log, KEYS_5, v.ADMIN_MESSAGES, exclude_bsns=(config.ODS,))
+    return _shown(dashboards.replayed_series(facts, _polls(log), POLL, [*v.CHANNELS, v.SILENT_CHANNEL]))
 
 
 @register("slots_both", slots(f"""{INBOUND_FACTS} UNION ALL
@@ -64,17 +63,17 @@ SELECT switch_id, event_ts, resp_cd FROM outbound_log WHERE trx_cd NOT IN ('#LOG
     + f"SELECT {SLOT_COLUMNS} FROM rated")
 def slots_both(spark, sf):
     log = v.inbound_log(spark, sf)
-    inc = dashboards.inbound_slots(spine.poll_every(log, POLL), log, exclude_trx=v.ADMIN_MESSAGES)
-    out = dashboards.outbound_slots(spine.poll_every(v.outbound_log(spark, sf), POLL), v.ADMIN_CALLS)
-    return _shown(dashboards.slot_series(dashboards.both_slots(inc, out), _axis(log), ["PURC", "SIGN"]))
+    inc = dashboards.inbound_slots(log, exclude_trx=v.ADMIN_MESSAGES)
+    out = dashboards.outbound_slots(v.outbound_log(spark, sf), v.ADMIN_CALLS)
+    return _shown(dashboards.replayed_series(dashboards.both_slots(inc, out), _polls(log), POLL, ["PURC", "SIGN"]))
 
 
 @register("slots_outbound", slots(OUTBOUND_FACTS + " WHERE trx_cd = 'OPAYMNT'", "PURC SIGN")
           + f"SELECT {SLOT_COLUMNS} FROM rated")
 def slots_outbound(spark, sf):
-    calls = spine.poll_every(v.outbound_log(spark, sf), POLL)
-    facts = dashboards.outbound_slots(calls, only_trx=("OPAYMNT",))
-    return _shown(dashboards.slot_series(facts, _axis(v.inbound_log(spark, sf)), ["PURC", "SIGN"]))
+    facts = dashboards.outbound_slots(v.outbound_log(spark, sf), only_trx=("OPAYMNT",))
+    polls = _polls(v.inbound_log(spark, sf))
+    return _shown(dashboards.replayed_series(facts, polls, POLL, ["PURC", "SIGN"]))
 
 
 @register("spine_trim", slots(INBOUND_FACTS, "CLIC VIEW")
@@ -100,8 +99,8 @@ SELECT strftime(poll_ts, '%Y-%m-%d %H:%M:%S') AS poll_ts, CAST(slot_no AS BIGINT
 
 
 def _heartbeat(spark, sf):
-    feed = spine.poll_every(v.price_feed(spark, sf), POLL)
-    return dashboards.feed_heartbeat(feed, _axis(v.inbound_log(spark, sf)))
+    facts = dashboards.feed_slots(v.price_feed(spark, sf))
+    return dashboards.replayed_heartbeat(facts, _polls(v.inbound_log(spark, sf)), POLL)
 
 
 def _beat(rows):

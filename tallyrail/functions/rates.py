@@ -15,9 +15,19 @@ def n_where(condition: Column) -> Column:
 
 
 def floor_pct(part: Column, whole: Column) -> Column:
-    return F.floor(F.try_divide(part * 100, whole)).cast("bigint")
+    return _floor_div(_wide(part) * 100, _wide(whole))
 
 
 def round_pct(part: Column, whole: Column) -> Column:
     """Half up, as the dashboards round."""
-    return F.floor(F.try_divide(part * 100, whole) + F.lit(0.5)).cast("bigint")
+    return _floor_div(_wide(part) * 200 + _wide(whole), _wide(whole) * 2)
+
+
+def _wide(count: Column) -> Column:
+    return count.cast("decimal(20,0)")
+
+
+def _floor_div(number: Column, by: Column) -> Column:
+    """Exact whole-number division rounded down; doubles would drop a percent on very large counts."""
+    by = F.nullif(by, F.lit(0))
+    return ((number - F.pmod(number, by)) / by).cast("bigint")

@@ -50,11 +50,17 @@ def hourly_pivot(hourly: DataFrame, codes: Sequence[str]) -> DataFrame:
     return hourly.groupBy(*HOUR).pivot("resp_cd", list(codes)).agg(F.sum("n"))
 
 
+def correlated(log: DataFrame, switch_id: str, trc_ad_no: str, ret_ref_no: str) -> DataFrame:
+    """The rows of one transaction."""
+    return log.where((F.col("switch_id") == switch_id) & (F.col("trc_ad_no") == trc_ad_no)
+                     & (F.col("ret_ref_no") == ret_ref_no))
+
+
 def transaction_detail(inbound: DataFrame, outbound: DataFrame, offsets: DataFrame,
                        scale: int = 0) -> DataFrame:
     """Currency and amount of request legs and outbound calls, decoded by each message's own layout.
 
-    Give it legs already narrowed to the correlation keys of interest, or whole logs.
+    Give it logs narrowed to one transaction (`correlated`), or whole logs.
     """
     places = field_places(offsets)
     columns = ["switch_id", "ccy", "amt", "trx_dt", "event_ts", "ret_ref_no", "trx_cd", "bsns_cd",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrail import config
-from tallyrail.operators import dims, payload, spine
+from tallyrail.operators import dims, spine
 from tallyrail.plans import billpay, channels, drilldown, merchants
 from tallyrail.plans.channels import Segment
 from tallyrail.registry import views as v

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +42,27 @@ def with_closing_marker(stream: DataFrame, table: DataFrame, ts: str, values: Ma
     return stream.unionByName(spark.readStream.schema(table.schema).parquet(folder))
 
 
+@contextmanager
+def _sized_state(spark: SparkSession) -> Iterator[None]:
+    """While a query starts: no more state partitions per operator than the cluster has cores.
+
+    A query keeps the number it starts with in its checkpoint; the session's own setting is put back.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_to_parquet(stream: DataFrame, folder: str) -> StreamingQuery:
     """Append a stream's closed results to `folder/data`; progress is kept in `folder/checkpoint`."""
-    return (stream.writeStream.outputMode("append").format("parquet")
-            .option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True).start())
+    with _sized_state(stream.sparkSession):
+        return (stream.writeStream.outputMode("append").format("parquet")
+                .option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint")
+                .trigger(availableNow=True).start())
 
 
 def run_batches(stream: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame],
@@ -54,8 +71,9 @@ def run_batches(stream: DataFrame, folder: str, make: Callable[[DataFrame], Data
     def write(batch: DataFrame, batch_id: int) -> None:
         make(batch).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
 
-    return (stream.writeStream.outputMode(mode).foreachBatch(write)
-            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    with _sized_state(stream.sparkSession):
+        return (stream.writeStream.outputMode(mode).foreachBatch(write)
+                .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
 
 
 def replay(stream: DataFrame, name: str, make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

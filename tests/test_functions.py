@@ -42,6 +42,8 @@ def test_rates(spark):
     assert one(spark, floor_pct(part, whole), a=-1, b=3) == -34
     assert one(spark, floor_pct(part, whole), a=29, b=100) == 29
     assert one(spark, floor_pct(part, whole), a=1, b=0) is None
+    assert one(spark, floor_pct(part, whole), a=9 * 10**17 - 1, b=9 * 10**17) == 99
+    assert one(spark, round_pct(part, whole), a=9 * 10**17, b=9 * 10**17) == 100
     assert one(spark, round_pct(part, whole), a=1, b=8) == 13
     assert one(spark, round_pct(part, whole), a=0, b=0) is None
 

@@ -1,11 +1,8 @@
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
-from tables import DAY, call, inbound, leg, outbound, rows
+from tables import call, inbound, leg, outbound, rows
 from tallyrail import config, schemas
-from tallyrail.config import ChannelRule, rules
 from tallyrail.operators import dims, payload, spine
 from tallyrail.operators.digest import error_code_digest
 from tallyrail.operators.legs import requests
@@ -249,6 +246,14 @@ def test_layout_positions_and_extraction(spark):
         ("none", "OTHER", " ", Decimal("0.00"))], key=repr)
 
 
+def test_one_transaction(spark):
+    offsets = payload.layout_offsets(payload.message_layout(layout(spark), dims.message_families(spark)))
+    log = inbound(spark, [*pair("1", "00"), *pair("2", "00")])
+    calls = outbound(spark, [call("10:00:00", "ATMD", trace="1", ref="r1"), call("10:00:00", "FINN", trace="1", ref="r1")])
+    narrowed = [drilldown.correlated(df, "ATMD", "1", "r1") for df in (log, calls)]
+    assert drilldown.transaction_detail(*narrowed, offsets).count() == 2
+
+
 def test_message_family(spark):
     df = spark.createDataFrame([("DEBTVMC",), ("REVMSAL",), ("NPAYMNT",)], "trx_cd string")
     got = dims.map_message_family(df, dims.message_families(spark))

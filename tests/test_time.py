@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tables import at, call, inbound, leg, outbound, rows
 from tallyrail.functions.timeaxis import slot_label
 from tallyrail.operators import spine
-from tallyrail.operators.legs import requests
 from tallyrail.operators.throughput import rolling_strip, throughput
 from tallyrail.plans import alerts, dashboards, drilldown
 from tallyrail.sources.readers import lagged_window, lookback, scan_day, scan_trailing_days

@@ -85,7 +85,8 @@ def search_payload(inbound: DataFrame, outbound: DataFrame, channel: str, keywor
                    outbound_bsns: str = config.OUTBOUND_BSNS, like: bool = False) -> DataFrame:
     """Request legs and outbound calls of one channel whose payload holds all keywords.
 
-    An outbound call is found by its request payload or by its response payload.
+    An outbound call is found by its request payload or by its response payload. Newest rows come first;
+    the rebalance keeps the sort's sampling pass off the payload scan.
     """
     columns = ["trx_dt", "event_ts", "trc_ad_no", "ret_ref_no", "switch_id", "bsns_cd", "trx_cd",
                "svc_cd", "resp_cd"]
@@ -95,4 +96,5 @@ def search_payload(inbound: DataFrame, outbound: DataFrame, channel: str, keywor
     out = (outbound.where(on_channel & ~F.col("trx_cd").isin(list(exclude_outbound)) & either)
            .withColumn("bsns_cd", F.lit(outbound_bsns))
            .withColumn("svc_cd", F.lit(None).cast("string")))
-    return inc.select(columns).unionByName(out.select(columns)).orderBy(F.desc("event_ts"))
+    found = inc.select(columns).unionByName(out.select(columns))
+    return found.hint("rebalance").orderBy(F.desc("event_ts"))

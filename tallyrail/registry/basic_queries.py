@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyrail import config
+from tallyrail import config, schemas
 from tallyrail.functions.codes import decode_values, effective_resp_code
 from tallyrail.functions.rates import n_rows
 from tallyrail.functions.text import field
@@ -15,11 +15,20 @@ from tallyrail.plans.billpay import products
 from tallyrail.registry import views as v
 from tallyrail.registry.core import register
 from tallyrail.session import work_dir
-from tallyrail.sources import readers, sinks
+from tallyrail.sources import ingest, readers, sinks
 
 DAY = "CAST(trx_dt AS VARCHAR) AS trx_dt"
 
 
+@register("ingest_log", f"""
+SELECT {DAY}, concat(CAST(trx_dt AS VARCHAR), ' ', strftime(event_ts, '%H:%M:%S')) AS event_ts, io_cd, switch_id,
+       bsns_cd, trx_cd, resp_cd, ret_ref_no, log_data FROM inbound_log""")
+def ingest_log(spark, sf):
+    raw = v.raw_inbound(spark, sf)
+    return ingest.to_table(raw, schemas.INBOUND_LOG, ingest.LOG_TIMES, {"TRACE_AD_NO": "trc_ad_no"}).select(
+        "trx_dt", "event_ts", "io_cd", "switch_id", "bsns_cd", "trx_cd", "resp_cd", "ret_ref_no", "log_data")
+
+
 @register("scan_today", f"SELECT event_id, io_cd, {DAY}, switch_id, trx_cd FROM inbound_log "
                         "WHERE trx_dt = DATE '2024-01-15'")
 def scan_today(spark, sf):

@@ -103,6 +103,15 @@ def inbound_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return request_legs(coded).unionByName(response_legs(coded))
 
 
+def raw_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inbound log as a database hands it out: upper-case names, times as text, blanks for no code."""
+    return inbound_log(spark, sf_dir).selectExpr(
+        "trx_dt as TRX_DT", "date_format(event_ts, 'HH:mm:ss') as TRX_TM", "date_format(reg_ts, 'HH:mm:ss') as REG_TM",
+        "switch_id as SWITCH_ID", "bsns_cd as BSNS_CD", "io_cd as IO_CD", "trx_cd as TRX_CD", "svc_cd as SVC_CD",
+        "coalesce(resp_cd, '  ') as RESP_CD", "trc_ad_no as TRACE_AD_NO", "ret_ref_no as RET_REF_NO",
+        "log_data as LOG_DATA")
+
+
 def outbound_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbound_calls(coded_log(table(spark, sf_dir, "events")))
 

@@ -7,15 +7,28 @@ from pyspark.sql import functions as F
 
 from tables import at, inbound, leg, outbound, rows
 from tallyrail.operators.dims import broadcast_if_small
-from tallyrail.plans import channels, dashboards
+from tallyrail.plans import billpay, channels, dashboards
 from tallyrail.session import work_dir
-from tallyrail.sources import readers, sinks
+from tallyrail import schemas
+from tallyrail.sources import ingest, readers, sinks
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ingest_makes_logical_rows(spark):
+    raw = spark.sql("""select date'2024-03-05' as D, '23:59:59' as TRX_TM, 'ATMD' as SWITCH_ID, '  ' as RESP_CD,
+                              ' x ' as O_LOG_DATA, 12 as TRC_AD_NO""")
+    schema = schemas.OUTBOUND_LOG
+    wanted = type(schema)([schema[c] for c in ("trx_dt", "event_ts", "switch_id", "resp_cd", "trc_ad_no", "o_log_data")])
+    got = ingest.to_table(raw, wanted, {"event_ts": ("trx_dt", "trx_tm")}, {"D": "trx_dt"}).first()
+    assert (str(got["event_ts"]), got["resp_cd"], got["trc_ad_no"], got["o_log_data"]) == (
+        "2024-03-05 23:59:59", None, "12", " x ")
+    with pytest.raises(ValueError):
+        ingest.to_table(raw, schema, ingest.LOG_TIMES)
+
+
 def test_json_rows_keep_types_and_nulls(spark):
     path = work_dir(spark, "rows")
     df = spark.createDataFrame([("a", 1, None), (None, 2, 1.5)], "x string, y long, z double")
@@ -96,3 +109,32 @@ def test_broadcast_needs_a_count(spark):
         assert "BroadcastHashJoin" not in plan(base.join(broadcast_if_small(large, 10), "id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_key_of_distinct_payloads_is_split_over_tasks(spark):
+    rows_ = spark.range(300_000).select(
+        F.lit("2024-03-05").cast("date").alias("trx_dt"), F.lit("VADP").alias("switch_id"),
+        F.lit("EB1").alias("bsns_cd"), F.lit("NBLLPAY").alias("trx_cd"), F.lit("r").alias("ret_ref_no"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 997).cast("string")).alias("trc_ad_no"),
+        F.when(F.col("id") % 2 == 0, "I").otherwise("O").alias("io_cd"),
+        F.when(F.col("id") % 4 == 1, "00").otherwise("05").alias("resp_cd"),
+        F.concat(F.repeat(F.lit("."), 85), F.lit("P0001"), F.col("id").cast("string")).alias("log_data"))
+    products = schemas.literal_table(
+        spark, [("PART_CENT_ID", None, "P0001", None, "Water", None)], schemas.CATALOG)
+    settings = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        counts = billpay.payload_counts(rows_.repartition(16), products)
+        found = {r["resp_cd"]: r["n"] for r in counts.collect()}
+        assert "skew=true" in plan(counts)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert found["05"] == found["00"] == 150_000

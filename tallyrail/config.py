@@ -150,6 +150,12 @@ CHANNEL_LABELS = (
     ("SWDK", None, "Bimasakti"),
 )
 OTHER_LABEL = "Other"
+SEGMENT_LABELS = (
+    ("VISA LOCAL", None, "VISA Local"),
+    ("VISA OVERSEAS", None, "VISA Overseas"),
+    ("BRSM", None, "NPG Bersama"),
+    ("RNTS", None, "NPG Prima"),
+)
 
 # Message code -> common header layout.
 MESSAGE_FAMILIES = {

@@ -40,11 +40,16 @@ def message_families(spark: SparkSession,
     return schemas.literal_table(spark, families.items(), schemas.MESSAGE_FAMILY)
 
 
-def label_channels(df: DataFrame, labels: DataFrame, default: str = config.OTHER_LABEL) -> DataFrame:
-    """Display name per channel: the exact business code first, then the channel's general name."""
-    exact = labels.where(F.col("bsns_cd").isNotNull()).withColumnRenamed("label", "_exact")
-    general = labels.where(F.col("bsns_cd").isNull()).select("switch_id", F.col("label").alias("_general"))
-    joined = df.join(exact, ["switch_id", "bsns_cd"], "left").join(general, ["switch_id"], "left")
+def label_channels(df: DataFrame, labels: DataFrame, default: str = config.OTHER_LABEL,
+                   channel: str = "switch_id") -> DataFrame:
+    """Display name per channel: the exact business code first, then the channel's general name.
+
+    `channel` names the column to label, such as the `segment` of the card report.
+    """
+    names = labels.withColumnRenamed("switch_id", channel)
+    exact = names.where(F.col("bsns_cd").isNotNull()).withColumnRenamed("label", "_exact")
+    general = names.where(F.col("bsns_cd").isNull()).select(channel, F.col("label").alias("_general"))
+    joined = df.join(exact, [channel, "bsns_cd"], "left").join(general, [channel], "left")
     label = F.coalesce("_exact", "_general", F.lit(default))
     return joined.withColumn("label", label).drop("_exact", "_general")
 

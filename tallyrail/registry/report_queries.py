@@ -276,7 +276,8 @@ def layout_extract(spark, sf):
 
 @register("by_auth_flag", """
 SELECT CASE onoff WHEN '05' THEN 'Success 3DS' WHEN '06' THEN 'Trying 3DS' WHEN '07' THEN 'Failed 3DS'
-       ELSE coalesce(onoff, 'OFFLINE') END AS name, onoff, count(*) AS n FROM card_txn GROUP BY ALL""")
+       ELSE coalesce(onoff, 'OFFLINE') END AS name, onoff, count(*) AS n FROM card_txn GROUP BY ALL
+ORDER BY n DESC, name LIMIT 11""")
 def by_auth_flag(spark, sf):
     return merchants.by_auth_flag(v.card_txn(spark, sf))
 

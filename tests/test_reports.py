@@ -164,6 +164,9 @@ def test_card_segments(spark):
     got = channels.card_segments(log)
     assert rows(got, "segment", "volume", "cae", "sar") == [
         ("RNTS", 1, 0, 0), ("VISA LOCAL", 1, 100, 100), ("VISA OVERSEAS", 1, 0, 100)]
+    named = dims.label_channels(got, dims.channel_labels(spark, config.SEGMENT_LABELS), channel="segment")
+    assert rows(named, "segment", "label") == [
+        ("RNTS", "NPG Prima"), ("VISA LOCAL", "VISA Local"), ("VISA OVERSEAS", "VISA Overseas")]
     assert rows(channels.segment_hours(log), "hour", "segment", "resp_cd", "n") == [
         ("10", "RNTS", "05", 1), ("10", "VISA LOCAL", "00", 1), ("10", "VISA OVERSEAS", "51", 1)]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tables import at, inbound, leg, outbound, rows
 from tallyrail.operators.dims import broadcast_if_small
 from tallyrail.plans import billpay, channels, dashboards
-from tallyrail.session import work_dir
+from tallyrail.session import size_shuffles, work_dir
 from tallyrail import schemas
 from tallyrail.sources import ingest, readers, sinks
 
@@ -138,3 +138,15 @@ def test_a_hot_key_of_distinct_payloads_is_split_over_tasks(spark):
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert found["05"] == found["00"] == 150_000
+
+
+def test_shuffles_are_sized_by_volume(spark):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        assert size_shuffles(spark, 10 * 1024 ** 4) == 81_920
+        assert spark.conf.get(keys[0]) == "81920"
+        assert size_shuffles(spark, 1) == spark.sparkContext.defaultParallelism
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

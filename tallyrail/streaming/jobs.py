@@ -57,23 +57,35 @@ def _sized_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def run_to_parquet(stream: DataFrame, folder: str) -> StreamingQuery:
-    """Append a stream's closed results to `folder/data`; progress is kept in `folder/checkpoint`."""
+def run_to_parquet(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream's closed results to `folder/data`; progress is kept in `folder/checkpoint`.
+
+    With `every` (such as "10 seconds") the query keeps running, else it stops at the end of the data.
+    """
     with _sized_state(stream.sparkSession):
         return (stream.writeStream.outputMode("append").format("parquet")
                 .option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint")
-                .trigger(availableNow=True).start())
+                .trigger(**_trigger(every)).start())
 
 
-def run_batches(stream: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame],
-                mode: str = "append") -> StreamingQuery:
-    """Write `make(batch)` per micro-batch; a repeated batch overwrites its own folder, never adds twice."""
+def batch_writer(folder: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Write `make(batch)` to the batch's own folder: a repeated batch overwrites itself, never adds twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
         make(batch).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
 
+    return write
+
+
+def run_batches(stream: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame],
+                mode: str = "append", every: str | None = None) -> StreamingQuery:
+    """Run `make` on every micro-batch and keep its rows under `folder/data`."""
     with _sized_state(stream.sparkSession):
-        return (stream.writeStream.outputMode(mode).foreachBatch(write)
-                .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+        return (stream.writeStream.outputMode(mode).foreachBatch(batch_writer(folder, make))
+                .option("checkpointLocation", f"{folder}/checkpoint").trigger(**_trigger(every)).start())
+
+
+def _trigger(every: str | None) -> dict[str, Any]:
+    return {"processingTime": every} if every else {"availableNow": True}
 
 
 def replay(stream: DataFrame, name: str, make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -80,3 +80,26 @@ def test_late_rows_are_left_out(spark):
     got = jobs.replay(windows.window_calls(log, "10 seconds"), "late")
     assert rows(got.select(F.date_format("window_start", "HH:mm:ss"), "tot")) == [
         ("10:00:00", 1), ("10:30:00", 1), ("10:31:00", 1)]
+
+
+def test_a_restarted_query_goes_on_where_it_stopped(spark):
+    source, folder = work_dir(spark, "live"), work_dir(spark, "live-out")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    for time in ("10:00:00", "10:30:00", "11:30:00"):
+        outbound(spark, [call(time, "FINN")]).coalesce(1).write.mode("append").parquet(source)
+        log = jobs.read_log_stream(spark, source, schemas.OUTBOUND_LOG)
+        query = jobs.run_to_parquet(windows.window_calls(log, "10 seconds"), folder, every="1 second")
+        query.processAllAvailable()
+        query.stop()
+    got = spark.read.parquet(f"{folder}/data")
+    assert rows(got.select(F.date_format("window_start", "HH:mm:ss"), "tot")) == [("10:00:00", 1), ("10:30:00", 1)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+
+
+def test_a_repeated_batch_overwrites_itself(spark):
+    calls = outbound(spark, [call("10:00:00", "FINN"), call("11:00:00", "FINN")])
+    folder = work_dir(spark, "batches")
+    write = jobs.batch_writer(folder, lambda batch: batch.select("switch_id"))
+    for batch_id in (0, 1, 1):
+        write(calls, batch_id)
+    assert spark.read.parquet(f"{folder}/data").groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 2), (1, 2)]

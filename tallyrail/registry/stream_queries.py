@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyrail.registry import views as v
 from tallyrail.registry.core import register
-from tallyrail.sources.readers import log_with_times, read_parquet
+from tallyrail.sources.readers import log_with_times
 from tallyrail.streaming import alerts, jobs, pairing, windows
 
 # The closing marker passes the views' filters (an outbound channel, an answered request).
@@ -12,9 +12,8 @@ MARKER = {"event_id": 1, "event_type": "purchase"}
 
 
 def _coded(spark, sf):
-    path = f"{sf}/events.parquet"
-    table = read_parquet(spark, path)
-    stream = jobs.read_log_stream(spark, path, table.schema)
+    table = v.raw_table(spark, sf, "events")
+    stream = jobs.read_log_stream(spark, f"{sf}/events.parquet", table.schema)
     return v.coded_log(log_with_times(jobs.with_closing_marker(stream, table, "ts", MARKER)))
 
 

@@ -35,6 +35,8 @@ def test_query_equals_its_sql(spark, duck, name):
     expected = sorted((tuple(shown(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
     assert sorted(names) == columns
     assert got and got == expected
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "EvalPython" not in plan
 
 
 def test_entry(spark):

@@ -26,7 +26,8 @@ COUNTS = ("approve", "tot")
 
 def inbound_slots(log: DataFrame, keys: Sequence[str] = KEYS_3, exclude_trx: Sequence[str] = (),
                   exclude_resp: Sequence[str] = (), exclude_bsns: Sequence[str] = (),
-                  as_of: datetime | None = None, minutes: int = 60, step: int = 5) -> DataFrame:
+                  exclude_response_trx: Sequence[str] = (), as_of: datetime | None = None,
+                  minutes: int = 60, step: int = 5) -> DataFrame:
     """Answered requests per slot and channel; with `as_of`, of the requests one poll looks back on."""
     asked, answered = requests(log), responses(log)
     if as_of is not None:
@@ -37,6 +38,8 @@ def inbound_slots(log: DataFrame, keys: Sequence[str] = KEYS_3, exclude_trx: Seq
         asked = asked.where(~F.col("bsns_cd").isin(list(exclude_bsns)))
     if exclude_resp:
         answered = answered.where(~F.col("resp_cd").isin(list(exclude_resp)))
+    if exclude_response_trx:
+        answered = answered.where(~F.col("trx_cd").isin(list(exclude_response_trx)))
     return pair_sums(with_slot(asked, step), answered, keys, SLOT, approval_measures())
 
 

@@ -39,6 +39,8 @@ def test_live_slots(spark):
     assert rows(used, "switch_id", "slot", "approve", "tot", "rate") == [
         ("ATMD", "11:05", 1, 2, 50), ("ATMD", "11:55", 0, 1, 0)]
     assert series.where("approve > tot").count() == 0
+    other = dashboards.inbound_slots(log, exclude_trx=("NEW_KEY",), exclude_response_trx=("NPAYMNT",), as_of=now)
+    assert other.count() == 0
 
 
 def test_replayed_polls_equal_live_polls(spark):

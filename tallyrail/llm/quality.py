@@ -37,7 +37,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "web-2": (*BASE, "symbols", "repeated_lines", "capitals"),
     "strict-1": (*BASE, "symbols", "repeated_lines", "capitals", "long_words"),
 }
-POLICY = "web-2"
+POLICY = "web-1"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 
 

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrail.llm import decontam, quality
+from tallyrail.llm import decontam, langid, packing, quality, simhash
 from tallyrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(sql: str | None = None):
     def add(build):
         QUERIES[build.__name__] = build
@@ -90,3 +97,20 @@ FROM d LEFT JOIN nh USING (rid) LEFT JOIN ni USING (rid)"""
 @query(DECONTAM_SQL)
 def op8_benchmark_decontamination(spark, sf):
     return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op3_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    return langid.classify(docs, langid.learn(docs))
+
+
+@query()
+def op4_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query()
+def op9_simhash(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

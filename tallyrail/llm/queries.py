@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrail.llm import decontam, langid, packing, quality, simhash
+from tallyrail.llm import decontam, langid, lattice, packing, quality, simhash
 from tallyrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op4_packing(spark, sf):
 def op9_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_lattice_likelihood(spark, sf):
+    return lattice.score(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrail.llm import decontam, langid, lattice, packing, quality, simhash
+from tallyrail.llm import decontam, html, langid, lattice, licenses, packing, quality, simhash
 from tallyrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,13 @@ def op9_simhash(spark, sf):
 @query()
 def op10_lattice_likelihood(spark, sf):
     return lattice.score(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op2_license_scan(spark, sf):
+    return licenses.scan(table(spark, sf, "documents")).drop("spans")
+
+
+@query()
+def op6_html_extraction(spark, sf):
+    return html.extract(table(spark, sf, "pages"))

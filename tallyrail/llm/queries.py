@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrail.llm import decontam, html, langid, lattice, licenses, packing, quality, simhash
+from tallyrail.llm import chat, decontam, html, langid, lattice, licenses, packing, quality, simhash, urls
 from tallyrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,80 @@ def op2_license_scan(spark, sf):
 @query()
 def op6_html_extraction(spark, sf):
     return html.extract(table(spark, sf, "pages"))
+
+
+# Control strings and escapes as lengths: every control-like string in a text costs one backslash.
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|SYS\]|/?INST\]|/?ROLE\])')) + 7
+         + CASE role WHEN 'system' THEN 5 WHEN 'user' THEN 6 WHEN 'assistant' THEN 7
+           ELSE 13 + length(role) + len(regexp_extract_all(role, '[<\[]\\*(?:/?s>|SYS\]|/?INST\]|/?ROLE\])')) END AS chars
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id"""
+
+
+@query(CHAT_SQL)
+def op1_chat_formatting(spark, sf):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return chat.read_back(chat.format_turns(turns, ranks), ranks)
+
+
+URL_RULES: list[urls.Rule] = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/")]
+
+
+def _url_sql() -> str:
+    """The template tree, one set of common table expressions per level."""
+    fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{h}{p}'" for _, h, p in longest)
+    ruled = " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{v}'" for v, h, p in longest)
+    levels = "".join(f"""
+x{d} AS (SELECT *, segments[{d + 1}] AS seg FROM t{d}),
+c{d} AS (
+  SELECT host, template, seg, sum(n) AS cn, CAST(sum(labelled) AS DOUBLE) AS cl, CAST(sum(blocked) AS DOUBLE) AS cb
+  FROM x{d} WHERE seg IS NOT NULL GROUP BY ALL),
+p{d} AS (SELECT host, template, count(*) AS kids, sum(cn) AS pn, sum(cl) AS pl, sum(cb) AS pb FROM c{d} GROUP BY ALL),
+k{d} AS (
+  SELECT host, template, seg, CASE WHEN kids > 1 AND ((cb * pl - pb * cl) * (cb * pl - pb * cl) <= 3.84::DOUBLE * cl * pb * (pl - pb)
+    OR (kids > 50 AND cn * 100 < pn * 1)) THEN '*' ELSE seg END AS token FROM c{d} JOIN p{d} USING (host, template)),
+t{d + 1} AS (
+  SELECT host, path, n, labelled, blocked, segments,
+         CASE WHEN seg IS NULL THEN template ELSE template || '/' || token END AS template
+  FROM x{d} LEFT JOIN k{d} USING (host, template, seg)),""" for d in range(urls.DEPTH))
+    return rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{urls.PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '{urls.PARTS}', 2) AS path FROM pages),
+r AS (
+  SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, regexp_replace(path, '[0-9]+', '{{n}}', 'g') AS shape FROM u),
+t0 AS (
+  SELECT host, shape AS path, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, '' AS template,
+         CASE WHEN shape = '' THEN [] ELSE list_concat(string_split(regexp_replace(shape, '^/', ''), '/')[1:3], CASE WHEN
+           len(string_split(regexp_replace(shape, '^/', ''), '/')) > 3 THEN
+           [array_to_string(string_split(regexp_replace(shape, '^/', ''), '/')[4:], '/')] ELSE [] END) END AS segments
+  FROM r GROUP BY host, shape),{levels}
+pure AS (
+  SELECT host, template, (sum(blocked) + 2.0::DOUBLE) / (sum(labelled) + 4.0::DOUBLE) AS purity FROM t{urls.DEPTH} GROUP BY ALL)
+SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
+       t.template, purity
+FROM r JOIN t{urls.DEPTH} t ON t.host = r.host AND t.path = r.shape
+JOIN pure ON pure.host = t.host AND pure.template = t.template"""
+
+
+@query(_url_sql())
+def op5_url_filter(spark, sf):
+    return urls.judge(table(spark, sf, "pages"), URL_RULES)

@@ -133,6 +133,7 @@ CHANNEL_LABELS = (
     ("ATMD", None, "ATM Driving"),
     ("GIBI", "PBK", "Personal Banking(PBK)"),
     ("GIBI", "MBK", "Mobile Banking(MBK)"),
+    ("GIBI", "ODS", "1Q Pioneer"),
     ("GIBI", "CBS", "Corporate Banking(CBS)"),
     ("LOCL", None, "EDC"),
     ("ARON", None, "Visa"),

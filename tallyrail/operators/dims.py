@@ -1,8 +1,8 @@
 """Dimension lookups.
 
 Reports join dimensions to counts, not to logs, and leave the strategy to Catalyst and AQE, which broadcast
-below `spark.sql.autoBroadcastJoinThreshold`. Only a lookup on log rows asks for a broadcast, through
-`broadcast_if_small`, which counts the dimension first.
+below `spark.sql.autoBroadcastJoinThreshold`. `broadcast_if_small` is for live readings, whose few request keys are
+counted first.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ BROADCAST_ROWS = 100_000
 def broadcast_if_small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Ask for a broadcast if the dimension has at most `rows` rows, else leave the join as it is.
 
-    The count runs when the query is built, so give it a dimension table, not something made from a log.
+    The count runs when the query is built, so give it a table, or a narrow and pruned part of a log.
     """
     small = dimension.limit(rows + 1).count() <= rows
     return F.broadcast(dimension) if small else dimension

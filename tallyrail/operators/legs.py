@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyrail import config
 from tallyrail.functions.codes import is_approved, is_error, is_service_error
 from tallyrail.functions.rates import n_rows, n_where
+from tallyrail.operators.dims import broadcast_if_small
 
 KEYS_3 = ("trx_dt", "switch_id", "trc_ad_no")
 KEYS_4 = (*KEYS_3, "ret_ref_no")
@@ -93,6 +94,16 @@ def pair_counts(request_legs: DataFrame, response_legs: DataFrame, keys: Sequenc
     return pair_sums(request_legs, response_legs, keys, by, {"n": F.lit(True)}, by_response)
 
 
+def answers_to(request_legs: DataFrame, response_legs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The responses with a key of the given requests, before anything is counted or shuffled.
+
+    For live readings: their few requests are counted when the query is built, and their keys are broadcast if they are
+    as few as expected; else the responses are joined by a shuffle. The paired result is the same.
+    """
+    wanted = request_legs.select(*keys).distinct()
+    return response_legs.join(broadcast_if_small(wanted), list(keys), "left_semi")
+
+
 def unanswered_requests(request_legs: DataFrame, response_legs: DataFrame,
                         keys: Sequence[str] = KEYS_4, by: Sequence[str] = ("trx_cd",)) -> DataFrame:
     """Correlation keys with requests but no response, with the number of such requests."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyrail import config
 from tallyrail.functions.text import field_at, has_keywords
-from tallyrail.operators.dims import broadcast_if_small, map_message_family
+from tallyrail.operators.dims import map_message_family
 
 
 UNLISTED = "*"
@@ -51,7 +51,7 @@ def layout_offsets(fields: DataFrame, by: Sequence[str] = ("trx_cd",),
 
 
 def field_places(offsets: DataFrame) -> DataFrame:
-    """One row per message code with the places of its currency and amount; broadcast if small.
+    """One row per message code with the places of its currency and amount.
 
     A field is found by a part of its name; the first one counts.
     """
@@ -61,23 +61,28 @@ def field_places(offsets: DataFrame) -> DataFrame:
 
     found = offsets.groupBy(F.col("trx_cd").alias("layout_cd")).agg(
         first(config.CURRENCY_NAMES).alias("_ccy"), first(config.AMOUNT_NAMES).alias("_amt"))
-    return broadcast_if_small(found.select(
+    return found.select(
         "layout_cd", F.col("_ccy.position").alias("ccy_pos"), F.col("_ccy.field_len").alias("ccy_len"),
-        F.col("_amt.position").alias("amt_pos"), F.col("_amt.field_len").alias("amt_len")))
+        F.col("_amt.position").alias("amt_pos"), F.col("_amt.field_len").alias("amt_len"))
 
 
 def layout_extract(log: DataFrame, places: DataFrame, payload: str = "log_data",
                    scale: int = 0) -> DataFrame:
     """Currency and amount of every message, each by the layout of its own message code.
 
-    `places` comes from `field_places`; `scale` is the number of implied decimals in the amount text.
+    `places` comes from `field_places`; `scale` is the number of implied decimals in the amount text. One join finds a
+    listed code; the places of every other message are one value for the whole query.
     """
+    names = ["ccy_pos", "ccy_len", "amt_pos", "amt_len"]
+    other = places.where(F.col("layout_cd") == UNLISTED).select(F.struct(*names)).scalar()
+    listed = places.select(F.col("layout_cd").alias("_listed"), F.struct(*names).alias("_own"))
+    placed = log.join(listed, F.col("trx_cd") == F.col("_listed"), "left").withColumn(
+        "_place", F.when(F.col("_listed").isNotNull(), F.col("_own")).otherwise(other))
     amount = F.expr("try_cast(trim(_amt) as decimal(18,2))") / F.lit(10 ** scale)
-    return (with_layout_code(log, places).join(places, ["layout_cd"], "left")
-            .withColumn("ccy", field_at(payload, "ccy_pos", "ccy_len"))
-            .withColumn("_amt", field_at(payload, "amt_pos", "amt_len"))
+    return (placed.withColumn("ccy", field_at(payload, "_place.ccy_pos", "_place.ccy_len"))
+            .withColumn("_amt", field_at(payload, "_place.amt_pos", "_place.amt_len"))
             .withColumn("amt", amount.cast("decimal(18,2)"))
-            .drop("layout_cd", "ccy_pos", "ccy_len", "amt_pos", "amt_len", "_amt"))
+            .drop("_listed", "_own", "_place", "_amt"))
 
 
 def search_payload(inbound: DataFrame, outbound: DataFrame, channel: str, keywords: Sequence[str],

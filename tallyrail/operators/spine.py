@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,20 @@ def polls_every(log: DataFrame, every: int, minutes: int = 60, ts: str = "event_
         F.timestamp_seconds(F.col("_poll") * every * 60).alias("poll_ts"))
 
 
+def polls_between(spark: SparkSession, first: datetime, last: datetime, every: int, minutes: int = 60) -> DataFrame:
+    """All regular polls that see a time between `first` and `last`, without reading a log."""
+    size, lookback = every * 60, minutes * 60
+    start, end = F.unix_micros(F.lit(first)), F.unix_micros(F.lit(last))
+    polls = F.sequence(_ceil(start, size * MICROS), _floor(end + lookback * MICROS, size * MICROS))
+    return spark.range(0, 1, 1, 1).select(F.explode(polls).alias("_poll")).select(
+        F.timestamp_seconds(F.col("_poll") * size).alias("poll_ts"))
+
+
+def days_between(spark: SparkSession, first: date, last: date, day: str = "trx_dt") -> DataFrame:
+    """Every day between two days, without reading a log."""
+    return spark.range(0, 1, 1, 1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias(day))
+
+
 def _floor(value: Column, size: int) -> Column:
     return ((value - F.pmod(value, F.lit(size))) / size).cast("bigint")
 

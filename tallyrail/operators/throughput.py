@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyrail import config
 from tallyrail.functions.rates import floor_pct
 from tallyrail.functions.timeaxis import MICROS, instant
-from tallyrail.operators.legs import KEYS_5, approval_measures, counted, pair_sums, requests, responses
+from tallyrail.operators.legs import KEYS_5, answers_to, approval_measures, counted, pair_sums, requests, responses
 from tallyrail.operators.spine import on_spine, with_keys
 from tallyrail.sources.readers import lagged_window
 
@@ -33,9 +33,11 @@ def with_window_no(log: DataFrame, as_of: datetime, lag: int, width: int, window
 
 
 def throughput(inbound: DataFrame, outbound: DataFrame, as_of: datetime, lag: int = 210, width: int = 10,
-               windows: int = 1, inclusive: bool = False, ts: str = "reg_ts") -> DataFrame:
+               windows: int = 1, inclusive: bool = False, ts: str = "reg_ts", live: bool = False) -> DataFrame:
     """Paired inbound and raw outbound counts per window; empty windows count zero.
 
+    `live` narrows the responses by the keys of the windows' requests before they are counted (`answers_to`).
+
     One window is the live reading, eleven (with lag 220) the dashboard's strip; all windows come from
     one read of each log leg.
     """
@@ -43,7 +45,8 @@ def throughput(inbound: DataFrame, outbound: DataFrame, as_of: datetime, lag: in
         return with_window_no(log, as_of, lag, width, windows, ts, inclusive)
 
     asked = numbered(requests(inbound).where(F.col("bsns_cd") != config.ODS))
-    inc = pair_sums(asked, responses(inbound), KEYS_5, ["window_no"], approval_measures())
+    answered = answers_to(asked, responses(inbound), KEYS_5) if live else responses(inbound)
+    inc = pair_sums(asked, answered, KEYS_5, ["window_no"], approval_measures())
     out = numbered(outbound).groupBy("window_no").agg(
         *counted(approval_measures()))
     facts = inc.withColumn("direction", F.lit("INC")).unionByName(out.withColumn("direction", F.lit("OUT")))

@@ -32,18 +32,18 @@ def _bill_requests(inbound: DataFrame, channels: Sequence[str], codes: Sequence[
 def billpay_monitor(inbound: DataFrame, catalog: DataFrame,
                     channels: Sequence[str] = config.BILLPAY_CHANNELS,
                     codes: Sequence[str] = config.BILLPAY_PAYMENTS,
-                    product_field: tuple[int, int] = config.PRODUCT_FIELD, top: int = 13) -> DataFrame:
-    """The `top` products by payments, with the rounded approval percent.
+                    product_field: tuple[int, int] = config.PRODUCT_FIELD) -> DataFrame:
+    """Payments of every product and day, with the rounded approval percent.
 
     Requests are counted per payload field first; the catalog joins the counts, not the log.
     """
     asked = _bill_requests(inbound, channels, codes).withColumn(
         "product_cd", field("log_data", *product_field))
-    sums = pair_sums(asked, responses(inbound), KEYS_4, ["product_cd"], approval_measures())
-    named = sums.join(products(catalog), ["product_cd"]).groupBy("product").agg(
+    sums = pair_sums(asked, responses(inbound), KEYS_4, ["trx_dt", "product_cd"], approval_measures())
+    named = sums.join(products(catalog), ["product_cd"]).groupBy("trx_dt", "product").agg(
         F.sum("approve").alias("approve"), F.sum("tot").alias("tot"))
     return (named.withColumn("rate", round_pct(F.col("approve"), F.col("tot")))
-            .orderBy(F.desc("tot"), "product").limit(top))
+            .orderBy("trx_dt", F.desc("tot"), "product"))
 
 
 def payment_type(inquiries: Sequence[str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,8 +97,10 @@ def catalog_counts(inbound: DataFrame, outbound: DataFrame, catalog: DataFrame,
                    outbound_prefix: str = config.OUTBOUND_FEED_PREFIX,
                    request_coded: Mapping[str, Sequence[str]] | None = None,
                    strict_channels: Sequence[str] = (),
-                   single_bsns: str = config.OUTBOUND_BSNS) -> DataFrame:
-    """Answered messages per catalogued code and response; unused codes are kept with a zero.
+                   single_bsns: str = config.OUTBOUND_BSNS, *, days: tuple[date, date]) -> DataFrame:
+    """Answered messages per day, catalogued code and response; codes unused on a day are kept with a zero.
+
+    `days` are the first and last day of the report. Only catalogued requests are paired, and each leg is read once.
 
     `split_channels` report their business codes apart, the others under `single_bsns`. `outbound_feeds`
     adds the calls of other channels to a channel, with the business code taken from the response payload.
@@ -105,25 +108,37 @@ def catalog_counts(inbound: DataFrame, outbound: DataFrame, catalog: DataFrame,
     request leg. `strict_channels` need equal business codes on both legs and leave out `ODS`. Rows without
     a response code count zero.
     """
-    used = ["switch_id", "bsns_cd", "trx_cd"]
-    # A channel that needs equal business codes on both legs gets them as part of its key.
+    used = ["trx_dt", "switch_id", "bsns_cd", "trx_cd"]
+    listed = catalog.select(F.col("cnts_5").alias("switch_id"), F.col("cnts_1").alias("trx_cd")).distinct()
     strict = F.col("switch_id").isin(list(strict_channels))
-    keyed = inbound.withColumn("_own", F.when(strict, F.col("bsns_cd")).otherwise(F.lit("")))
-    asked, answered = requests(keyed), responses(keyed)
+    coded = request_coded or {}
     by_request = F.lit(False)
-    for channel, codes in (request_coded or {}).items():
+    for channel, codes in coded.items():
         by_request = by_request | (
             (F.col("switch_id") == channel) & F.coalesce(F.col("trx_cd").isin(list(codes)), F.lit(False)))
 
-    usual = asked.where(~by_request & (~strict | (F.col("bsns_cd") != config.ODS)))
-    parts = [pair_counts(usual, answered, [*KEYS_4, "_own"], used)]
-    if request_coded:
-        parts.append(pair_sums(asked.where(by_request), answered, KEYS_3, [*used, "resp_cd"],
-                               {"n": F.lit(True)}))
+    # A leg's key beyond channel and trace: usually the reference, and where both legs need it the business code. A
+    # request that is paired on three keys has neither, and so has a second copy of its channel's responses.
+    usual = F.struct(F.lit(False).alias("short"), F.col("ret_ref_no").alias("ref"),
+                     F.when(strict, F.col("bsns_cd")).otherwise(F.lit("")).alias("own"))
+    short = F.struct(F.lit(True).alias("short"), F.lit("").alias("ref"), F.lit("").alias("own"))
+    asked = (requests(inbound).join(listed, ["switch_id", "trx_cd"], "left_semi")
+             .where(by_request | ~strict | (F.col("bsns_cd") != config.ODS))
+             .withColumn("_key", F.when(by_request, short).otherwise(usual)))
+    ways = F.when(F.col("switch_id").isin(list(coded)), F.array(usual, short)).otherwise(F.array(usual))
+    answered = (responses(inbound).join(listed.select("switch_id").distinct(), ["switch_id"], "left_semi")
+                .withColumn("_key", F.explode(ways)))
+    keys = [*KEYS_3, "_short", "_ref", "_own"]
+    asked, answered = (leg.withColumns({f"_{k}": F.col(f"_key.{k}") for k in ("short", "ref", "own")})
+                       for leg in (asked, answered))
+    asked = asked.withColumn("_asked_code", F.when(by_request, F.col("resp_cd")))
+    paired = pair_counts(asked, answered, keys, [*used, "_short", "_asked_code"])
+    code = F.when(F.col("_short"), F.col("_asked_code")).otherwise(F.col("resp_cd"))
+    parts = [paired.select(*used, code.alias("resp_cd"), "n")]
     for channel, feeds in outbound_feeds.items():
         calls = outbound.where(F.col("switch_id").isin(list(feeds))
                                & F.col("trx_cd").startswith(outbound_prefix))
-        calls = calls.select(F.lit(channel).alias("switch_id"),
+        calls = calls.select("trx_dt", F.lit(channel).alias("switch_id"),
                              field("o_log_data", *outbound_field).alias("bsns_cd"), "trx_cd", "resp_cd")
         parts.append(calls.groupBy(*used, "resp_cd").agg(n_rows().alias("n")))
 
@@ -131,15 +146,15 @@ def catalog_counts(inbound: DataFrame, outbound: DataFrame, catalog: DataFrame,
     facts = (reduce(DataFrame.unionByName, parts)
              .withColumn("bsns_cd", F.when(split, F.col("bsns_cd")).otherwise(F.lit(single_bsns)))
              .groupBy(*used, "resp_cd").agg(F.sum("n").alias("n")))
-    listed = catalog.select(F.col("cnts_5").alias("switch_id"), F.col("cnts_1").alias("trx_cd")).distinct()
-    return listed.join(facts, ["switch_id", "trx_cd"], "left").select(
-        "switch_id",
+    every_day = listed.withColumn("trx_dt", F.explode(F.sequence(*[F.lit(d) for d in days])))
+    return every_day.join(facts, ["trx_dt", "switch_id", "trx_cd"], "left").select(
+        "trx_dt", "switch_id",
         F.when(split, F.col("bsns_cd")).otherwise(F.lit(single_bsns)).alias("bsns_cd"),
         "trx_cd", "resp_cd",
         F.when(F.col("resp_cd").isNull(), F.lit(0)).otherwise(F.col("n")).alias("n"))
 
 
-CODE = ("switch_id", "bsns_cd", "trx_cd")
+CODE = ("trx_dt", "switch_id", "bsns_cd", "trx_cd")
 
 
 def catalog_coverage(counts: DataFrame) -> DataFrame:

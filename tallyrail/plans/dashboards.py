@@ -14,8 +14,8 @@ from tallyrail.functions.codes import binary_resp_code, decode_values, in_channe
 from tallyrail.functions.rates import floor_pct, round_pct
 from tallyrail.functions.text import field
 from tallyrail.operators.legs import (
-    KEYS_3, KEYS_4, KEYS_5, approval_measures, counted, pair_counts, pair_sums, pair_sums_by_key, requests,
-    responses)
+    KEYS_3, KEYS_4, KEYS_5, answers_to, approval_measures, counted, pair_counts, pair_sums, pair_sums_by_key,
+    requests, responses)
 from tallyrail.operators.spine import (
     minute_spine, on_spine, polls_at, seen_at, seen_every, with_keys, with_slot)
 from tallyrail.sources.readers import lookback
@@ -40,6 +40,8 @@ def inbound_slots(log: DataFrame, keys: Sequence[str] = KEYS_3, exclude_trx: Seq
         answered = answered.where(~F.col("resp_cd").isin(list(exclude_resp)))
     if exclude_response_trx:
         answered = answered.where(~F.col("trx_cd").isin(list(exclude_response_trx)))
+    if as_of is not None:
+        answered = answers_to(asked, answered, keys)
     return pair_sums(with_slot(asked, step), answered, keys, SLOT, approval_measures())
 
 
@@ -84,7 +86,7 @@ def feed_slots(feed: DataFrame, as_of: datetime | None = None, minutes: int = 60
     """Price-feed rows per slot; rows without an instrument do not count."""
     rows = feed if as_of is None else lookback(feed, as_of, minutes, day="feed_dt")
     return with_slot(rows, step).groupBy("slot_ts", "on_start").agg(
-        F.count(F.substring("ric", 1, 3)).alias("tot"))
+        F.count("ric").alias("tot"))
 
 
 def live_heartbeat(facts: DataFrame, as_of: datetime, minutes: int = 60, step: int = 5) -> DataFrame:

@@ -250,7 +250,7 @@ GROUP BY ALL""")
 def spine_left_join(spark, sf):
     calls = v.outbound_log(spark, sf).groupBy("trx_dt", hour_label().alias("hour")).agg(
         n_rows().alias("n"), F.count("resp_cd").alias("answered"))
-    axis = spine.hour_spine(spine.day_spine(v.inbound_log(spark, sf)))
+    axis = spine.hour_spine(v.days(spark, sf))
     return spine.on_spine(axis, calls, ["trx_dt", "hour"], ["n", "answered"]).select(
         "trx_dt", "hour", "n", "answered")
 

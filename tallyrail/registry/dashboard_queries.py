@@ -30,14 +30,14 @@ def _shown(series):
                          "tot", "rate")
 
 
-def _polls(log):
-    return spine.polls_every(log, POLL)
+def _polls(spark, sf):
+    return v.polls(spark, sf, POLL)
 
 
 def _inbound_series(spark, sf, exclude_resp=(), channels=(*v.CHANNELS, v.SILENT_CHANNEL)):
     log = v.inbound_log(spark, sf)
     facts = dashboards.inbound_slots(log, exclude_trx=v.ADMIN_MESSAGES, exclude_resp=exclude_resp)
-    return dashboards.replayed_series(facts, _polls(log), POLL, channels)
+    return dashboards.replayed_series(facts, _polls(spark, sf), POLL, channels)
 
 
 @register("slots_inbound", slots(INBOUND_FACTS, ALL) + f"SELECT {SLOT_COLUMNS} FROM rated")
@@ -55,7 +55,7 @@ def slots_inbound_filtered(spark, sf):
 def slots_inbound_strict(spark, sf):
     log = v.inbound_log(spark, sf)
     facts = dashboards.inbound_slots(log, KEYS_5, v.ADMIN_MESSAGES, exclude_bsns=(config.ODS,))
-    return _shown(dashboards.replayed_series(facts, _polls(log), POLL, [*v.CHANNELS, v.SILENT_CHANNEL]))
+    return _shown(dashboards.replayed_series(facts, _polls(spark, sf), POLL, [*v.CHANNELS, v.SILENT_CHANNEL]))
 
 
 @register("slots_both", slots(f"""{INBOUND_FACTS} UNION ALL
@@ -65,14 +65,14 @@ def slots_both(spark, sf):
     log = v.inbound_log(spark, sf)
     inc = dashboards.inbound_slots(log, exclude_trx=v.ADMIN_MESSAGES)
     out = dashboards.outbound_slots(v.outbound_log(spark, sf), v.ADMIN_CALLS)
-    return _shown(dashboards.replayed_series(dashboards.both_slots(inc, out), _polls(log), POLL, ["PURC", "SIGN"]))
+    return _shown(dashboards.replayed_series(dashboards.both_slots(inc, out), _polls(spark, sf), POLL, ["PURC", "SIGN"]))
 
 
 @register("slots_outbound", slots(OUTBOUND_FACTS + " WHERE trx_cd = 'OPAYMNT'", "PURC SIGN")
           + f"SELECT {SLOT_COLUMNS} FROM rated")
 def slots_outbound(spark, sf):
     facts = dashboards.outbound_slots(v.outbound_log(spark, sf), only_trx=("OPAYMNT",))
-    polls = _polls(v.inbound_log(spark, sf))
+    polls = _polls(spark, sf)
     return _shown(dashboards.replayed_series(facts, polls, POLL, ["PURC", "SIGN"]))
 
 
@@ -100,7 +100,7 @@ SELECT strftime(poll_ts, '%Y-%m-%d %H:%M:%S') AS poll_ts, CAST(slot_no AS BIGINT
 
 def _heartbeat(spark, sf):
     facts = dashboards.feed_slots(v.price_feed(spark, sf))
-    return dashboards.replayed_heartbeat(facts, _polls(v.inbound_log(spark, sf)), POLL)
+    return dashboards.replayed_heartbeat(facts, _polls(spark, sf), POLL)
 
 
 def _beat(rows):
@@ -131,7 +131,7 @@ OUTBOUND_HEALTH_RULES = (*v.OUTBOUND_RULES, *config.rules(v.SILENT_CHANNEL))
 
 
 def _outbound_health(spark, sf):
-    days = spine.day_spine(v.inbound_log(spark, sf))
+    days = v.days(spark, sf)
     return dashboards.outbound_health(v.outbound_log(spark, sf), days, OUTBOUND_HEALTH_RULES)
 
 
@@ -153,7 +153,7 @@ SELECT {DAY}, switch_id, approve, tot, {HEALTH} FROM (
   ON p.trx_dt = d.trx_dt AND p.switch_id = c.switch_id GROUP BY ALL)""")
 def inbound_health(spark, sf):
     log = v.inbound_log(spark, sf)
-    return dashboards.inbound_health(log, spine.day_spine(log), v.HEALTH_RULES, ("05",))
+    return dashboards.inbound_health(log, v.days(spark, sf), v.HEALTH_RULES, ("05",))
 
 
 def _strip(spark, sf, windows, width):

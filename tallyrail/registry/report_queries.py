@@ -78,17 +78,18 @@ def active_channels(spark, sf):
 # Message catalog report: CLIC shows its business codes apart and also takes the calls of PURC and SIGN,
 # whose codes start with 'O'; their business code is read from the response payload.
 FACTS_SQL = """, code_rows AS (
-  SELECT switch_id, CASE WHEN switch_id = 'CLIC' THEN bsns_cd ELSE 'EB1' END AS bsns_cd, trx_cd, resp_cd FROM (
+  SELECT trx_dt, switch_id, CASE WHEN switch_id = 'CLIC' THEN bsns_cd ELSE 'EB1' END AS bsns_cd, trx_cd, resp_cd FROM (
     {pairs}
     UNION ALL
-    SELECT 'CLIC', substr(o_log_data, 1, 3), trx_cd, resp_cd FROM outbound_log
+    SELECT trx_dt, 'CLIC', substr(o_log_data, 1, 3), trx_cd, resp_cd FROM outbound_log
     WHERE switch_id IN ('PURC', 'SIGN') AND trx_cd LIKE 'O%')),
 coverage AS (
-  SELECT m.switch_id, CASE WHEN m.switch_id = 'CLIC' THEN r.bsns_cd ELSE 'EB1' END AS bsns_cd, m.trx_cd,
+  SELECT days.trx_dt, m.switch_id, CASE WHEN m.switch_id = 'CLIC' THEN r.bsns_cd ELSE 'EB1' END AS bsns_cd, m.trx_cd,
          r.resp_cd, count(r.resp_cd) AS n
-  FROM ({codes}) m LEFT JOIN code_rows r USING (switch_id, trx_cd) GROUP BY ALL),
+  FROM ({codes}) m CROSS JOIN days LEFT JOIN code_rows r
+  ON r.switch_id = m.switch_id AND r.trx_cd = m.trx_cd AND r.trx_dt = days.trx_dt GROUP BY ALL),
 code_sums AS (
-  SELECT switch_id, bsns_cd, trx_cd, CAST(sum(n) AS BIGINT) AS volume,
+  SELECT trx_dt, switch_id, bsns_cd, trx_cd, CAST(sum(n) AS BIGINT) AS volume,
          CAST(coalesce(sum(n) FILTER (WHERE resp_cd <> '00'), 0) AS BIGINT) AS errors,
          CAST(coalesce(sum(n) FILTER (WHERE resp_cd NOT IN ('00', '51', '91')), 0) AS BIGINT) AS service_errors
   FROM coverage GROUP BY ALL)
@@ -103,32 +104,33 @@ def _catalog(spark, extra):
 
 
 @register("catalog_coverage", FACTS_SQL.format(
-    pairs="SELECT switch_id, bsns_cd, trx_cd, rc AS resp_cd FROM pair4", codes=CODES_SQL) + """
-SELECT s.switch_id, s.bsns_cd, s.trx_cd, volume, errors,
+    pairs="SELECT trx_dt, switch_id, bsns_cd, trx_cd, rc AS resp_cd FROM pair4", codes=CODES_SQL) + """
+SELECT CAST(s.trx_dt AS VARCHAR) AS trx_dt, s.switch_id, s.bsns_cd, s.trx_cd, volume, errors,
        CAST(floor(100 * (volume - errors) / nullif(volume, 0)) AS BIGINT) AS success_rate, d.error_codes
 FROM code_sums s LEFT JOIN (
-  SELECT switch_id, bsns_cd, trx_cd, string_agg(resp_cd, ',' ORDER BY n, resp_cd) AS error_codes
-  FROM coverage WHERE resp_cd <> '00' AND n > 0 GROUP BY ALL) d
-ON d.switch_id = s.switch_id AND d.bsns_cd IS NOT DISTINCT FROM s.bsns_cd AND d.trx_cd = s.trx_cd""")
+  SELECT trx_dt, switch_id, bsns_cd, trx_cd, string_agg(resp_cd, ',' ORDER BY n, resp_cd) AS error_codes FROM (
+    SELECT *, row_number() OVER (PARTITION BY trx_dt, switch_id, bsns_cd, trx_cd ORDER BY n, resp_cd) AS rn
+    FROM coverage WHERE resp_cd <> '00' AND n > 0) WHERE rn <= 5 GROUP BY ALL) d
+ON d.trx_dt = s.trx_dt AND d.switch_id = s.switch_id AND d.bsns_cd IS NOT DISTINCT FROM s.bsns_cd AND d.trx_cd = s.trx_cd""")
 def catalog_coverage(spark, sf):
     return channels.catalog_coverage(channels.catalog_counts(
         v.inbound_log(spark, sf), v.outbound_log(spark, sf), _catalog(spark, ["OPAYMNT"]),
         split_channels=("CLIC",), outbound_feeds={"CLIC": ("PURC", "SIGN")}, outbound_field=(1, 3),
-        outbound_prefix="O"))
+        outbound_prefix="O", days=v.day_bounds(spark, sf)))
 
 
 @register("catalog_two_rate", FACTS_SQL.format(
-    pairs="""SELECT switch_id, bsns_cd, trx_cd, rc AS resp_cd FROM pair4
+    pairs="""SELECT trx_dt, switch_id, bsns_cd, trx_cd, rc AS resp_cd FROM pair4
     WHERE switch_id <> 'CLIC' AND NOT (switch_id = 'ERRO' AND trx_cd = 'NPAYMNT')
-    UNION ALL SELECT switch_id, bsns_cd, trx_cd, rc FROM pair5 WHERE switch_id = 'CLIC' AND bsns_cd <> 'ODS'
-    UNION ALL SELECT switch_id, bsns_cd, trx_cd, resp_cd FROM pair3 WHERE switch_id = 'ERRO' AND trx_cd = 'NPAYMNT'""",
+    UNION ALL SELECT trx_dt, switch_id, bsns_cd, trx_cd, rc FROM pair5 WHERE switch_id = 'CLIC' AND bsns_cd <> 'ODS'
+    UNION ALL SELECT trx_dt, switch_id, bsns_cd, trx_cd, resp_cd FROM pair3 WHERE switch_id = 'ERRO' AND trx_cd = 'NPAYMNT'""",
     codes=CODES_SQL + " UNION ALL SELECT 'CLIC', 'NINWARD'") + f"""
-SELECT switch_id, bsns_cd, trx_cd, {RATES} FROM code_sums""")
+SELECT {DAY}, switch_id, bsns_cd, trx_cd, {RATES} FROM code_sums""")
 def catalog_two_rate(spark, sf):
     return channels.catalog_two_rate(channels.catalog_counts(
         v.inbound_log(spark, sf), v.outbound_log(spark, sf), _catalog(spark, ["OPAYMNT", "NINWARD"]),
         split_channels=("CLIC",), outbound_feeds={"CLIC": ("PURC", "SIGN")}, outbound_field=(1, 3),
-        outbound_prefix="O", request_coded={"ERRO": v.PAYMENTS}, strict_channels=("CLIC",)),
+        outbound_prefix="O", days=v.day_bounds(spark, sf), request_coded={"ERRO": v.PAYMENTS}, strict_channels=("CLIC",)),
         v.CUSTOMER_CODES)
 
 
@@ -163,7 +165,7 @@ FROM hours h LEFT JOIN (
   FROM segmented GROUP BY ALL) s ON s.trx_dt = h.trx_dt AND s.hour = h.hour""")
 def hourly_segment(spark, sf):
     log = v.inbound_log(spark, sf)
-    axis = spine.hour_spine(spine.day_spine(log))
+    axis = spine.hour_spine(v.days(spark, sf))
     return spine.on_spine(axis, channels.segment_hours(log, SEGMENTS, v.COUNTRY), ["trx_dt", "hour"])
 
 
@@ -175,7 +177,7 @@ FROM hours h LEFT JOIN (
 ON s.trx_dt = h.trx_dt AND s.hour = h.hour""")
 def hourly_detail(spark, sf):
     log = v.inbound_log(spark, sf)
-    return drilldown.hourly_detail(log, spine.day_spine(log), "CLIC", "NPAYMNT")
+    return drilldown.hourly_detail(log, v.days(spark, sf), "CLIC", "NPAYMNT")
 
 
 @register("hourly_pivot", """
@@ -189,7 +191,7 @@ ON s.trx_dt = h.trx_dt AND s.hour = h.hour""")
 def hourly_pivot(spark, sf):
     log = v.inbound_log(spark, sf)
     wide = drilldown.hourly_pivot(drilldown.hourly_codes(log, "CLIC"), ["00", "51", "05", "91"])
-    return spine.on_spine(spine.hour_spine(spine.day_spine(log)), wide, ["trx_dt", "hour"])
+    return spine.on_spine(spine.hour_spine(v.days(spark, sf)), wide, ["trx_dt", "hour"])
 
 
 @register("hourly_channel", """
@@ -204,7 +206,7 @@ FROM hours h LEFT JOIN (
 ON s.trx_dt = h.trx_dt AND s.hour = h.hour""")
 def hourly_channel(spark, sf):
     log = v.inbound_log(spark, sf)
-    return drilldown.hourly_channel(log, v.outbound_log(spark, sf), spine.day_spine(log), "PURC",
+    return drilldown.hourly_channel(log, v.outbound_log(spark, sf), v.days(spark, sf), "PURC",
                                     exclude=v.ADMIN_MESSAGES)
 
 
@@ -221,15 +223,15 @@ def hourly_product(spark, sf):
     log = v.inbound_log(spark, sf)
     facts = billpay.product_hours(log, v.catalog(spark), "P0003", v.BILL_CHANNELS, v.PAYMENTS, v.INQUIRIES,
                                   v.PRODUCT)
-    return spine.on_spine(spine.hour_spine(spine.day_spine(log)), facts, ["trx_dt", "hour"])
+    return spine.on_spine(spine.hour_spine(v.days(spark, sf)), facts, ["trx_dt", "hour"])
 
 
-@register("billpay_monitor", """
-SELECT product, count(*) FILTER (WHERE rc = '00') AS approve, count(*) AS tot,
+@register("billpay_monitor", f"""
+SELECT {DAY}, product, count(*) FILTER (WHERE rc = '00') AS approve, count(*) AS tot,
        CAST(floor(100 * count(*) FILTER (WHERE rc = '00') / count(*) + 0.5) AS BIGINT) AS rate
 FROM pair4 JOIN products ON product_cd = substr(log_data, 15, 5)
 WHERE switch_id IN ('CLIC', 'ERRO', 'VIEW') AND trx_cd = 'NPAYMNT'
-GROUP BY product ORDER BY tot DESC, product LIMIT 13""")
+GROUP BY trx_dt, product""")
 def billpay_monitor(spark, sf):
     return billpay.billpay_monitor(v.inbound_log(spark, sf), v.catalog(spark), v.BILL_CHANNELS, v.PAYMENTS,
                                    v.PRODUCT)
@@ -247,8 +249,9 @@ sums AS (
   SELECT trx_dt, switch_id, bsns_cd, trx_type, product, CAST(sum(n) AS BIGINT) AS volume,
          CAST(coalesce(sum(n) FILTER (WHERE rc IS DISTINCT FROM '00'), 0) AS BIGINT) AS errors,
          CAST(coalesce(sum(n) FILTER (WHERE rc IS NULL OR rc NOT IN ('00', '51', '91')), 0) AS BIGINT) AS service_errors,
-         string_agg(rc, ',' ORDER BY n, rc) FILTER (WHERE rc <> '00') AS error_codes
-  FROM typed GROUP BY ALL)
+         string_agg(rc, ',' ORDER BY n, rc) FILTER (WHERE rc <> '00' AND rn <= 5) AS error_codes
+  FROM (SELECT *, row_number() OVER (PARTITION BY trx_dt, switch_id, bsns_cd, trx_type, product, coalesce(rc, '00') = '00'
+                                     ORDER BY n, rc) AS rn FROM typed) GROUP BY ALL)
 SELECT {DAY}, switch_id, bsns_cd, trx_type, product, {RATES}, error_codes FROM sums""")
 def billpay_report(spark, sf):
     counts = billpay.payload_counts(v.inbound_log(spark, sf), v.catalog(spark), v.BILL_CHANNELS, v.PAYMENTS,
@@ -274,10 +277,23 @@ def layout_extract(spark, sf):
                                         layout_of(spark), scale=2)
 
 
+@register("transaction_rows", f"""
+SELECT {DAY}, strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS event_ts, io_cd, trx_cd, resp_cd FROM inbound_log
+WHERE (switch_id, trc_ad_no, ret_ref_no) IN (
+  SELECT DISTINCT last(switch_id ORDER BY event_ts, event_id), last(trc_ad_no ORDER BY event_ts, event_id),
+         last(ret_ref_no ORDER BY event_ts, event_id) FROM inbound_log)""")
+def transaction_rows(spark, sf):
+    """All rows of the transaction that the log's last row belongs to."""
+    log = v.inbound_log(spark, sf)
+    key = F.struct("event_ts", "event_id")
+    last = log.agg(*[F.max_by(c, key).alias(c) for c in ("switch_id", "trc_ad_no", "ret_ref_no")]).first()
+    return drilldown.correlated(log, last.switch_id, last.trc_ad_no, last.ret_ref_no).select(
+        "trx_dt", "event_ts", "io_cd", "trx_cd", "resp_cd")
+
+
 @register("by_auth_flag", """
 SELECT CASE onoff WHEN '05' THEN 'Success 3DS' WHEN '06' THEN 'Trying 3DS' WHEN '07' THEN 'Failed 3DS'
-       ELSE coalesce(onoff, 'OFFLINE') END AS name, onoff, count(*) AS n FROM card_txn GROUP BY ALL
-ORDER BY n DESC, name LIMIT 11""")
+       ELSE coalesce(onoff, 'OFFLINE') END AS name, onoff, count(*) AS n FROM card_txn GROUP BY ALL""")
 def by_auth_flag(spark, sf):
     return merchants.by_auth_flag(v.card_txn(spark, sf))
 
@@ -313,8 +329,7 @@ SELECT name, total_trx, CAST(trx_amt_total AS DOUBLE) AS trx_amt_total,
 
 def _regions(spark, sf, dedupe):
     rolled = merchants.region_rollup(v.card_txn(spark, sf), v.code_table(spark, sf), "CITY", "PROV", dedupe)
-    average = F.col("trx_amt_total").cast("double") / F.col("total_trx")
-    return rolled.withColumn("trx_amt_avg", F.round(average, 2))
+    return rolled.withColumn("trx_amt_avg", F.round(F.col("trx_amt_avg").cast("double"), 2))
 
 
 @register("region_rollup", REGION_SQL.format(distinct="DISTINCT"))
@@ -328,11 +343,13 @@ def region_rollup_all(spark, sf):
 
 
 @register("region_json", """
-SELECT name, total_trx AS "value", format('{:,.2f}', CAST(trx_amt_total AS DOUBLE)) AS trx_amt_total
+SELECT name, total_trx AS "value", format('{:,.2f}', CAST(trx_amt_total AS DOUBLE)) AS trx_amt_total,
+       format('{:,.2f}', trx_amt_avg) AS trx_amt_avg
 FROM (""" + REGION_SQL.format(distinct="DISTINCT") + ")")
 def region_json(spark, sf):
     path = work_dir(spark, "region_json")
     write_json_objects(
         merchants.region_rollup(v.card_txn(spark, sf), v.code_table(spark, sf), "CITY", "PROV"), path,
-        {"name": "name", "total_trx": "value", "trx_amt_total": "trx_amt_total"}, ["trx_amt_total"])
-    return spark.read.schema("name string, value long, trx_amt_total string").json(path)
+        {"name": "name", "total_trx": "value", "trx_amt_total": "trx_amt_total", "trx_amt_avg": "trx_amt_avg"},
+        ["trx_amt_total", "trx_amt_avg"])
+    return spark.read.schema("name string, value long, trx_amt_total string, trx_amt_avg string").json(path)

@@ -13,7 +13,8 @@ WITH base_log AS (
                 lpad(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), 12, '0'), 'IDR') AS log_data
   FROM events),
 coded_log AS (
-  SELECT *, CASE WHEN k < 80 THEN '00' WHEN k < 88 THEN '51' WHEN k < 94 THEN '05' WHEN k < 98 THEN '91' END AS code,
+  SELECT *, CASE WHEN k < 80 THEN '00' WHEN k < 84 THEN '51' WHEN k < 88 THEN '05' WHEN k < 91 THEN '91'
+                 WHEN k < 98 THEN (['12', '13', '14', '54', '61', '68', '75'])[k - 90] END AS code,
          CASE WHEN k % 5 = 0 THEN 'ECHOMSG' WHEN k % 2 = 0 THEN 'NPAYMNT' ELSE 'NINQURY' END AS msg
   FROM base_log),
 a AS (

@@ -1,14 +1,26 @@
-"""Streaming jobs replayed over the whole log; each must equal its batch SQL."""
+"""Streaming jobs replayed over the whole log; each must equal the batch measure's SQL.
+
+The one difference is stated in the SQL: a stream pairs a response that comes within the settle time.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from tallyrail.config import ODS
+from tallyrail.operators.legs import KEYS_3, KEYS_4, KEYS_5
 from tallyrail.registry import views as v
 from tallyrail.registry.core import register
+from tallyrail.session import work_dir
 from tallyrail.sources.readers import log_with_times
 from tallyrail.streaming import alerts, jobs, pairing, windows
 
-# The closing marker passes the views' filters (an outbound channel, an answered request).
-MARKER = {"event_id": 1, "event_type": "purchase"}
+# The closing marker passes the views' filters (an outbound channel, an answered request, no administrative message).
+MARKER = {"event_id": 1, "event_type": "purchase", "user_id": 0, "props": '{"k": 1}'}
+STATE_PARTITIONS = 8  # of a replay of these tables; a live job is sized for its own volume
+replay = partial(jobs.replay, state_partitions=STATE_PARTITIONS)
 
 
 def _coded(spark, sf):
@@ -17,8 +29,8 @@ def _coded(spark, sf):
     return v.coded_log(log_with_times(jobs.with_closing_marker(stream, table, "ts", MARKER)))
 
 
-def _paired(coded, by=()):
-    return pairing.pair_stream(v.request_legs(coded), v.response_legs(coded), by=by)
+def _paired(coded, by=(), keys=KEYS_4):
+    return pairing.pair_stream(v.request_legs(coded), v.response_legs(coded), keys, by)
 
 
 RATE = "CAST(floor(100 * approve / nullif(tot, 0)) AS BIGINT) AS rate"
@@ -27,25 +39,36 @@ RATE = "CAST(floor(100 * approve / nullif(tot, 0)) AS BIGINT) AS rate"
 @register("stream_throughput", f"""
 SELECT direction, strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, approve, tot, {RATE} FROM (
   SELECT 'INC' AS direction, date_trunc('hour', event_ts) AS h, count(*) FILTER (WHERE rc = '00') AS approve,
-         count(*) AS tot FROM pair4 GROUP BY ALL
+         count(*) AS tot FROM pair5 WHERE bsns_cd <> 'ODS' GROUP BY ALL
   UNION ALL
   SELECT 'OUT', date_trunc('hour', event_ts), count(*) FILTER (WHERE resp_cd = '00'), count(*)
   FROM outbound_log GROUP BY ALL)""")
 def stream_throughput(spark, sf):
     coded = _coded(spark, sf)
-    return jobs.replay(windows.throughput_stream(_paired(coded), v.outbound_calls(coded), "1 hour"),
-                       "throughput").select("direction", "window_start", "approve", "tot", "rate")
+    asked = v.request_legs(coded).where(F.col("bsns_cd") != ODS)
+    paired = pairing.pair_stream(asked, v.response_legs(coded), KEYS_5)
+    return replay(windows.throughput_stream(paired, v.outbound_calls(coded), "1 hour"), "throughput").select(
+        "direction", "window_start", "approve", "tot", "rate")
 
 
 SLOTS_SQL = f"""
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, switch_id, approve, tot, {RATE} FROM (
-  SELECT time_bucket(INTERVAL 5 MINUTES, event_ts) AS w, switch_id,
-         count(*) FILTER (WHERE rc = '00') AS approve, count(*) AS tot FROM pair4 GROUP BY ALL)"""
+  SELECT time_bucket(INTERVAL 5 MINUTES, a.event_ts) AS w, a.switch_id,
+         count(*) FILTER (WHERE b.resp_cd = '00') AS approve, count(*) AS tot
+  FROM a JOIN b ON a.trx_dt = b.trx_dt AND a.switch_id = b.switch_id AND a.trc_ad_no = b.trc_ad_no
+   AND b.event_ts BETWEEN a.event_ts AND a.event_ts + INTERVAL 210 SECONDS
+  WHERE a.trx_cd NOT IN ('ECHOMSG') GROUP BY ALL)"""
+
+
+def _slots(spark, sf):
+    coded = _coded(spark, sf)
+    asked = v.request_legs(coded).where(~F.col("trx_cd").isin(list(v.ADMIN_MESSAGES)))
+    return windows.window_paired(pairing.pair_stream(asked, v.response_legs(coded), KEYS_3), "5 minutes", ["switch_id"])
 
 
 @register("stream_slots", SLOTS_SQL)
 def stream_slots(spark, sf):
-    return jobs.replay(windows.window_paired(_paired(_coded(spark, sf)), "5 minutes", ["switch_id"]), "slots")
+    return replay(_slots(spark, sf), "slots")
 
 
 @register("stream_pair_legs", """
@@ -53,17 +76,22 @@ SELECT strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS request_ts, CAST(trx_dt AS VAR
        trc_ad_no, ret_ref_no, trx_cd, count(*) FILTER (WHERE rc = '00') AS approve, count(*) AS tot
 FROM pair4 GROUP BY ALL""")
 def stream_pair_legs(spark, sf):
-    return jobs.replay(_paired(_coded(spark, sf), ["trx_cd"]), "pairs")
+    return replay(_paired(_coded(spark, sf), ["trx_cd"]), "pairs")
 
 
 @register("stream_alerts", f"""
-SELECT window_start, switch_id, approve, tot, rate FROM ({SLOTS_SQL})
-WHERE switch_id IN ('CLIC', 'PURC', 'VIEW') AND rate <= 0
+SELECT window_start, switch_id, approve, tot, {RATE} FROM (
+  SELECT g.window_start, g.switch_id, coalesce(s.approve, 0) AS approve, coalesce(s.tot, 0) AS tot FROM (
+    SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS window_start, switch_id FROM (
+      SELECT unnest(generate_series(min(CAST(window_start AS TIMESTAMP)), max(CAST(window_start AS TIMESTAMP)),
+                                    INTERVAL 5 MINUTES)) AS t FROM ({SLOTS_SQL})),
+      (SELECT unnest(['CLIC', 'PURC', 'VIEW', 'REFD']) AS switch_id)) g
+  LEFT JOIN ({SLOTS_SQL}) s USING (window_start, switch_id))
+WHERE coalesce(floor(100 * approve / nullif(tot, 0)), 0) <= 0
   AND substr(window_start, 12, 5) > '08:30:00' AND substr(window_start, 12, 5) < '20:00:00'""")
 def stream_alerts(spark, sf):
-    rules = alerts.zero_approval_rules(spark, ["CLIC", "PURC", "VIEW"])
-    slots = windows.window_paired(_paired(_coded(spark, sf)), "5 minutes", ["switch_id"])
-    return jobs.replay(slots, "alerts", lambda batch: alerts.window_alerts(batch, rules))
+    rules = alerts.zero_approval_rules(spark, ["CLIC", "PURC", "VIEW", v.SILENT_CHANNEL])
+    return alerts.replay_alerts(_slots(spark, sf), "alerts", rules, "5 minutes", STATE_PARTITIONS)
 
 
 @register("stream_unanswered", """
@@ -73,5 +101,23 @@ FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.trx_dt = a.trx_dt AND b.switch_
   AND b.trc_ad_no = a.trc_ad_no AND b.ret_ref_no = a.ret_ref_no) GROUP BY ALL""")
 def stream_unanswered(spark, sf):
     coded = _coded(spark, sf)
-    return jobs.replay(pairing.unanswered_stream(v.request_legs(coded), v.response_legs(coded), by=["trx_cd"]),
-                       "unanswered")
+    return replay(pairing.unanswered_stream(v.request_legs(coded), v.response_legs(coded), by=["trx_cd"]), "unanswered")
+
+
+@register("stream_late_rows", f"""
+SELECT strftime(date_trunc('hour', event_ts), '%Y-%m-%d %H:%M:%S') AS window_start, switch_id,
+       count(*) FILTER (WHERE resp_cd = '00') AS approve, count(*) AS tot,
+       CAST(floor(100 * count(*) FILTER (WHERE resp_cd = '00') / count(*)) AS BIGINT) AS rate
+FROM outbound_log GROUP BY ALL""")
+def stream_late_rows(spark, sf):
+    """Four files in time order, one per micro-batch; then the first day once more, now too late to count."""
+    calls = v.outbound_log(spark, sf)
+    first, last = v.day_bounds(spark, sf)
+    part = F.least(F.floor(F.datediff("trx_dt", F.lit(first)) * 4 / F.lit((last - first).days + 1)), F.lit(3))
+    path = work_dir(spark, "late-source")
+    for n in range(4):
+        calls.where(part == n).coalesce(1).write.mode("append").parquet(path)
+    calls.where(F.col("trx_dt") == F.lit(first)).coalesce(1).write.mode("append").parquet(path)
+    jobs.marker_row(calls, "event_ts", {"switch_id": "PURC"}).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.read_log_stream(spark, path, calls.schema, files_per_trigger=1)
+    return replay(windows.window_calls(stream, "1 hour", ["switch_id"]), "late")

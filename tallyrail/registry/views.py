@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyrail import schemas
 from tallyrail.config import ChannelRule, rules
+from tallyrail.operators import spine
 from tallyrail.sources.readers import log_with_times, read_parquet
 
 AS_OF = datetime(2024, 1, 15, 12, 0, 0)
 LOG_END = datetime(2024, 1, 31, 0, 0, 0)
+ANSWER_TIME = timedelta(seconds=2)
 CARD_AS_OF = datetime(2001, 8, 1)
 
 CHANNELS = ("CLIC", "ERRO", "VIEW", "PURC", "SIGN")
@@ -81,7 +84,8 @@ def coded_log(events: DataFrame) -> DataFrame:
         " lpad(cast(cast(round(value * 100) as bigint) as string), 12, '0'), 'IDR') as log_data")
     return base.selectExpr(
         "*",
-        "case when k < 80 then '00' when k < 88 then '51' when k < 94 then '05' when k < 98 then '91' end as code",
+        "case when k < 80 then '00' when k < 84 then '51' when k < 88 then '05' when k < 91 then '91'"
+        " when k < 98 then element_at(array('12', '13', '14', '54', '61', '68', '75'), k - 90) end as code",
         "case when k % 5 = 0 then 'ECHOMSG' when k % 2 = 0 then 'NPAYMNT' else 'NINQURY' end as msg")
 
 
@@ -130,6 +134,29 @@ def outbound_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbound_calls(coded_log(table(spark, sf_dir, "events")))
 
 
+def _bounds(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime, datetime]:
+    """First and last event and last time of the inbound log, from two columns of the events it is made of."""
+    answered = F.when(F.expr("event_id % 20 <> 0"), F.col("ts") + F.lit(ANSWER_TIME))
+    first, last, answer = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts"), F.max(answered)).first()
+    if first is None:
+        return LOG_END, LOG_END, LOG_END
+    return first, last, max(last, answer or last)
+
+
+def day_bounds(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    first, last, _ = _bounds(spark, sf_dir)
+    return first.date(), last.date()
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spine.days_between(spark, *day_bounds(spark, sf_dir))
+
+
+def polls(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    first, _, last = _bounds(spark, sf_dir)
+    return spine.polls_between(spark, first, last, every)
+
+
 def price_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_log(table(spark, sf_dir, "events")).where("switch_id = 'VIEW'").selectExpr(
         "trx_dt as feed_dt", "event_ts", "substr(trc_ad_no, 4, 3) as ric")

@@ -34,9 +34,10 @@ def write_csv(df: DataFrame, path: str, header: bool = False) -> None:
     df.write.mode("overwrite").option("header", str(header).lower()).csv(path)
 
 
-def write_log(log: DataFrame, path: str, day: str = "trx_dt", mode: str = "append") -> None:
+def write_log(log: DataFrame, path: str, by: Sequence[str] = ("trx_dt",), mode: str = "append") -> None:
     """Store a log partitioned by business day, so that every day-scoped report prunes files.
 
-    Rows are spread over the day's writers at random: AQE sizes the files and splits heavy days.
+    Partition the inbound log by ("trx_dt", "io_cd"): a report over both legs then reads each leg's files once.
+    Rows are spread over a partition's writers at random: AQE sizes the files and splits heavy days.
     """
-    log.hint("rebalance", day).write.mode(mode).partitionBy(day).parquet(path)
+    log.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)

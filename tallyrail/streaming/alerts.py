@@ -2,28 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tallyrail import config
+from tallyrail.functions.rates import floor_pct
 from tallyrail.functions.timeaxis import slot_label
+from tallyrail.operators.spine import on_spine
 from tallyrail.schemas import ALERT_RULE, literal_table
+from tallyrail.streaming import jobs
 
-
-def window_alerts(windows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Windows at or below their channel's approval limit within the rule's hours.
-
-    `rules` has switch_id, since, until (text times) and max_rate.
-    """
-    label = slot_label("window_start")
-    hit = (label > F.col("since")) & (label < F.col("until")) & (
-        F.coalesce("rate", F.lit(0)) <= F.col("max_rate"))
-    return (windows.join(rules, ["switch_id"]).where(hit)
-            .select("window_start", "switch_id", "approve", "tot", "rate"))
+CLOSED = T.StructType([T.StructField("last_window", T.TimestampType())])
+ALERTS = ["window_start", "switch_id", "approve", "tot", "rate"]
 
 
 def zero_approval_rules(spark: SparkSession, channels: Sequence[str],
                         hours: tuple[str, str] = config.SLOT_HOURS) -> DataFrame:
     return literal_table(spark, [(c, *hours, 0) for c in channels], ALERT_RULE)
+
+
+def window_alerts(windows: DataFrame, axis: DataFrame) -> DataFrame:
+    """Windows of watched channels at or below their approval limit within the rule's hours.
+
+    `axis` has every closed window of every rule (window_start, switch_id, since, until, max_rate). A window in which a
+    watched channel has no answered request counts zero, as an empty slot of the dashboard does.
+    """
+    series = on_spine(axis, windows.select("window_start", "switch_id", "approve", "tot"), ["window_start", "switch_id"],
+                      ["approve", "tot"])
+    label, rate = slot_label("window_start"), floor_pct(F.col("approve"), F.col("tot"))
+    hit = (label > F.col("since")) & (label < F.col("until")) & (F.coalesce(rate, F.lit(0)) <= F.col("max_rate"))
+    return series.withColumn("rate", rate).where(hit).select(ALERTS)
+
+
+def alert_writer(folder: str, rules: DataFrame, width: str) -> Callable[[DataFrame, int], None]:
+    """Write each batch's alerts to the batch's own folder, and the last window that it closed beside them.
+
+    Windows close in time order and for all channels at once, so a batch closes what lies between the last window of
+    the batches before it and its own last window; a repeated batch finds the same bounds and overwrites itself.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        try:
+            first, last = batch.agg(F.min("window_start"), F.max("window_start")).first()
+            if last is None:
+                return
+            seen = spark.read.schema(T.StructType([*CLOSED.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{folder}/closed")
+            before = seen.where(F.col("batch_id") < batch_id).agg(F.max("last_window")).first()[0]
+            step = F.expr(f"interval {width}")
+            start = F.lit(before) + step if before is not None else F.lit(first)
+            axis = rules.withColumn("window_start", F.explode(F.sequence(start, F.lit(last), step)))
+            window_alerts(batch, axis).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
+            literal_table(spark, [(last,)], CLOSED).write.mode("overwrite").parquet(f"{folder}/closed/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def run_alerts(windows: DataFrame, folder: str, rules: DataFrame, width: str, every: str | None = None,
+               state_partitions: int | None = None) -> StreamingQuery:
+    """Alert on a windowed stream (`window_paired` by switch_id, windows of `width`), silent channels included."""
+    spark = windows.sparkSession
+    literal_table(spark, [], CLOSED).write.mode("ignore").parquet(f"{folder}/closed/batch_id=-1")
+    return jobs.run_writer(windows, folder, alert_writer(folder, rules, width), "append", every, state_partitions)
+
+
+def replay_alerts(windows: DataFrame, name: str, rules: DataFrame, width: str,
+                  state_partitions: int | None = None) -> DataFrame:
+    """`run_alerts` over a finite stream; its alerts as a table."""
+    spark = windows.sparkSession
+    folder = jobs.work_dir(spark, name)
+    run_alerts(windows, folder, rules, width, state_partitions=state_partitions).awaitTermination()
+    return jobs.results(spark, folder, windows.select(ALERTS).schema)

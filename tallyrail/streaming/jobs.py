@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from typing import Any
@@ -17,12 +18,16 @@ from tallyrail.session import work_dir
 
 def read_log_stream(spark: SparkSession, path: str, schema: T.StructType,
                     files_per_trigger: int | None = None) -> DataFrame:
-    """Stream a table that is one file or a folder of files (a pattern path may match either)."""
+    """Stream a table that is one file or a folder of files; of a file's folder only that file is read."""
     path = path.rstrip("/")
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", name))
+    return reader.parquet(path)
 
 
 def with_closing_marker(stream: DataFrame, table: DataFrame, ts: str, values: Mapping[str, Any],
@@ -34,35 +39,42 @@ def with_closing_marker(stream: DataFrame, table: DataFrame, ts: str, values: Ma
     """
     spark = table.sparkSession
     folder = work_dir(spark, "marker")
+    marker_row(table, ts, values, after).coalesce(1).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(table.schema).parquet(folder))
+
+
+def marker_row(table: DataFrame, ts: str, values: Mapping[str, Any], after: str = "1 day") -> DataFrame:
+    """One row `after` the table's last; for a replay in several batches it belongs in the last file."""
     last = table.agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull())
-    row = last.select(*[
+    return last.select(*[
         (F.col(ts) + F.expr(f"interval {after}")).alias(f.name) if f.name == ts
         else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema.fields])
-    row.coalesce(1).write.parquet(folder)
-    return stream.unionByName(spark.readStream.schema(table.schema).parquet(folder))
 
 
 @contextmanager
-def _sized_state(spark: SparkSession) -> Iterator[None]:
-    """While a query starts: no more state partitions per operator than the cluster has cores.
+def _state_partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
+    """While a query starts: `number` state partitions per operator, or what the session says.
 
     A query keeps the number it starts with in its checkpoint; the session's own setting is put back.
     """
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(key, str(number or before))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def run_to_parquet(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+def run_to_parquet(stream: DataFrame, folder: str, every: str | None = None,
+                   state_partitions: int | None = None) -> StreamingQuery:
     """Append a stream's closed results to `folder/data`; progress is kept in `folder/checkpoint`.
 
+    `state_partitions` holds for the life of the checkpoint: size it for the job's final volume.
+
     With `every` (such as "10 seconds") the query keeps running, else it stops at the end of the data.
     """
-    with _sized_state(stream.sparkSession):
+    with _state_partitions(stream.sparkSession, state_partitions):
         return (stream.writeStream.outputMode("append").format("parquet")
                 .option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint")
                 .trigger(**_trigger(every)).start())
@@ -77,10 +89,16 @@ def batch_writer(folder: str, make: Callable[[DataFrame], DataFrame]) -> Callabl
 
 
 def run_batches(stream: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame],
-                mode: str = "append", every: str | None = None) -> StreamingQuery:
+                mode: str = "append", every: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
     """Run `make` on every micro-batch and keep its rows under `folder/data`."""
-    with _sized_state(stream.sparkSession):
-        return (stream.writeStream.outputMode(mode).foreachBatch(batch_writer(folder, make))
+    return run_writer(stream, folder, batch_writer(folder, make), mode, every, state_partitions)
+
+
+def run_writer(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append",
+               every: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
+    """Give every micro-batch to `write`; progress is kept in `folder/checkpoint`."""
+    with _state_partitions(stream.sparkSession, state_partitions):
+        return (stream.writeStream.outputMode(mode).foreachBatch(write)
                 .option("checkpointLocation", f"{folder}/checkpoint").trigger(**_trigger(every)).start())
 
 
@@ -88,13 +106,18 @@ def _trigger(every: str | None) -> dict[str, Any]:
     return {"processingTime": every} if every else {"availableNow": True}
 
 
-def replay(stream: DataFrame, name: str, make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def replay(stream: DataFrame, name: str, make: Callable[[DataFrame], DataFrame] | None = None,
+           state_partitions: int | None = None) -> DataFrame:
     """Run a finite stream to its end in the shared folder and read the result as a table."""
     spark = stream.sparkSession
     folder = work_dir(spark, name)
-    query = run_batches(stream, folder, make) if make else run_to_parquet(stream, folder)
+    query = (run_batches(stream, folder, make, state_partitions=state_partitions) if make
+             else run_to_parquet(stream, folder, state_partitions=state_partitions))
     query.awaitTermination()
-    if make is None:
-        return spark.read.schema(stream.schema).parquet(f"{folder}/data")
-    schema = make(literal_table(spark, [], stream.schema)).schema
+    schema = make(literal_table(spark, [], stream.schema)).schema if make else stream.schema
+    return results(spark, folder, schema)
+
+
+def results(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What a job has written so far."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/data")

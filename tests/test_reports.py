@@ -1,7 +1,9 @@
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
-from tables import call, inbound, leg, outbound, rows
+from pyspark.sql import functions as F
+
+from tables import DAY, call, inbound, leg, outbound, rows
 from tallyrail import config, schemas
 from tallyrail.operators import dims, payload, spine
 from tallyrail.operators.digest import error_code_digest
@@ -65,7 +67,7 @@ def test_channel_order_and_labels(spark):
     labelled = dims.label_channels(requests(log), dims.channel_labels(spark))
     assert rows(labelled, "switch_id", "bsns_cd", "label") == [
         ("ATMD", "EB1", "ATM Driving"), ("BRSM", "XX1", "ATM Bersama"), ("GIBI", "MBK", "Mobile Banking(MBK)"),
-        ("GIBI", "ODS", "Other"), ("GIBI", "PBK", "Personal Banking(PBK)"), ("NONE", "EB1", "Other")]
+        ("GIBI", "ODS", "1Q Pioneer"), ("GIBI", "PBK", "Personal Banking(PBK)"), ("NONE", "EB1", "Other")]
 
 
 def catalog(spark):
@@ -87,7 +89,9 @@ def test_catalog_reports_keep_unused_codes(spark):
     calls = outbound(spark, [call("10:00:00", "RNTS", "0200A01", "00", out="." * 311 + "CBS"),
                              call("10:00:00", "RNTS", "#LOG_ON", "00"), call("10:00:00", "FINN", "0200A01", "00")])
     plain = channels.catalog_coverage(channels.catalog_counts(
-        log, calls, codes, config.SPLIT_CHANNELS, config.OUTBOUND_FEEDS))
+        log, calls, codes, config.SPLIT_CHANNELS, config.OUTBOUND_FEEDS, days=(DAY, DAY + timedelta(days=1))))
+    assert plain.where(F.col("trx_dt") > DAY).agg(F.count("*"), F.sum("volume")).first() == (5, 0)
+    plain = plain.where(F.col("trx_dt") == DAY)
     assert rows(plain, "switch_id", "bsns_cd", "trx_cd", "volume", "success_rate", "error_codes") == [
         ("ATMD", "EB1", "NEVER", 0, None, None), ("ATMD", "EB1", "NWDLCRL", 0, None, None),
         ("ATMD", "EB1", "NWDLREG", 2, 50, "51"), ("GIBI", "CBS", "0200A01", 1, 100, None),
@@ -95,7 +99,7 @@ def test_catalog_reports_keep_unused_codes(spark):
         ("GIBI", None, "UNUSED", 0, None, None)]
     second = channels.catalog_two_rate(channels.catalog_counts(
         log, calls, dims.extend_catalog(codes, config.CATALOG_EXTRAS), config.SPLIT_CHANNELS, config.OUTBOUND_FEEDS,
-        request_coded=config.REQUEST_CODED, strict_channels=config.SPLIT_CHANNELS))
+        request_coded=config.REQUEST_CODED, strict_channels=config.SPLIT_CHANNELS, days=(DAY, DAY)))
     assert rows(second, "switch_id", "bsns_cd", "trx_cd", "volume", "cae", "sar") == [
         ("ATMD", "EB1", "NEVER", 0, None, None), ("ATMD", "EB1", "NWDLCRL", 1, 0, 0),
         ("ATMD", "EB1", "NWDLREG", 2, 50, 100), ("GIBI", "CBS", "0200A01", 1, 100, 100),

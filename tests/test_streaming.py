@@ -56,10 +56,16 @@ def test_throughput_and_alerts(spark):
     first = got.where(F.col("window_start") == F.lit(str(START)).cast("timestamp"))
     assert rows(first, "direction", "approve", "tot", "rate") == [("INC", 601, 601, 100), ("OUT", 1, 2, 50)]
     assert got.where("direction = 'INC'").agg(F.sum("tot")).first()[0] == 632
-    rules = alerts.zero_approval_rules(spark, ["ATMD"])
+    rules = alerts.zero_approval_rules(spark, ["ATMD", "MUTE"])
     slots = windows.window_paired(paired, "10 seconds", ["switch_id"])
-    found = jobs.replay(slots, "alerts", lambda batch: alerts.window_alerts(batch, rules)).cache()
-    assert found.count() > 0 and found.where("approve > 0").count() == 0
+    found = alerts.replay_alerts(slots, "alerts", rules, "10 seconds", state_partitions=2).cache()
+    assert found.where("approve > 0").count() == 0
+    closed = got.where("direction = 'INC'").agg(
+        F.min("window_start"), F.max("window_start")).first()
+    n_windows = (closed[1] - closed[0]).total_seconds() // 10 + 1
+    # A channel without any row alerts in every closed window, and one whose requests go unanswered in its own.
+    assert found.where("switch_id = 'MUTE' and tot = 0").count() == n_windows
+    assert found.where("switch_id = 'ATMD' and tot = 0").count() > 0
 
 
 def test_update_mode_ends_with_the_batch_counts(spark):
@@ -88,12 +94,41 @@ def test_a_restarted_query_goes_on_where_it_stopped(spark):
     for time in ("10:00:00", "10:30:00", "11:30:00"):
         outbound(spark, [call(time, "FINN")]).coalesce(1).write.mode("append").parquet(source)
         log = jobs.read_log_stream(spark, source, schemas.OUTBOUND_LOG)
-        query = jobs.run_to_parquet(windows.window_calls(log, "10 seconds"), folder, every="1 second")
+        query = jobs.run_to_parquet(windows.window_calls(log, "10 seconds"), folder, every="1 second", state_partitions=3)
         query.processAllAvailable()
         query.stop()
     got = spark.read.parquet(f"{folder}/data")
     assert rows(got.select(F.date_format("window_start", "HH:mm:ss"), "tot")) == [("10:00:00", 1), ("10:30:00", 1)]
     assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    kept = spark.read.text(f"{folder}/checkpoint/offsets").where("value like '%shuffle.partitions%'")
+    assert kept.count() > 0 and kept.where("value not like '%\"spark.sql.shuffle.partitions\":\"3\"%'").count() == 0
+
+
+def test_alerts_go_on_where_the_batch_before_closed(spark):
+    folder = work_dir(spark, "silence")
+    rules = alerts.zero_approval_rules(spark, ["ATMD"], ("00:00", "23:59"))
+    def batch(*times):
+        return spark.createDataFrame([(at(t), "SWDK", 1, 1) for t in times], "window_start timestamp, switch_id string, approve long, tot long")
+    schemas.literal_table(spark, [], alerts.CLOSED).write.parquet(f"{folder}/closed/batch_id=-1")
+    write = alerts.alert_writer(folder, rules, "5 minutes")
+    write(batch("10:00:00", "10:10:00"), 0)
+    write(batch("10:25:00"), 1)
+    write(batch("10:25:00"), 1)
+    write(batch(), 2)
+    got = spark.read.parquet(f"{folder}/data")
+    assert rows(got.select("batch_id", F.date_format("window_start", "HH:mm"))) == [
+        (0, "10:00"), (0, "10:05"), (0, "10:10"), (1, "10:15"), (1, "10:20"), (1, "10:25")]
+
+
+def test_a_file_path_with_pattern_characters(spark):
+    folder = work_dir(spark, "odd")
+    outbound(spark, [call("10:00:00", "FINN"), call("11:30:00", "FINN")]).coalesce(1).write.parquet(folder)
+    name = [f.rsplit("/", 1)[1] for f in spark.read.parquet(folder).inputFiles()][0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.rename(path(f"{folder}/{name}"), path(f"{folder}/part?{{1}}.parquet"))
+    log = jobs.read_log_stream(spark, f"{folder}/part?{{1}}.parquet", schemas.OUTBOUND_LOG)
+    assert jobs.replay(windows.window_calls(log, "10 seconds"), "odd").count() == 1
 
 
 def test_a_repeated_batch_overwrites_itself(spark):

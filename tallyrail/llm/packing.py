@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from pyspark.sql import types as T
 from tallyrail.llm.common import small_batches
 
 END_ID = 1
-#: Waiting examples of a task; cached words; longest cached word; shortest piece that is cut only to fill a gap.
-WAITING, CACHED, CACHED_CHARS, LEAST_CUT = 1024, 250_000, 48, 8
+#: Waiting examples of a task; cached words of a worker; longest cached word; shortest piece that is cut only to fill a gap.
+WAITING, CACHED, CACHED_CHARS, LEAST_CUT = 1024, 500_000, 48, 8
+#: New words that are encoded at once, and texts that are looked through for new words at once.
+BATCH, TEXTS = 1000, 64
 PUNCTUATION = ".,!?;:"
 OUT_ROWS = 4096
 
@@ -47,7 +50,8 @@ class Limits:
 class WordIds(dict):
     """Little-endian 32-bit ids by word; a word is what stands between blanks or line feeds.
 
-    Case and closing punctuation of simple words are undone first, since the tokenizer lowers case and parts both anyway.
+    Case and closing punctuation of simple words are undone first, since the tokenizer lowers case and parts both anyway. New words
+    of letters only are encoded many at a time: each is one unit of the tokenizer, whose last id carries the end-of-word mark.
     """
 
     def __init__(self, path: str):
@@ -56,23 +60,54 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
+    @staticmethod
+    def _simple(word: str) -> str:
+        """The letters of a word without closing punctuation, in lower case; else the word itself.
+
+        Only for alphabets in which neither lower-casing nor composition turns a letter into more than a letter.
+        """
         core = word.rstrip(PUNCTUATION)
-        if word.isascii() and word != word.lower() and "<|" not in word:
-            ids = self[word.lower()]
-        elif core and core != word and core[-1].isalpha() and len(word) <= CACHED_CHARS:
-            ids = self[core] + self[word[len(core):]]
+        if core.isalpha() and max(core) < "\u0590" and "\u0130" not in core and "\u03a3" not in core:
+            return core.lower()
+        return word
+
+    def __missing__(self, word: str) -> bytes:
+        core = self._simple(word)
+        if core != word:
+            ids = self[core] + (self[word[len(core):]] if len(core) < len(word) else b"")
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= CACHED_CHARS:
             self[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):  # else a letter is no letter to the tokenizer: such words are encoded one by one
+            starts = [0, *ends[:-1].tolist()]
+            for word, a, b in zip(words, starts, ends.tolist()):
+                self[word] = ids[a:b].tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHED:
             self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {self._simple(w) for w in set().union(*lists) - self.keys() if len(w) <= CACHED_CHARS}
+        plain = sorted(w for w in new if w.isalpha() and w not in self)
+        for at in range(0, len(plain), BATCH):
+            self._learn(plain[at:at + BATCH])
+        return [b"".join(map(self.__getitem__, words)) for words in lists]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One cache per Python worker; it outlives a task."""
+    return WordIds(path)
 
 
 class Example:
@@ -193,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         packer = Packer(limits, TaskContext.get().partitionId() << 32)
         kind, held = None, []
 
@@ -206,10 +241,12 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, body, lead in zip(*(c.to_pylist() for c in batch.columns)):
-                first = words.encode(lead) if lead else b""
-                ids = first + words.encode(body or "") + end
-                packer.add(Example(key, ids, len(first) // 4, 0, len(ids) // 4))
+            for at in range(0, batch.num_rows, TEXTS):
+                keys, bodies, leads = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
+                firsts = words.encode([x or "" for x in leads]) if any(leads) else [b""] * len(keys)
+                for key, first, body in zip(keys, firsts, words.encode([x or "" for x in bodies])):
+                    ids = first + body + end
+                    packer.add(Example(key, ids, len(first) // 4, 0, len(ids) // 4))
                 held.extend(packer.rows())
                 if len(held) >= OUT_ROWS:
                     yield out()

@@ -10,8 +10,9 @@ their discounted counts, and the mass that the discount frees goes to the subwor
 segmentation of the training vocabulary uses each. All counts are over all training documents.
 
 Texts are cut into words once: a task gathers documents into blocks of at most `BLOCK_WORDS` words (more only for one longer text), and
-writes each text as numbers into its block's word list. Only word lists are shuffled, a word at most once per block, so a word that makes
-up a third of the corpus is no heavier than others; scores return to the blocks, one bounded block per group.
+writes each text as compressed numbers into its block's word list. Only word lists are shuffled, a word at most once per block, so a word
+that makes up a third of the corpus is no heavier than others. They are shuffled once by word, where counts are added up over sorted rows
+that may spill, and once back to their blocks, one bounded block per group.
 
 Defined results: a null or empty text is the end alone; repeated rows give repeated rows, and each counts in training. A null doc_id is
 neither held out nor trained on. Without any training token the end has probability one half and subwords share the rest evenly. Other columns are
@@ -27,22 +28,24 @@ from math import exp, log, log10
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrail.llm.common import fold, small_batches, stored
 
 FOLDS = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 2_000_000
 DISCOUNT = 0.5
 SMOOTHING = 0.1
 MARK = "▁"
 OUT_ROWS = 1 << 16
 
 BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()),
-                       T.StructField("place", T.LongType()), T.StructField("n_train", T.LongType()),
+                       T.StructField("place", T.IntegerType()), T.StructField("n_train", T.LongType()),
                        T.StructField("text_words", T.BinaryType()), T.StructField("held_out", T.BooleanType()),
                        T.StructField("trained", T.BooleanType())])
 
@@ -57,14 +60,14 @@ class _Block:
     def add(self, doc_id, text: str | None, held_out: bool, trained: bool) -> None:
         words, known = (text or "").encode("utf-8", "replace").lower().split(), self.words
         ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
-        self.docs.append((doc_id, ids.tobytes(), held_out, trained))
+        self.docs.append((doc_id, zstandard.compress(ids.tobytes(), 1), held_out, trained))
         self.size += len(words)
         if trained:
             self.trained.append(ids)
 
     def batches(self, id_type: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
         def batch(n: int, **columns) -> pa.RecordBatch:
-            types = {"doc_id": id_type, "word": pa.binary(), "text_words": pa.binary(), "held_out": pa.bool_(), "trained": pa.bool_()}
+            types = {"doc_id": id_type, "word": pa.binary(), "place": pa.int32(), "text_words": pa.binary(), "held_out": pa.bool_(), "trained": pa.bool_()}
             columns["block"] = [self.number] * n
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(n, types.get(c, pa.int64()))
@@ -109,7 +112,17 @@ def _subwords(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def entry_counts(vocabulary: DataFrame, path: str) -> dict[int, int]:
+def counted_words(words: DataFrame) -> DataFrame:
+    """(block, place, word, n, first): every block's words with the word's count in all training documents.
+
+    Rows are sorted by word, which `scored_words` makes use of; `first` marks one row per word.
+    """
+    by_word = W.partitionBy("word").orderBy("block")
+    total = F.sum("n_train").over(by_word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return words.select("block", "place", "word", total.alias("n"), (F.row_number().over(by_word) == 1).alias("first"))
+
+
+def entry_counts(counted: DataFrame, path: str) -> dict[int, int]:
     """How many distinct training words use each vocabulary entry; at most one row per entry and task is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = _subwords(path), Counter()
@@ -120,7 +133,7 @@ def entry_counts(vocabulary: DataFrame, path: str) -> dict[int, int]:
         if counts:
             yield pa.RecordBatch.from_pydict({"entry": list(counts), "n": list(counts.values())})
 
-    words = vocabulary.filter("n > 0").select("word")
+    words = counted.filter("first AND n > 0").select("word")
     rows = words.mapInArrow(run, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     return {r.entry: r.n for r in rows.collect()}  # bounded by the vocabulary file
 
@@ -189,30 +202,31 @@ def word_log10(n: int, spelled: float, total: int, distinct: int) -> float:
     return (_log_sum([log((n - DISCOUNT) / total), free]) if n else free) / log(10)
 
 
-def scored_words(vocabulary: DataFrame, weights: dict[str, float], total: int, distinct: int) -> DataFrame:
-    """(word, n, model): log10 probability of every distinct word."""
+def scored_words(counted: DataFrame, weights: dict[str, float], total: int, distinct: int) -> DataFrame:
+    """(in_block, place, n, model): log10 probability of every word of every block, worked out once per run of equal words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(weights)
+        lattice, word, value = Lattice(weights), None, 0.0
         for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            model = [word_log10(n, lattice.forward(w.decode("utf-8", "replace")), total, distinct) for w, n in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model, pa.float64())],
-                                             names=["word", "n", "model"])
-    return vocabulary.select("word", "n").mapInArrow(run, "word binary, n long, model double")
+            model = np.empty(batch.num_rows)
+            for i, (w, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if w != word:
+                    word, value = w, word_log10(n, lattice.forward(w.decode("utf-8", "replace")), total, distinct)
+                model[i] = value
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(model)],
+                                             names=["in_block", "place", "n", "model"])
+    return counted.select("block", "place", "word", "n").mapInArrow(run, "in_block long, place int, n long, model double")
 
 
 def score(docs: DataFrame, subwords: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     both = stored(blocks(docs, doc_id, text), "blocks")
     words, texts = both.filter("word IS NOT NULL"), both.filter("text_words IS NOT NULL")
-    vocabulary = stored(words.groupBy("word").agg(F.sum("n_train").alias("n")), "vocabulary")
-    in_words, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    counted = stored(counted_words(words), "counted-words")
+    in_words, distinct = counted.filter("first").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     ends = texts.filter("trained").count()
     total, distinct = in_words + ends, distinct + (ends > 0)
-    weights = arc_weights(subwords, entry_counts(vocabulary, subwords))
-    known = stored(scored_words(vocabulary, weights, total, distinct), "scored-words")
-    listed = words.select("block", "place", "word").join(known, "word").select(
-        F.col("block").alias("in_block"), "place", "n", "model")
+    weights = arc_weights(subwords, entry_counts(counted, subwords))
+    listed = scored_words(counted, weights, total, distinct)
     floor, divisor = 0.1, total + 0.1 * (distinct + 1)
     end_base = log10((ends + floor) / divisor)
     end_model = log10((ends - DISCOUNT) / total) if ends else log10(0.5)
@@ -222,12 +236,12 @@ def score(docs: DataFrame, subwords: str, doc_id: str = "doc_id", text: str = "t
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         size = right.num_rows
-        n, base, model = np.zeros(size), np.zeros(size), np.zeros(size)
+        n, model = np.zeros(size), np.zeros(size)
         place = right["place"].to_numpy()
         n[place] = right["n"].to_numpy()
         model[place] = right["model"].to_numpy()
         base = np.log10((n + floor) / divisor)
-        found = [np.frombuffer(x, np.uint32) for x in left["text_words"].to_pylist()]
+        found = [np.frombuffer(zstandard.decompress(x), np.uint32) for x in left["text_words"].to_pylist()]
         return pa.table([left["doc_id"], left["held_out"],
                          pa.array([len(x) + 1 for x in found], pa.int64()),
                          pa.array([int((n[x] > 0).sum()) + (ends > 0) for x in found], pa.int64()),

@@ -9,6 +9,9 @@ So that not all pairs meet, tables are looked up by blocks first: a fingerprint
 bits leave `blocks - bits` runs equal, so any linked pair agrees on one of the combinations of that many runs (exact, by the pigeonhole
 principle). Work is done on distinct fingerprints only; copies never meet each other.
 
+The corpus pipeline needs more than 3 of 64 bits: near copies that share four fifths of their five-word shingles differ in ten bits or more,
+where no block is sure to be equal. `keep` therefore uses 256-bit fingerprints of the shingle set, looked up in many tables of sampled bits.
+
 Defined results: a null or empty text, or one without words, has fingerprint 0 and is linked like any other; texts of fewer words than
 a shingle have their whole word sequence as the only shingle. Repeated rows give repeated rows. A null doc_id can be linked, but never
 names a component unless all its documents' ids are null. Empty tables give empty tables. Other columns are ignored, whatever their names.
@@ -16,11 +19,14 @@ names a component unless all its documents' ids are null. Empty tables give empt
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,30 +123,133 @@ def links(fps: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, bits: int) -> DataFrame:
-    """(fp, root, component_id) for the distinct fingerprints of `rows`."""
+    """(fp, component_id) for the distinct fingerprints of `rows`."""
     smallest = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = components(links(smallest.select("fp"), bits)).withColumnRenamed("node", "fp")
     named = stored(smallest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return stored(named.join(heads, "root").select("fp", "root", "component_id"), "components")
+    return stored(named.join(heads, "root").select("fp", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row; component_id is the smallest doc_id in reach over links."""
     rows = stored(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    return rows.join(_grouped(rows, bits).drop("root"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_grouped(rows, bits), "fp").select("doc_id", "fp", "component_id")
+
+
+# Similar documents: longer fingerprints, for a similarity that 64 bits and an exact radius can't reach.
+
+SIMILAR_SHINGLE, WORDS64, REACH = 5, 4, 44
+TABLES, NEIGHBOURS, LEAST_KEY_BITS = 64, 8, 12
+
+
+def long_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> bytes:
+    """256 bits of the set of a text's shingles; all zero without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * WORDS64)
+    size = min(shingle, len(words))
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    shingles = {line[a:b] for a, b in zip(starts.tolist(), ends[size - 1:].tolist())}
+    ones, digest, held = np.zeros(64 * WORDS64, np.int64), xxhash.xxh3_128_digest, list(shingles)
+    for at in range(0, len(held), CHUNK):
+        raw = b"".join([digest(x, SEED) + digest(x, SEED + 1) for x in held[at:at + CHUNK]])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * WORDS64), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(held)).tobytes()
+
+
+def long_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp) of every row; fp is 32 bytes."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([long_fingerprint(t, shingle) for t in batch], dtype="object")
+
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
+                       of(F.col(f"`{text}`")).alias("fp"))
 
 
-def keep(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with its own columns only: the one with the smallest (doc_id, hash of the text).
+class _Groups(dict):
+    """Which fingerprints of one task are linked already."""
 
-    Of rows that share both, the one whose JSON text is smallest stays. Texts are shuffled only if more keys are dropped than may be
+    def root(self, x: bytes) -> bytes:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def similar_links(fps: DataFrame, reach: int = REACH, tables: int = TABLES, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(a, b): linked distinct 256-bit fingerprints, `reach` bits apart at most; linear in the number of fingerprints.
+
+    Each table looks at its own fixed sample of bits, about as many as halve the fingerprints to one or two per key. Rows are
+    sorted by table, key and fingerprint and dealt out by ranges, so a key of any size is split over tasks; each is compared
+    with the `neighbours` rows before it that share its key, and links that say nothing new in a task are left out.
+    """
+    size = 64 * WORDS64
+    key_bits = max(LEAST_KEY_BITS, math.ceil(math.log2(fps.count() + 1)))
+    picks = [random.Random(SEED + t).sample(range(size), min(62, key_bits)) for t in range(tables)]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 8 * WORDS64), axis=1).astype(np.int64)
+            for t, pick in enumerate(picks):
+                key = bits[:, pick] @ (1 << np.arange(len(pick), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(key), batch.column(0)],
+                                                 names=["table", "key", "fp"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, before = _Groups(), None
+        for batch in batches:
+            place = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()], axis=1)
+            raw = batch.column(2).to_pylist()
+            if before is not None:
+                place, raw = np.concatenate([before[0], place]), before[1] + raw
+            held = len(before[1]) if before is not None else 0
+            words = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, WORDS64)
+            found = []
+            for back in range(1, min(neighbours, len(raw) - 1) + 1):
+                same = (place[back:] == place[:-back]).all(axis=1)
+                close = np.bitwise_count(words[back:] ^ words[:-back]).sum(axis=1) <= reach
+                found += [(i, i + back) for i in np.flatnonzero(same & close).tolist() if i + back >= held]
+            links = [(raw[i], raw[j]) for i, j in found if raw[i] != raw[j] and groups.join(raw[i], raw[j])]
+            before = place[-neighbours:], raw[-neighbours:]
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    keyed = fps.select("fp").mapInArrow(keys, "table int, key long, fp binary")
+    order = ["table", "key", "fp"]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def _similar_groups(rows: DataFrame, reach: int) -> DataFrame:
+    """(fp, root) for the distinct fingerprints of `rows`."""
+    fps = stored(rows.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(similar_links(fps, reach)).withColumnRenamed("node", "fp")
+    return stored(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
+def keep(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, reach: int = REACH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of similar ones, with its own columns only: the one with the smallest (doc_id, hash of the text).
+
+    Similar are texts whose sets of shingles overlap by about 0.8 (Jaccard) or more, judged by 256-bit fingerprints. Of rows that share both, the one whose JSON text is smallest stays. Texts are shuffled only if more keys are dropped than may be
     broadcast.
     """
-    rows = stored(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    rows = stored(long_fingerprints(docs, shingle, doc_id, text), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    keys = stored(rows.join(_grouped(rows, bits).drop("component_id"), "fp").groupBy("root", place.alias("place")).agg(
+    keys = stored(rows.join(_similar_groups(rows, reach), "fp").groupBy("root", place.alias("place")).agg(
         F.count("*").alias("n")), "group-keys")
     first = keys.groupBy(F.col("root").alias("r")).agg(F.min("place").alias("first"))
     judged = stored(keys.join(first, F.col("root") == F.col("r")).select(

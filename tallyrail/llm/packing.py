@@ -97,7 +97,7 @@ class WordIds(dict):
         if len(self) > CACHED:
             self.clear()
         lists = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {self._simple(w) for w in set().union(*lists) - self.keys() if len(w) <= CACHED_CHARS}
+        new = {self._simple(w) for w in set().union(*lists) if w not in self and len(w) <= CACHED_CHARS}
         plain = sorted(w for w in new if w.isalpha() and w not in self)
         for at in range(0, len(plain), BATCH):
             self._learn(plain[at:at + BATCH])

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrail.llm.common import fold, small_batches
+from tallyrail.llm.common import fold, sized, small_batches
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_TEXTS, SAMPLE_CHARS = 512, 2048
@@ -38,8 +38,9 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def folded(text: str | None) -> bytes:
-    """Lower-case letters of a text, words parted by one space."""
-    return _OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    """Lower-case letters of a text, words parted by one space; empty if it has no letter."""
+    line = _OTHER.sub(" ", (text or "").lower()).strip()
+    return line.encode("utf-8", "replace") if any(c.isalpha() for c in line) else b""
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -50,15 +51,17 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Dictionary content by language, most frequent language first, from the labelled documents that are not held out."""
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = named.filter(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
-    # Of each bucket the text with the smallest hash: the same sample however the rows are dealt.
-    pick = rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(SAMPLE_TEXTS)).alias("bucket"),
-                       F.struct(F.xxhash64("text", F.lit(1)).alias("order"),
-                                F.substring("text", 1, SAMPLE_CHARS).alias("text")).alias("pick"))
-    sample = pick.groupBy("lang", "bucket").agg(F.min("pick").alias("pick"), F.count("*").alias("n"))
+    # Of each bucket the text with the smallest hash: the same sample however the rows are dealt. Hashes are compared first, so
+    # that no texts are sorted or shuffled but the chosen ones.
+    keyed = rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(SAMPLE_TEXTS)).alias("bucket"),
+                        F.xxhash64("text", F.lit(1)).alias("order"), "text")
+    least = sized(keyed.groupBy("lang", "bucket").agg(F.min("order").alias("order"), F.count("*").alias("n")), "language-sample")
+    sample = keyed.join(least, ["lang", "bucket", "order"]).groupBy("lang", "bucket", "order", "n").agg(
+        F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     texts: dict[str, list[tuple[int, bytes]]] = {}
     counts: dict[str, int] = {}
     for row in sample.limit(MAX_LANGS * SAMPLE_TEXTS).collect():
-        texts.setdefault(row.lang, []).append((row.pick.order, folded(row.pick.text)))
+        texts.setdefault(row.lang, []).append((row.order, folded(row.text)))
         counts[row.lang] = counts.get(row.lang, 0) + row.n
     out = {}
     for name in sorted(counts, key=lambda n: (-counts[n], n)):

@@ -29,6 +29,16 @@ def ingest_log(spark, sf):
         "trx_dt", "event_ts", "io_cd", "switch_id", "bsns_cd", "trx_cd", "resp_cd", "ret_ref_no", "log_data")
 
 
+@register("ingest_rejects", f"""
+SELECT {DAY}, count(*) FILTER (WHERE ret_ref_no LIKE '%7') AS event_ts, CAST(0 AS BIGINT) AS reg_ts
+FROM inbound_log GROUP BY ALL""")
+def ingest_rejects(spark, sf):
+    """Rows per day without a usable time, of a log in which every tenth time text is none."""
+    raw = v.raw_inbound(spark, sf)
+    spoilt = F.when(F.col("RET_REF_NO").endswith("7"), "25:61:00").otherwise(F.col("TRX_TM"))
+    return ingest.rejected_times(raw.withColumn("TRX_TM", spoilt), ingest.LOG_TIMES)
+
+
 @register("scan_today", f"SELECT event_id, io_cd, {DAY}, switch_id, trx_cd FROM inbound_log "
                         "WHERE trx_dt = DATE '2024-01-15'")
 def scan_today(spark, sf):

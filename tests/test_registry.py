@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tallyrail.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer orders events".split()
@@ -25,7 +26,7 @@ def shown(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     df = driver.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -41,4 +42,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql()) <= set(driver.queries())

@@ -90,6 +90,23 @@ def test_channel_summary_reads_the_log_once_without_a_join(spark, stored):
     assert re.search(r"PushedFilters: \[[^\n]*In\(switch_id", text)
 
 
+def test_catalog_report_reads_each_leg_once(spark, stored):
+    codes = schemas.literal_table(spark, [("INTER_ID", "NPAYMNT", None, None, None, "ATMD")], schemas.CATALOG)
+    report = channels.catalog_two_rate(channels.catalog_counts(
+        stored, outbound(spark, []), codes, (), {}, request_coded={"ATMD": ("OTHER",)}, strict_channels=("ATMD",),
+        days=(date(2024, 3, 1), date(2024, 3, 5))))
+    scans = [line for line in plan(report).split("\n") if "FileScan parquet" in line]
+    assert 2 <= len(scans) <= 3 and all("PartitionFilters" in s and "io_cd" in s for s in scans)  # one may only prune days
+    assert report.agg(F.sum("volume"), F.count("*")).first() == (100, 5)
+
+
+def test_rejected_times_are_counted(spark):
+    raw = spark.createDataFrame([(date(2024, 3, 5), "10:00:00", "x"), (date(2024, 3, 5), "24:99:00", "11:00:00"),
+                                 (date(2024, 3, 6), None, "")], "TRX_DT date, TRX_TM string, REG_TM string")
+    got = ingest.rejected_times(raw, ingest.LOG_TIMES)
+    assert rows(got, "trx_dt", "event_ts", "reg_ts") == [(date(2024, 3, 5), 1, 1), (date(2024, 3, 6), 1, 1)]
+
+
 def test_live_slots_prune_days_on_both_legs(spark, stored):
     facts = dashboards.inbound_slots(stored, as_of=at("10:30:00"))
     facts.collect()

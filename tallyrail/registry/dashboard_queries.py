@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import functions as F
 
@@ -156,37 +156,44 @@ def inbound_health(spark, sf):
     return dashboards.inbound_health(log, v.days(spark, sf), v.HEALTH_RULES, ("05",))
 
 
-def _strip(spark, sf, windows, width):
-    as_of = v.LOG_END + timedelta(seconds=220)
-    return throughput(v.inbound_log(spark, sf), v.outbound_log(spark, sf), as_of, 220, width, windows)
+def _strip(spark, sf, windows_an_hour):
+    """Windows over all days of the log: one, or one per hour."""
+    first, last = v.day_bounds(spark, sf)
+    end = datetime.combine(last, time()) + timedelta(days=1)
+    hours = ((last - first).days + 1) * 24
+    windows, width = (hours, 3600) if windows_an_hour else (1, hours * 3600)
+    return throughput(v.inbound_log(spark, sf), v.outbound_log(spark, sf), end + timedelta(seconds=220), 220, width, windows)
 
 
-@register("throughput_now", """
-SELECT direction, '2024-01-31 00:03:40' AS label, CAST(sum(approve) AS BIGINT) AS approve,
+LABEL = "(SELECT hi FROM strip_end) + INTERVAL 220 SECONDS"
+
+
+@register("throughput_now", f"""
+SELECT direction, strftime({LABEL}, '%Y-%m-%d %H:%M:%S') AS label, CAST(sum(approve) AS BIGINT) AS approve,
        CAST(sum(tot) AS BIGINT) AS tot FROM strip_hours GROUP BY ALL""")
 def throughput_now(spark, sf):
-    return _strip(spark, sf, 1, 720 * 3600).select(
+    return _strip(spark, sf, 0).select(
         "direction", F.col("label_ts").alias("label"), "approve", "tot")
 
 
-@register("throughput_strip", """
+@register("throughput_strip", f"""
 SELECT direction, CAST(window_no AS BIGINT) AS window_no,
-       strftime(TIMESTAMP '2024-01-31 00:03:40' - window_no * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS label,
+       strftime({LABEL} - window_no * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS label,
        approve, tot, CAST(floor(100 * approve / nullif(tot, 0)) AS BIGINT) AS rate FROM strip_hours""")
 def throughput_strip(spark, sf):
-    return _strip(spark, sf, 720, 3600).select(
+    return _strip(spark, sf, 1).select(
         "direction", "window_no", F.col("label_ts").alias("label"), "approve", "tot", "rate")
 
 
-@register("rolling_strip", """
+@register("rolling_strip", f"""
 SELECT direction, CAST(window_no AS BIGINT) AS strip_no,
-       strftime(TIMESTAMP '2024-01-31 00:03:40' - window_no * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS label,
+       strftime({LABEL} - window_no * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS label,
        CAST(sum(approve) OVER w AS BIGINT) AS approve, CAST(sum(tot) OVER w AS BIGINT) AS tot,
        array_to_string(list(tot) OVER w, ',') AS samples
 FROM strip_hours
 WINDOW w AS (PARTITION BY direction ORDER BY window_no DESC ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)""")
 def rolling(spark, sf):
-    return rolling_strip(_strip(spark, sf, 720, 3600)).select(
+    return rolling_strip(_strip(spark, sf, 1)).select(
         "direction", "strip_no", F.col("label_ts").alias("label"), "approve", "tot", "samples")
 
 

@@ -108,11 +108,11 @@ leg_digest AS (
   SELECT trx_dt, switch_id, bsns_cd, string_agg(resp_cd, ',' ORDER BY rn) AS error_codes FROM (
     SELECT *, row_number() OVER (PARTITION BY trx_dt, switch_id, bsns_cd ORDER BY io_cd, n, resp_cd) AS rn
     FROM leg_rows WHERE io_cd IN ('O', 'A') AND resp_cd <> '00') WHERE rn <= 5 GROUP BY ALL),
+strip_end AS (SELECT CAST(max(trx_dt) + 1 AS TIMESTAMP) AS hi, count(*) * 24 AS n FROM days),
 strip_hours AS (
   SELECT direction, window_no, count(rc) FILTER (WHERE rc = '00') AS approve, count(eid) AS tot
-  FROM (SELECT i AS window_no, d AS direction,
-               TIMESTAMP '2024-01-31 00:00:00' - (i + 1) * INTERVAL 1 HOUR AS lo FROM range(720) r(i),
-               (SELECT unnest(['INC', 'OUT']) AS d)) w
+  FROM (SELECT i AS window_no, d AS direction, hi - (i + 1) * INTERVAL 1 HOUR AS lo
+        FROM (SELECT unnest(range(0, n)) AS i, hi FROM strip_end), (SELECT unnest(['INC', 'OUT']) AS d)) w
   LEFT JOIN (
     SELECT 'INC' AS dir, date_trunc('hour', event_ts) AS h, rc, event_id AS eid FROM pair5 WHERE bsns_cd <> 'ODS'
     UNION ALL

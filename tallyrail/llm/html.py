@@ -34,7 +34,7 @@ _MARKUP = re.compile(r"""<!--(?:.*?-->|.*)
     |<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)>
     |<[!?/][^<>]*+>""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 # Fixed values of HTML: elements whose content is no markup, elements without content, and elements that end a line.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -49,10 +49,10 @@ SIBLINGS = {name: group for group in (("li",), ("dt", "dd"), ("tr",), ("td", "th
 EXCLUDED = frozenset("""script style noscript template iframe object svg canvas nav footer aside form button select textarea
     dialog menu head title datalist""".split())
 EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-EXCLUDED_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner
+EXCLUDED_WORDS = frozenset("""ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner
     sidebar sidebars rail comment comments disqus replies reply respond cookie cookies consent gdpr notice notices notification
     alert popup modal overlay newsletter subscribe signup login nav navbar navigation menu menus breadcrumb breadcrumbs footer
-    masthead topbar share sharing social related recommended recommendations widget widgets toolbar pagination pager""".split())
+    masthead topbar copyright share sharing social related recommended recommendations widget widgets toolbar pagination pager""".split())
 #: Only outside an article: inside, the header holds its headline.
 EXCLUDED_OUTSIDE = frozenset(["header"])
 COMMENT_WORDS = frozenset("comment comments reply replies".split())

@@ -144,6 +144,7 @@ class _Digest:
 
 def read_back(formatted: DataFrame, ranks: str) -> DataFrame:
     """One row per conversation, from ids and masks alone: n_turns, digests of turns and of the text under the mask, and sizes."""
+    small_batches(formatted.sparkSession)
     longs = ("n_turns", "loss_chars", "formatted_chars")
     names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     schema = T.StructType([formatted.schema["conv_id"], *(T.StructField(n, T.LongType() if n in longs else T.StringType()) for n in names)])

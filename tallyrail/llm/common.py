@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyrail.session import work_dir
 
+SHIPPED = "tallyrail-code"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # White space and word characters of the contracts, as Java regular expressions.
 SPACES = r"[ \t-\r]+"
@@ -26,8 +30,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver imported it from; once per Spark context."""
+    context = spark.sparkContext
+    if any(os.path.basename(f).startswith(SHIPPED) for f in context.listFiles):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # A file of the driver's, which serves it to all executors.
+    name = os.path.join(tempfile.mkdtemp(prefix=f"{SHIPPED}-"), SHIPPED)
+    context.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(package), os.path.basename(package)))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds of long texts at once."""
+    """Before work in Python: bound what a worker holds of long texts at once, and see that it has the code."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

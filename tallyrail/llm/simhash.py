@@ -196,6 +196,7 @@ def similar_links(fps: DataFrame, reach: int = REACH, tables: int = TABLES, neig
     sorted by table, key and fingerprint and dealt out by ranges, so a key of any size is split over tasks; each is compared
     with the `neighbours` rows before it that share its key, and links that say nothing new in a task are left out.
     """
+    small_batches(fps.sparkSession)
     size = 64 * WORDS64
     key_bits = max(LEAST_KEY_BITS, math.ceil(math.log2(fps.count() + 1)))
     picks = [random.Random(SEED + t).sample(range(size), min(62, key_bits)) for t in range(tables)]

@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, d
 # Similar documents: longer fingerprints, for a similarity that 64 bits and an exact radius can't reach.
 
 SIMILAR_SHINGLE, WORDS64, REACH = 5, 4, 44
-TABLES, NEIGHBOURS, LEAST_KEY_BITS = 64, 8, 12
+TABLES, FIRST_TABLES, NEIGHBOURS, LEAST_KEY_BITS = 64, 6, 8, 12
 
 
 def long_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> bytes:
@@ -176,47 +176,48 @@ def long_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, doc_id: s
 
 
 class _Groups(dict):
-    """Which fingerprints of one task are linked already."""
+    """What is linked already in one task."""
 
-    def root(self, x: bytes) -> bytes:
+    def root(self, x: int) -> int:
         while (up := self.get(x, x)) != x:
             self[x] = x = self.get(up, up)
         return x
 
-    def join(self, a: bytes, b: bytes) -> bool:
+    def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         self[max(a, b)] = min(a, b)
         return a != b
 
 
-def similar_links(fps: DataFrame, reach: int = REACH, tables: int = TABLES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def similar_links(fps: DataFrame, tables: range, reach: int = REACH, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(a, b): linked distinct 256-bit fingerprints, `reach` bits apart at most; linear in the number of fingerprints.
 
     Each table looks at its own fixed sample of bits, about as many as halve the fingerprints to one or two per key. Rows are
     sorted by table, key and fingerprint and dealt out by ranges, so a key of any size is split over tasks; each is compared
-    with the `neighbours` rows before it that share its key, and links that say nothing new in a task are left out.
+    with the `neighbours` rows before it that share its key. `fps` has the columns fp and known: fingerprints with equal `known` are
+    linked already, and links that say nothing new, by that or in a task, are left out.
     """
     small_batches(fps.sparkSession)
     size = 64 * WORDS64
     key_bits = max(LEAST_KEY_BITS, math.ceil(math.log2(fps.count() + 1)))
-    picks = [random.Random(SEED + t).sample(range(size), min(62, key_bits)) for t in range(tables)]
+    picks = {t: random.Random(SEED + t).sample(range(size), min(62, key_bits)) for t in tables}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(0).to_pylist()
             bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 8 * WORDS64), axis=1).astype(np.int64)
-            for t, pick in enumerate(picks):
+            for t, pick in picks.items():
                 key = bits[:, pick] @ (1 << np.arange(len(pick), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(key), batch.column(0)],
-                                                 names=["table", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(key), *batch.columns],
+                                                 names=["table", "key", "fp", "known"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, before = _Groups(), None
         for batch in batches:
             place = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()], axis=1)
-            raw = batch.column(2).to_pylist()
+            raw, known = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             if before is not None:
-                place, raw = np.concatenate([before[0], place]), before[1] + raw
+                place, raw, known = np.concatenate([before[0], place]), before[1] + raw, before[2] + known
             held = len(before[1]) if before is not None else 0
             words = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, WORDS64)
             found = []
@@ -224,21 +225,28 @@ def similar_links(fps: DataFrame, reach: int = REACH, tables: int = TABLES, neig
                 same = (place[back:] == place[:-back]).all(axis=1)
                 close = np.bitwise_count(words[back:] ^ words[:-back]).sum(axis=1) <= reach
                 found += [(i, i + back) for i in np.flatnonzero(same & close).tolist() if i + back >= held]
-            links = [(raw[i], raw[j]) for i, j in found if raw[i] != raw[j] and groups.join(raw[i], raw[j])]
-            before = place[-neighbours:], raw[-neighbours:]
+            links = [(raw[i], raw[j]) for i, j in found if groups.join(known[i], known[j])]
+            before = place[-neighbours:], raw[-neighbours:], known[-neighbours:]
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    keyed = fps.select("fp").mapInArrow(keys, "table int, key long, fp binary")
+    keyed = fps.select("fp", "known").mapInArrow(keys, "table int, key long, fp binary, known long")
     order = ["table", "key", "fp"]
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def _similar_groups(rows: DataFrame, reach: int) -> DataFrame:
-    """(fp, root) for the distinct fingerprints of `rows`."""
+    """(fp, root) for the distinct fingerprints of `rows`.
+
+    A few tables first: they join most of a large group, so that the other tables find little that is new in it.
+    """
     fps = stored(rows.select("fp").distinct(), "distinct-fingerprints")
-    roots = components(similar_links(fps, reach)).withColumnRenamed("node", "fp")
+    first = stored(similar_links(fps.withColumn("known", F.xxhash64("fp")), range(FIRST_TABLES), reach), "first-links")
+    known = F.xxhash64(F.coalesce("root", "fp")).alias("known")
+    joined = stored(fps.join(components(first).withColumnRenamed("node", "fp"), "fp", "left").select("fp", known), "first-groups")
+    rest = stored(similar_links(joined, range(FIRST_TABLES, TABLES), reach), "more-links")
+    roots = components(first.union(rest)).withColumnRenamed("node", "fp")
     return stored(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
 
 

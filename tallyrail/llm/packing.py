@@ -33,7 +33,7 @@ from tallyrail.llm.common import small_batches
 
 END_ID = 1
 #: Waiting examples of a task; cached words of a worker; longest cached word; shortest piece that is cut only to fill a gap.
-WAITING, CACHED, CACHED_CHARS, LEAST_CUT = 1024, 500_000, 48, 8
+WAITING, CACHED, CACHED_CHARS, LEAST_CUT = 1024, 1_200_000, 48, 8
 #: New words that are encoded at once, and texts that are looked through for new words at once.
 BATCH, TEXTS = 1000, 64
 PUNCTUATION = ".,!?;:"

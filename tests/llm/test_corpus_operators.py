@@ -14,6 +14,7 @@ import xxhash
 
 import __spark_entry__ as driver
 import corpus_pipeline
+import numpy as np
 from tallyrail.llm import common, decontam, lattice, queries, simhash
 from test_text_operators import empty, odd
 
@@ -138,6 +139,50 @@ def test_similar_documents_recall_against_brute_force(spark):
     assert all(2 * i + 1 in kept for i in far) and all(2 * i in kept for i in range(60))
 
 
+def kept_by_brute_force(sets):
+    """The smallest id of each group of sets that overlap by 0.8 or more."""
+    ids = sorted(sets)
+    edges = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return set(brute_components(edges, ids).values())
+
+
+def test_all_rows_of_a_large_key_are_compared(spark):
+    """A template fills two thirds of 1,500 texts, so keys are large; pairs that change few of the other words hide among them."""
+    rng = random.Random(7)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(750):
+        own = [f"o{i}-{j}" for j in range(100)]
+        copy = [w if rng.random() > (0.03, 0.055, 0.07)[i % 3] else f"c{i}-{j}" for j, w in enumerate(own)]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + copy))]
+    kept = {r.doc_id for r in simhash.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert kept == kept_by_brute_force({i: shingles(t) for i, t in rows})
+
+
+def test_refused_links_leave_no_pair_out(spark):
+    """Chains of texts just above and just below 0.8, with steps that many of them share."""
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        text = [f"w{i}-{j}" for j in range(120)]
+        for step in range(12):
+            rows.append((100 * i + step, " ".join(text)))
+            for at in rng.sample(range(120), rng.randint(1, 4)):
+                text[at] = f"x{i}-{step}-{at}"
+    kept = {r.doc_id for r in simhash.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = kept_by_brute_force({i: shingles(t) for i, t in rows})
+    assert len(kept ^ want) <= 2 and kept >= want
+
+
+def test_keys_find_pairs_at_any_size_of_the_table():
+    rng = np.random.default_rng(9)
+    found = 0
+    for _ in range(1000):
+        every = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        (_, a), (_, b) = (simhash.min_hashes(np.sort(x)) for x in (every[:270], every[30:]))  # 240 of 300: 0.8
+        found += any(x == y for x, y in zip(a, b))
+    assert found >= 990
+
+
 def spelled(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
 

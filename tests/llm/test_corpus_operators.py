@@ -341,3 +341,10 @@ def test_pipeline_on_odd_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = common.stored(stage(spark, docs, SF), "odd-stage")
         assert docs.count() >= 0
+
+
+def test_pipeline_ends_in_token_ids(spark):
+    rows = [(i, " ".join(f"word{j}" for j in range(i, i + 40))) for i in range(20)]
+    pieces = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert pieces and all(len(p.ids) == 4 * p.length and zlib.crc32(p.ids) == p.ids_crc32 for p in pieces if p.length == p.doc_tokens)
+    assert all(len(p.ids) == 4 * p.length for p in pieces)

@@ -1,7 +1,9 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
-Learning takes a bounded, spread sample of labelled texts per language (`SAMPLE_TEXTS` hash buckets of at most `SAMPLE_CHARS` characters
-each) and cuts it into one raw-content zstandard dictionary of at most `DICT_BYTES` per language, at most `MAX_LANGS` languages. A text is
+Learning takes a bounded, spread sample of labelled texts per language (`SAMPLE_TEXTS` hash buckets, of each one text and of that a run of
+at most `SAMPLE_CHARS` characters at a place chosen by hash) and makes of it one raw-content zstandard dictionary of at most `DICT_BYTES`
+per language, at most `MAX_LANGS` languages. Every sampled run gives an equal share of the dictionary, with all buckets filled 192 bytes, again
+from a place chosen by hash; room that short runs leave goes to the rest of longer ones. A text is
 folded to lower case, reduced to letters and single spaces, cut into pieces of `PIECE` bytes, and every piece of the whole text is
 compressed with each language's dictionary. The language with the smallest total wins; the margin to the second is the score, and
 `rejected` is set where it is narrow.
@@ -47,6 +49,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(doc_id, FOLDS) == HELD_OUT, F.lit(False))
 
 
+def _turned(line: bytes, order: int, share: int) -> bytes:
+    """The line from a place on that `order` chooses, with `share` bytes after it if it has as many; what was before comes last."""
+    at = order % max(1, len(line) - share + 1)
+    return line[at:] + b" " + line[:at] if at else line
+
+
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language, most frequent language first, from the labelled documents that are not held out."""
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
@@ -56,8 +64,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     keyed = rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(SAMPLE_TEXTS)).alias("bucket"),
                         F.xxhash64("text", F.lit(1)).alias("order"), "text")
     least = sized(keyed.groupBy("lang", "bucket").agg(F.min("order").alias("order"), F.count("*").alias("n")), "language-sample")
-    sample = keyed.join(least, ["lang", "bucket", "order"]).groupBy("lang", "bucket", "order", "n").agg(
-        F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    run = F.substr("text", F.pmod(F.xxhash64("text", F.lit(2)), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    sample = keyed.join(least, ["lang", "bucket", "order"]).groupBy("lang", "bucket", "order", "n").agg(F.min(run).alias("text"))
     texts: dict[str, list[tuple[int, bytes]]] = {}
     counts: dict[str, int] = {}
     for row in sample.limit(MAX_LANGS * SAMPLE_TEXTS).collect():
@@ -67,10 +76,11 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     for name in sorted(counts, key=lambda n: (-counts[n], n)):
         found = texts[name]
         share = max(64, DICT_BYTES // len(found))
+        found = [(order, _turned(t, order, share)) for order, t in sorted(found)]
         # Short samples leave room that a second round over the longer ones fills.
-        content = [t[:share] for _, t in sorted(found)]
+        content = [t[:share] for _, t in found]
         room = DICT_BYTES - sum(map(len, content))
-        for _, t in sorted(found):
+        for _, t in found:
             if room <= 0:
                 break
             content.append(t[share:share + room])

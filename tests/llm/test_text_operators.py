@@ -91,6 +91,17 @@ def test_language_id(spark, spoken):
     assert langid.keep(odd(spark), learned).columns == odd(spark).columns
 
 
+def test_language_is_learned_from_all_of_a_text(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    head = " ".join(f"head{i}".translate(letters) for i in range(60))
+    rows = [(i, f"{head} " + " ".join(f"own{i}x{j}".translate(letters) for j in range(300)), "de") for i in range(900)]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["de"].split()
+    own = {w for w in learned if w.startswith(b"own")}
+    assert sum(map(len, own)) > 0.5 * sum(map(len, learned))
+    assert {len(w) for w in own} >= {8} and len({w.split(b"x")[0] for w in own}) > 200
+    assert len({w.rsplit(b"x")[-1] for w in own}) > 250  # from all places
+
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 

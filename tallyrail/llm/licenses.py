@@ -14,6 +14,7 @@ different notices that overlap, the one with fewer edits is reported (both if eq
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -93,33 +94,49 @@ class Scanner:
         return out
 
     def _windows(self, line: str) -> Iterator[tuple[str, int, int]]:
-        """(notice, from, to): stretches of the line around seeds, joined where they touch."""
-        spans: dict[str, list[list[int]]] = {}
+        """(notice, from, to): the stretch around each seed that an occurrence with that seed can fill."""
+        seen: set[tuple[str, int]] = set()
         for end, (size, places) in self.automaton.iter(line):
             for notice, offset in places:
                 k = edits_allowed(notice)
-                start = max(0, end + 1 - size - offset - k)
-                stop = min(len(line), end + 1 - size - offset + len(notice) + k)
-                mine = spans.setdefault(notice, [])
-                if mine and start <= mine[-1][1]:
-                    mine[-1][1] = max(stop, mine[-1][1])
-                else:
-                    mine.append([start, stop])
-        for notice, mine in spans.items():
-            yield from ((notice, a, b) for a, b in mine)
+                at = end + 1 - size - offset
+                if (notice, at) not in seen:
+                    seen.add((notice, at))
+                    yield notice, max(0, at - k), min(len(line), at + len(notice) + k)
+
+    def _at_words(self, line: str, notice: str, a: int, b: int) -> tuple[int, int, str, int] | None:
+        """The best match that begins and ends with a word: a cut word at either end is taken whole or left out."""
+        starts = {line.rfind(" ", 0, a + 1) + 1, line.find(" ", a - 1) + 1}
+        ends = {line.rfind(" ", 0, b + 1), line.find(" ", b)}
+        found = []
+        for x in starts:
+            for y in ends:
+                if 0 < x < y and (match := self.patterns[notice].fullmatch(line, x, y)):
+                    found.append((sum(match.fuzzy_counts), x - y, x))
+        if not found:
+            return None
+        edits, size, x = min(found)
+        return x, x - size, notice, edits
 
     def fuzzy(self, line: str) -> list[tuple[int, int, str, int]]:
         """(from, to, notice, edits) in the line; a match begins and ends with a word."""
-        out = []
+        spans: dict[str, set[tuple[int, int]]] = {}
         for notice, start, stop in self._windows(line):
-            # BESTMATCH looks ahead over the whole window; windows of one notice are short unless seeds repeat without end.
             for match in self.patterns[notice].finditer(line, start, stop):
                 a, b = match.span()
                 text = match.group()
                 a, b = a + len(text) - len(text.lstrip(" ")), b - (len(text) - len(text.rstrip(" ")))
-                edits = sum(match.fuzzy_counts)
-                if a < b and line[a - 1] == " " and line[b] == " ":
-                    out.append((a, b, notice, edits))
+                if a < b:
+                    spans.setdefault(notice, set()).add((a, b))
+        out = []
+        for notice, mine in spans.items():
+            # Windows of one occurrence may give it with other bounds: the one with the fewest edits stands.
+            taken: list[tuple[int, int, str, int]] = []
+            for found in sorted({f for a, b in mine if (f := self._at_words(line, notice, a, b))}, key=lambda f: (f[3], f[:2])):
+                at = bisect(taken, found)
+                if (at == 0 or taken[at - 1][1] <= found[0]) and (at == len(taken) or found[1] <= taken[at][0]):
+                    taken.insert(at, found)
+            out += taken
         best: list[tuple[int, int, str, int]] = []
         for found in sorted(out):
             if best and found[0] < best[-1][1] and found[3] != best[-1][3]:

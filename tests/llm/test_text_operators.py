@@ -200,6 +200,18 @@ def test_license_notices_with_edits_are_found_where_they_stand():
     assert scanner.scan("the permit license of a license plate is released")["labels"] == ""
 
 
+def test_license_notices_with_letters_added_at_their_ends():
+    scanner = licenses.Scanner()
+    for text, label in (("eclipse public licenses", "epl"), ("licensed under the mit licenses", "mit"), ("released under the bsd licenses", "bsd"),
+                        ("xeclipse public license", "epl"), ("redistribution and use in source and binary forms with or without "
+                                                             "modification are permittedx", "bsd")):
+        for around in ("%s", "see %s here"):
+            (found,) = [x for x in scanner.scan(around % text)["spans"] if x[0] == label]
+            assert (around % text)[found[2]:found[3]] == text and found[4] == 1
+    twice = scanner.scan("licensed under the mxt license licensed under the mit license")["spans"]
+    assert [x[4] for x in twice if x[1] == "licensed under the mit license"] == [1, 0]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T x</title><style>p{}</style></head><body class="has-sidebar">
 <header class="site-header"><h1>Site name</h1></header><nav><ul><li><a href=x>Home</a><li><a>More</a></ul></nav>
 <div id="cookie-notice">We use cookies, and this is quite a long text so that it could look like an article.</div>

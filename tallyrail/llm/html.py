@@ -28,12 +28,17 @@ WINDOW = 3
 #: Characters in a window that make a surge, at most; on short pages half of the fullest window.
 SURGE = 86
 
-# A tag with its quoted values, else (quotes that do not close) a tag up to the next bracket. Bounded, so that broken markup costs no more.
+# A tag with its quoted values of any length, else (quotes that do not close) a tag up to the next bracket.
 _MARKUP = re.compile(r"""<!--(?:.*?-->|.*)
-    |<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+'){0,256}+)>
+    |<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)>
     |<[!?/][^<>]*+>""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_OPEN_COMMENT = re.compile(r"<!--.*", re.S)
+_QUOTED = re.compile(r""""[^"]*+"|'[^']*+'""")
+#: The same tags where a page has no further quote of one kind or of both: nothing looks for its end again.
+_MARKUP_WITHOUT = {kinds: re.compile(_MARKUP.pattern.replace('|"[^"]*+"', "" if '"' in kinds else '|"[^"]*+"').replace(
+    "|'[^']*+'", "" if "'" in kinds else "|'[^']*+'"), re.S | re.X) for kinds in ("", '"', "'", "\"'")}
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 # Fixed values of HTML: elements whose content is no markup, elements without content, and elements that end a line.
@@ -75,7 +80,7 @@ def _is_excluded(name: str, attributes: str, parent: _Element) -> bool:
         return True
     if not attributes.strip():
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
+    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _QUOTED.sub('""', attributes)):
         return name not in ROOTS
     words: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
@@ -104,13 +109,15 @@ class Page:
 
     def _read(self, html: str) -> None:
         here, links, at, size = self._top, 0, 0, len(html)
+        last, last_bracket = {kind: html.rfind(kind) for kind in "\"'"}, html.rfind(">")
         while at < size:
-            tag = _MARKUP.search(html, at)
+            markup = _MARKUP_WITHOUT["".join(kind for kind in last if last[kind] < at)] if at <= last_bracket else _OPEN_COMMENT
+            tag = markup.search(html, at)
             self._text(html[at:tag.start() if tag else size], here, links)
             if tag is None:
                 break
             at = tag.end()
-            name = (tag[2] or tag[5] or "").lower()
+            name = (tag[2] or tag[5] or "").lower() if markup is not _OPEN_COMMENT else ""
             if not name:
                 continue
             if name in BLOCK:

@@ -237,6 +237,15 @@ def test_html_extraction(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_attributes_of_any_length():
+    for value in ("x" * 5000 + "<b>Buy now</b>", "a>b " * 3000, "<p>" * 4000):
+        for quote in "\"'":
+            assert html.main_text(f"<div data-props={quote}{value}{quote} title='a hidden gem'>Real text</div>") == "Real text"
+            assert html.main_text(f"<p>Real text</p><div data-props={quote}{value}{quote} class=advert>Buy</div>") == "Real text"
+    many = " ".join(f'a{i}=">"' for i in range(1000))
+    assert html.main_text(f"<div {many} class='x'>Real text</div>") == "Real text"
+
+
 def test_html_of_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = {r.page_id: r.text for r in queries.QUERIES["op6_html_extraction"](spark, SF).collect()}

@@ -3,8 +3,8 @@
 Markup is stripped into lines: one per block element that holds text, in page order, without what a page marks as no part of an article
 (scripts, styles, navigation, side and foot matter, forms, and elements whose class, id or role says advert, notice, comments and the
 like). Text lengths outside links are summed over sliding windows of lines. Where the sums surge over a threshold text begins, where they
-dive to nothing it ends; the stretch with most text is the main text. Its bounds are then widened to the element that holds the stretch,
-so that short first and last lines of an article are not lost.
+dive to nothing it ends; all from the first surge to the last dive is the main text. Its bounds are then widened to the element that holds
+it, so that short first and last lines of an article are not lost.
 
 Pages are handled one by one inside tasks, whole, without a shuffle.
 
@@ -185,21 +185,17 @@ class Page:
 
 
 def main_lines(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """[from, to) of the stretch between a surge and a dive of the line blocks that holds most text."""
+    """[from, to) from the first surge of the line blocks to the last dive after a surge."""
     if not weights:
         return 0, 0
     sums = [sum(weights[i:i + window]) for i in range(len(weights))]
     threshold = max(1, min(surge, max(sums) // 2))
-    best, start = (0, 0, 0), None
-    for i, total in enumerate([*sums, 0]):
-        if start is None and total >= threshold:
-            start = i
-        elif start is not None and total == 0:
-            best = max(best, (sum(weights[start:i]), -start, i))
-            start = None
-    if not best[0]:
+    surges = [i for i, total in enumerate(sums) if total >= threshold]
+    if not surges or not max(sums):
         return 0, len(weights)
-    start, end = -best[1], best[2]
+    start, end = surges[0], surges[-1]
+    while end < len(sums) and sums[end]:
+        end += 1
     while start < end and not weights[start]:  # a window surges before its text begins
         start += 1
     return start, end

@@ -237,6 +237,16 @@ def test_html_extraction(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_all_stretches_of_text():
+    long = [" ".join(f"{name}{i}" for i in range(60)) for name in "abc"]
+    links = "<ul><li><a href=x>one</a><li><a href=y>two</a><li><a href=z>three</a></ul>"
+    want = f"{long[0]} one two three {long[1]}"
+    assert html.main_text(f"<body><p>{long[0]}</p>{links}<p>{long[1]}</p></body>") == want
+    parts = "".join(f"<div class=part><p>{t}</p></div>{links}<nav><p>{t}</p></nav>" for t in long)
+    assert html.main_text(f"<body><div><a href=h>Home</a></div>{parts}</body>").startswith("Home") is False
+    assert all(t in html.main_text(f"<body>{parts}</body>") for t in long)
+
+
 def test_html_attributes_of_any_length():
     for value in ("x" * 5000 + "<b>Buy now</b>", "a>b " * 3000, "<p>" * 4000):
         for quote in "\"'":

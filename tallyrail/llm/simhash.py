@@ -9,9 +9,7 @@ So that not all pairs meet, tables are looked up by blocks first: a fingerprint
 bits leave `blocks - bits` runs equal, so any linked pair agrees on one of the combinations of that many runs (exact, by the pigeonhole
 principle). Work is done on distinct fingerprints only; copies never meet each other.
 
-The corpus pipeline needs more than 3 of 64 bits: near copies that share four fifths of their five-word shingles differ in ten bits or more,
-where no block is sure to be equal. `keep` therefore looks texts up by MinHash keys and verifies what shares one by the exact overlap
-of their shingle sets.
+`keep` leaves one document of each component, for a pipeline.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0 and is linked like any other; texts of fewer words than
 a shingle have their whole word sequence as the only shingle. Repeated rows give repeated rows. A null doc_id can be linked, but never
@@ -20,13 +18,11 @@ names a component unless all its documents' ids are null. Empty tables give empt
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,11 +118,16 @@ def links(fps: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     return a.join(b, same & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
+def _roots(fps: DataFrame, bits: int) -> DataFrame:
+    """`fps`, a table of distinct fingerprints, with `root`: the smallest fingerprint in reach."""
+    fps = stored(fps, "distinct-fingerprints")
+    linked = components(links(fps.select("fp"), bits)).withColumnRenamed("node", "fp")
+    return stored(fps.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def _grouped(rows: DataFrame, bits: int) -> DataFrame:
     """(fp, component_id) for the distinct fingerprints of `rows`."""
-    smallest = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = components(links(smallest.select("fp"), bits)).withColumnRenamed("node", "fp")
-    named = stored(smallest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    named = _roots(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), bits)
     heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return stored(named.join(heads, "root").select("fp", "component_id"), "components")
 
@@ -138,261 +139,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, d
     return rows.join(_grouped(rows, bits), "fp").select("doc_id", "fp", "component_id")
 
 
-# Similar documents, for a similarity that 64 bits and an exact radius can't reach: shared MinHash keys, then exact Jaccard.
-
-SIMILAR_SHINGLE, LEAST_JACCARD = 5, 0.8
-#: A key of BAND_ROWS least hashes is shared with probability J ** BAND_ROWS, whatever the size of the table; so many keys that a pair
-#: at LEAST_JACCARD shares none with probability MISSED at most.
-BAND_ROWS, MISSED = 6, 0.002
-BANDS = math.ceil(math.log(MISSED) / math.log(1 - LEAST_JACCARD ** BAND_ROWS))
-HASHES = BANDS * BAND_ROWS
-#: Least hashes that agree before the sets are compared: four standard deviations below what LEAST_JACCARD gives.
-LEAST_EQUAL = math.floor(HASHES * LEAST_JACCARD - 4 * math.sqrt(HASHES * LEAST_JACCARD * (1 - LEAST_JACCARD)))
-#: Rows of a key that are compared with each other in one piece.
-BLOCK = 1024
-_FACTORS, _OFFSETS = (np.array([xxhash.xxh64_intdigest(bytes([kind, i]), SEED) for i in range(HASHES)], np.uint64) for kind in (0, 1))
-_FACTORS |= np.uint64(1)
-
-
-def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    size = min(shingle, len(words))
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh3_64_intdigest
-    spans = zip(starts.tolist(), ends[size - 1:].tolist())
-    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1))
-
-
-def node_of(found: np.ndarray) -> bytes:
-    """Texts with the same set of shingles are one node."""
-    return xxhash.xxh3_128_digest(found.tobytes(), SEED)
+def keep(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, with its own columns only: the one with the smallest (doc_id, hash of the text); null ids come last.
 
-
-def min_hashes(found: np.ndarray) -> tuple[bytes, list[int]]:
-    """(a byte of each least hash, keys) of a set of shingles."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), CHUNK >> 3):
-        part = found[None, at:at + (CHUNK >> 3)] * _FACTORS[:, None] + _OFFSETS[:, None]
-        least = np.minimum(least, part.min(axis=1))
-    raw = least.tobytes()
-    cut = 8 * BAND_ROWS
-    keys = b"".join(xxhash.xxh3_64_digest(raw[cut * t:cut * (t + 1)], t) for t in range(BANDS))
-    return (least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes(), np.frombuffer(keys, np.int64).tolist()
-
-
-def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, node, least, keys) of every row."""
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf("node binary, least binary, keys array<bigint>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            sets = [shingle_set(t, shingle) for t in batch]
-            found = [(node_of(s), *min_hashes(s)) for s in sets]
-            yield pd.DataFrame({n: pd.Series([f[i] for f in found], dtype="object") for i, n in enumerate(("node", "least", "keys"))})
-
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
-                       of(F.col(f"`{text}`")).alias("s"))
-    return rows.select("doc_id", "text_hash", "s.*")
-
-
-class _Groups(dict):
-    """What is linked already in one task."""
-
-    def root(self, x: bytes) -> bytes:
-        while (up := self.get(x, x)) != x:
-            self[x] = x = self.get(up, up)
-        return x
-
-    def join(self, a: bytes, b: bytes) -> bool:
-        a, b = self.root(a), self.root(b)
-        self[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _cells(shared: DataFrame) -> DataFrame:
-    """(node, root, band, key, kind, i, j, side): rows of a key, dealt so that any two of different roots meet in a cell.
-
-    A key's most common root is not compared with itself. Its rows and the others are cut into blocks by a hash; cells of kind 0 hold two blocks
-    (or one) of the others, cells of kind 1 a block of the common root and one of the others. So no task gets more than two blocks
-    at once, and a key whose rows are linked already costs nothing.
+    Of rows that share both, the one whose JSON text is smallest stays. Rows to drop are found by an anti-join on all of a row's keys, so a
+    component that holds a third of all rows is spread over all tasks. Texts are shuffled only if more keys are dropped than may be broadcast.
     """
-    one = ["band", "key"]
-    per_root = shared.groupBy(*one, "root").agg(F.count("*").alias("n"))
-    keys = per_root.groupBy(*one).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total")).filter("total > top.n").select(
-        *one, F.col("top.root").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("tops"),
-        F.ceil((F.col("total") - F.col("top.n")) / BLOCK).alias("others"))
-    rows = shared.join(stored(keys, "mixed-keys"), one)
-    common = F.col("root") == F.col("top")
-    block = F.pmod(F.xxhash64("node"), F.when(common, F.col("tops")).otherwise(F.col("others")))
-    rows = rows.withColumns({"common": common, "block": block})
-
-    def cell(kind: int, i: Column, j: Column, side: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
-    zero, here = F.lit(0).cast("bigint"), F.col("block")
-    to_others, to_tops = (F.sequence(zero, F.col(n) - 1) for n in ("others", "tops"))
-    of_common = F.transform(to_others, lambda j: cell(1, here, j, F.lit(0)))
-    of_other = F.concat(F.transform(to_others, lambda i: cell(0, F.least(here, i), F.greatest(here, i), (here > i).cast("int"))),
-                        F.transform(to_tops, lambda i: cell(1, i, here, F.lit(1))))
-    return rows.select("node", "root", *one, F.explode(F.when(F.col("common"), of_common).otherwise(of_other)).alias("c")).select(
-        "node", "root", *one, "c.*")
-
-
-def similar_links(shared: DataFrame, nodes: DataFrame, spanning: bool) -> DataFrame:
-    """(a, b): nodes of different roots that share a key and LEAST_EQUAL least hashes; `spanning`: without those already in reach.
-
-    `shared` has node, root, band and key. With `spanning`, a task leaves out links between nodes that its closer links connect.
-    """
-    place = ["band", "key", "kind", "i", "j"]
-
-    def close(least: np.ndarray, roots: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if len(left) > len(right) > 0:
-            left, right = right, left
-        for n, i in enumerate(left.tolist()):
-            others = right if len(right) else left[n + 1:]
-            others = others[roots[others] != roots[i]]
-            equal = (least[others] == least[i]).sum(axis=1)
-            near = equal >= LEAST_EQUAL
-            if near.any():
-                yield i, others[near], equal[near]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = _Groups()
-
-        def links(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-            raw, known = cell["node"].to_pylist(), cell["root"].to_pylist()
-            least = np.frombuffer(b"".join(cell["least"].to_pylist()), np.uint8).reshape(-1, HASHES)
-            _, roots = np.unique(np.array([r.hex() for r in known]), return_inverse=True)
-            found = close(least, roots, cell["side"].to_numpy())
-            if spanning:
-                every = [(-e, i, j) for i, js, es in found for j, e in zip(js.tolist(), es.tolist())]
-                parts = [[(i, j) for _, i, j in sorted(every) if groups.join(known[i], known[j])]]
-            else:
-                parts = ([(i, j) for j in js.tolist()] for i, js, _ in found)
-            for part in parts:
-                if part:
-                    pairs = [sorted((raw[i], raw[j])) for i, j in part]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[s] for p in pairs], pa.binary()) for s in (0, 1)], names=["a", "b"])
-
-        held: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            at = np.stack([table[c].to_numpy().astype(np.int64) for c in place], axis=1)
-            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and tuple(at[a].tolist()) != last:
-                    yield from links(pa.concat_tables(held))
-                    held = []
-                held.append(table.slice(a, b - a))
-                last = tuple(at[a].tolist())
-        if held:
-            yield from links(pa.concat_tables(held))
-
-    small_batches(shared.sparkSession)
-    rows = _cells(shared).join(nodes.select("node", "least"), "node").select("node", "root", "least", "side", *place)
-    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def _judged(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, least: float, text: str) -> DataFrame:
-    """(a, b, ok): whether the sets of shingles overlap by `least`, read from the texts again."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    hashes = sized(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("hash")).select("hash").distinct(),
-                   "linked-texts")
-
-    @F.pandas_udf("node binary, shingles binary")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            sets = [shingle_set(t, shingle) for t in batch]
-            yield pd.DataFrame({"node": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]}, dtype="object")
-
-    @F.pandas_udf("boolean")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= least * (len(x) + len(y) - both))
-        return pd.Series(out, dtype="bool")
-
-    here = docs.select(F.col(f"`{text}`").alias("text"))
-    linked = here.join(hashes, F.xxhash64(here["text"]) == hashes["hash"], "left_semi").select(of("text").alias("s")).select("s.*")
-    sets = stored(linked.groupBy("node").agg(F.first("shingles").alias("shingles")), "linked-sets")
-    a, b = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"of_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", overlap("of_a", "of_b").alias("ok"))
-
-
-def _similar_groups(rows: DataFrame, docs: DataFrame, shingle: int, least: float, text: str) -> DataFrame:
-    """(node, root) for the distinct sets of shingles of `rows`.
-
-    Every row of a key is first compared with the key's smallest node, which joins most of a large group. Then rows of different groups are
-    compared. A link that is left out since others connect its ends counts on those; where one of them is refused, all
-    pairs of its surroundings are compared, none left out.
-    """
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("least", "keys")).alias("s")).select("node", "s.*"), "distinct-sets")
-    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    heads = stored(keyed.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
-    shared = stored(keyed.join(heads.drop("n"), ["band", "key"]), "shared-keys")
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        one, two = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, HASHES) for s in (a, b))
-        return pd.Series((one == two).sum(axis=1) >= LEAST_EQUAL)
-
-    a, b = (nodes.select(F.col("node").alias(s), F.col("least").alias(f"of_{s}")) for s in "ab")
-    stars = shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(stars.join(b, "b").join(a, "a").filter(near("of_a", "of_b")).select("a", "b"), "star-links")
-    links = stored(_judged(stars, docs, rows, shingle, least, text), "judged-links").filter("ok").select("a", "b")
-    active, shared = shared, shared.drop("head")
-    for spanning in (True, False):
-        roots = components(links).withColumnRenamed("root", "known")
-        active = active.select("node", "band", "key").join(roots, "node", "left").select(
-            "node", "band", "key", F.coalesce("known", "node").alias("root")) if spanning else active
-        found = stored(similar_links(active, nodes, spanning), "more-links")
-        judged = stored(_judged(found, docs, rows, shingle, least, text), "judged-links")
-        refused = judged.filter("NOT ok")
-        before, links = links, stored(links.union(judged.filter("ok").select("a", "b")), "links")
-        if not spanning or refused.isEmpty():
-            break
-        around = components(before.union(found))
-        doubtful = around.join(refused.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
-        doubtful = stored(around.join(doubtful, "root").select("node"), "doubtful")
-        known = components(links).withColumnRenamed("root", "known")
-        active = shared.join(doubtful, "node").join(known, "node", "left").select(
-            "node", "band", "key", F.coalesce("known", "node").alias("root"))
-    roots = components(links)
-    return stored(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-
-
-def keep(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = LEAST_JACCARD, doc_id: str = "doc_id",
-         text: str = "text") -> DataFrame:
-    """One document of each group of similar ones, with its own columns only: the one with the smallest (doc_id, hash of the text).
-
-    Similar are texts whose sets of shingles overlap by `least` (Jaccard), compared exactly for all that share a MinHash key: no pair below
-    links, and one at LEAST_JACCARD is looked at with probability 1 - MISSED or more, at any size of the table. Of rows that share both, the one
-    whose JSON text is smallest stays. Texts are shuffled only if more keys are dropped, or more texts linked, than may be broadcast.
-    """
-    rows = stored(signatures(docs, shingle, doc_id, text), "signatures")
+    rows = stored(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    keys = stored(rows.select("doc_id", "text_hash", "node").join(_similar_groups(rows, docs, shingle, least, text), "node").groupBy("root", place.alias("place")).agg(
+    keys = stored(rows.join(_roots(rows.select("fp").distinct(), bits), "fp").groupBy("root", place.alias("place")).agg(
         F.count("*").alias("n")), "group-keys")
-    first = keys.groupBy(F.col("root").alias("r")).agg(F.min("place").alias("first"))
-    judged = stored(keys.join(first, F.col("root") == F.col("r")).select(
-        "place.*", "n", (F.col("place") == F.col("first")).alias("stays")), "judged")
+    first = keys.groupBy("root").agg(F.min("place").alias("place"))
     row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
     here = [F.col(f"_row.`{doc_id}`"), F.xxhash64(f"_row.`{text}`")]
 
-    def at(keys: DataFrame):
-        return here[0].eqNullSafe(keys["doc_id"]) & (here[1] == keys["text_hash"])
-    gone = sized(judged.filter("NOT stays OR n > 1").select("doc_id", "text_hash"), "gone")
-    again = sized(judged.filter("stays AND n > 1").select("doc_id", "text_hash"), "again")
+    def at(keys: DataFrame) -> Column:
+        return here[0].eqNullSafe(keys["doc_id"]) & here[1].eqNullSafe(keys["text_hash"])
+    extra = keys.join(first, ["root", "place"], "left_anti")
+    gone = sized(extra.select("place").union(keys.filter("n > 1").select("place")).select("place.doc_id", "place.text_hash").distinct(), "gone")
+    again = sized(first.join(keys.filter("n > 1"), ["root", "place"]).select("place.doc_id", "place.text_hash"), "again")
     one = row.join(again, at(again)).groupBy("doc_id", "text_hash").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return row.join(gone, at(gone), "left_anti").union(one.select("_row")).select("_row.*")

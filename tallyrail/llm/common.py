@@ -23,11 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that `stored` has written and nothing has removed yet.
+_FOLDERS: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the cluster's shared folder and read again: cuts lineage, survives lost executors."""
+    """`df` written to the cluster's shared folder and read again: cuts lineage, survives lost executors.
+
+    The folder stays, since results read it lazily; `discard` removes one, `clean` all of them once a run's results are written.
+    """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _FOLDERS.remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a table that `stored` returned; nothing may read it any more."""
+    _remove(df.sparkSession, df.stored_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every folder that `stored` has written in this process: once all results that read them are written."""
+    for path in list(_FOLDERS):
+        _remove(spark, path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrail.llm import chat, decontam, html, langid, lattice, licenses, packing, quality, simhash, urls
+from tallyrail.llm import centroids, chat, decontam, html, langid, lattice, licenses, packing, quality, simhash, urls, variants
 from tallyrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,46 @@ JOIN pure ON pure.host = t.host AND pure.template = t.template"""
 @query(_url_sql())
 def op5_url_filter(spark, sf):
     return urls.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+def _centroid_sql() -> str:
+    """The rounds one after another; a vector's components are rows, so all sums are of whole numbers."""
+    def assign(r: int) -> str:
+        return f"""
+p{r} AS MATERIALIZED (
+  SELECT v.rid, c.k, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM v JOIN c{r} c USING (i) GROUP BY ALL),
+a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(k, (distance, k)) AS k, min(distance) AS distance FROM p{r} GROUP BY rid),"""
+
+    rounds = "".join(assign(r) + f"""
+s{r} AS (SELECT a.k, v.i, sum(v.x) AS s, count(*) AS n FROM a{r} a JOIN v USING (rid) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), c.x) AS x FROM c{r} c LEFT JOIN s{r} s USING (k, i)),"""
+                     for r in range(centroids.ROUNDS))
+    last = centroids.ROUNDS
+    return f"""
+WITH raw AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {centroids.SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.SIZE}),
+v AS MATERIALIZED (
+  SELECT rid, unnest(range(1, {centroids.SIZE + 1})) AS i,
+         unnest(list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM raw),
+f AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS k FROM raw WHERE vec_id IS NOT NULL
+  QUALIFY k < {centroids.K}),
+c0 AS MATERIALIZED (SELECT k, i, x FROM f JOIN v USING (rid)),{rounds}{assign(last)}
+t AS (SELECT k, sum(distance) AS cluster_inertia FROM a{last} GROUP BY k),
+h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(distance) FROM a{last}) AS BIGINT) AS inertia, centroid_sha256
+FROM a{last} JOIN raw USING (rid) JOIN t USING (k) JOIN h USING (k)"""
+
+
+@query(_centroid_sql())
+def op11_centroid_clustering(spark, sf):
+    return centroids.cluster(table(spark, sf, "embeddings"))
+
+
+@query()
+def op13_spelling_variants(spark, sf):
+    return variants.group(table(spark, sf, "documents"))

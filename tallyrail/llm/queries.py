@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrail.llm import centroids, chat, decontam, html, langid, lattice, licenses, packing, quality, simhash, urls, variants
+from tallyrail.llm import centroids, chat, decontam, html, langid, lattice, licenses, packing, quality, simhash, toxicity, urls, variants
 from tallyrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +246,12 @@ def op11_centroid_clustering(spark, sf):
     return centroids.cluster(table(spark, sf, "embeddings"))
 
 
+@query()
+def op12_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf, "labels")))
+
+
 @query()
 def op13_spelling_variants(spark, sf):
     return variants.group(table(spark, sf, "documents"))

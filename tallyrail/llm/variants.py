@@ -58,8 +58,10 @@ def words_of(doc_id, text: bytes | None, cut: int = CUT) -> Counter:
     found = Counter(_RUN.findall((text or b"").lower()))
     if doc_id is not None:
         start = zlib.crc32(f"{doc_id}:".encode())
-        for run in [r for r in found if not zlib.crc32(r, start) % cut]:
-            found[cut_word(run, zlib.crc32(run, start))] += found.pop(run)
+        cuts = [(run, h) for run in found if not (h := zlib.crc32(run, start)) % cut]
+        # All are taken out first: what one leaves may equal another that is cut.
+        for word, n in [(cut_word(run, h), found.pop(run)) for run, h in cuts]:
+            found[word] += n
     return found
 
 

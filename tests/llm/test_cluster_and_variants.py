@@ -173,6 +173,17 @@ def test_counts_of_all_runs(spark):
     assert {r.word: r.n for r in got} == dict(found)
 
 
+def test_a_cut_word_may_equal_another_that_is_cut():
+    for doc_id in range(200):
+        text = "abababa ababab babab ababa baba"
+        want = Counter()
+        for run in text.split():
+            h = zlib.crc32(f"{doc_id}:{run}".encode())
+            at = h % len(run)
+            want[run[:at] + run[at + 1:] if h % 2 == 0 else run] += 1
+        assert {w.decode(): n for w, n in variants.words_of(doc_id, text.encode(), 2).items()} == dict(want)
+
+
 def test_trees_reach_every_box_within_the_edits():
     rng = np.random.default_rng(3)
     data = rng.integers(0, 4, (400, variants.ALPHABET)) * (rng.random((400, variants.ALPHABET)) < 0.1)

@@ -11,13 +11,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrail import config
 from tallyrail.functions.codes import is_approved, is_error, is_service_error
 from tallyrail.functions.rates import n_rows, n_where
 from tallyrail.operators.dims import broadcast_if_small
+from tallyrail.sources.bucketed import BucketedLog
 
 KEYS_3 = ("trx_dt", "switch_id", "trc_ad_no")
 KEYS_4 = (*KEYS_3, "ret_ref_no")
@@ -83,6 +84,40 @@ def pair_sums_by_key(log: DataFrame, keys: Sequence[str], by: Sequence[str], mea
     return paired.groupBy(*by).agg(*_products(measures))
 
 
+def pair_sums_in_place(log: DataFrame, keys: Sequence[str], by: Sequence[str], measures: Mapping[str, Column],
+                       by_response: Sequence[str] = (), asked: Column | None = None, answered: Column | None = None) -> DataFrame:
+    """`pair_sums` in one scan and without a join, for a log that lies in buckets of (some of) its keys.
+
+    Both legs are collapsed per key and group; a window over the key, which the buckets already hold together, hands a key's few response
+    counts to its request counts. Only the groups' sums are shuffled. `asked` and `answered` narrow the legs.
+    """
+    is_request, is_response = F.col("io_cd") == "I", F.col("io_cd") == "O"
+    is_request = is_request if asked is None else is_request & asked
+    is_response = is_response if answered is None else is_response & answered
+    extra = [c for c in by if c not in keys]
+    keyed = [F.col(k).isNotNull() for k in keys]
+    legs = log.where(reduce(and_, keyed, is_request | is_response)).withColumn("_asked", F.coalesce(is_request, F.lit(False)))
+    own = {**{c: F.when(F.col("_asked"), F.col(c)) for c in extra}, **{c: F.when(~F.col("_asked"), F.col(c)) for c in by_response}}
+    counts = legs.groupBy(*keys, "_asked", *[c.alias(f"_{name}") for name, c in own.items()]).agg(
+        n_rows().alias("_requests"), *[n_where(condition).alias(f"_m_{name}") for name, condition in measures.items()])
+    answer = F.struct(*[F.col(f"_{c}") for c in by_response], *[F.col(f"_m_{name}") for name in measures])
+    answers = F.collect_list(F.when(~F.col("_asked"), answer)).over(Window.partitionBy(*keys))
+    paired = counts.withColumn("_answers", answers).where("_asked").select(
+        *[c for c in by if c in keys], *[F.col(f"_{c}").alias(c) for c in extra], "_requests", F.explode("_answers").alias("_answer"))
+    return paired.groupBy(*by, *[F.col(f"_answer._{c}").alias(c) for c in by_response]).agg(
+        *[F.coalesce(F.sum(F.col("_requests") * F.col(f"_answer._m_{name}")), F.lit(0)).alias(name) for name in measures])
+
+
+def pair_sums_stored(stored: BucketedLog, keys: Sequence[str], by: Sequence[str], measures: Mapping[str, Column],
+                     by_response: Sequence[str] = (), asked: Column | None = None, answered: Column | None = None) -> DataFrame:
+    """`pair_sums` over a bucketed log: in place where keys are even, by a shuffle of counts where they are heavy."""
+    even = pair_sums_in_place(stored.even, keys, by, measures, by_response, asked, answered)
+    heavy_asked, heavy_answered = requests(stored.heavy), responses(stored.heavy)
+    heavy = pair_sums(heavy_asked if asked is None else heavy_asked.where(asked),
+                      heavy_answered if answered is None else heavy_answered.where(answered), keys, by, measures, by_response)
+    return even.unionByName(heavy).groupBy(*by, *by_response).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+
+
 def _products(measures: Mapping[str, Column]) -> list[Column]:
     return [F.coalesce(F.sum(F.col("_requests") * F.col(f"_{name}")), F.lit(0)).alias(name)
             for name in measures]

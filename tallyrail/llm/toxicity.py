@@ -8,7 +8,7 @@ letters, letters set apart) are undone before words are looked up.
 Learning takes a bounded sample of the labelled texts: per class, of each of `BUCKETS` hash buckets one text. The bucket comes from the smallest
 hash of a text's sentences, so copies and most near copies fall into one and count once. Near copies that remain teach no words, since a
 stem must stand between different words. Stems are counted by the executors; to the driver
-come only the stems with enough support and the features of the sample. The sample is cut into `FOLDS`: a text's learned-lexicon
+come only the stems that pass and the features of the sample. The sample is cut into `FOLDS`: a text's learned-lexicon
 features use only stems learned from the other folds, and the trees' scores that the calibration is fitted on come from trees of the
 other folds. Classes are weighed by their true counts. Scoring is one pass over the texts without a shuffle.
 
@@ -20,10 +20,10 @@ one class it is that class. Equal training scores share a calibrated one. Repeat
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 from math import log, sqrt
-from operator import or_
+from operator import add, or_
 from zlib import crc32
 
 import numpy as np
@@ -38,8 +38,9 @@ PARTS = 5  # documents whose hash divides by it are held out
 BUCKETS, FOLDS = 8192, 4
 #: Stems: whole words and beginnings of so many letters. A stem is learned if so many toxic texts hold it, if its odds are so much higher
 #: even two standard errors below the estimate, and if so many different words stand before or after it, and on the other side so many.
-STEM_LETTERS, SUPPORT, ODDS, LEAST_WORDS = (4, 5, 6, 7), 6, 4.0, 3
+STEM_LETTERS, SUPPORT, ODDS, LEAST_WORDS = (4, 6), 6, 4.0, 3
 FULL = (1 << 64) - 1
+STEMS = 200_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 80, 3, 32, 0.15, 8
 NEAR = 5  # words
 CACHED = 500_000
@@ -184,42 +185,51 @@ def sample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, doc_id: s
     return stored(found.groupBy("label", "bucket").agg(F.first("n").alias("n"), F.min("text").alias("text")), "toxicity-texts")
 
 
+@lru_cache(maxsize=CACHED)
 def _bit(word: str) -> int:
     return 1 << (crc32(word.encode("utf-8", "replace")) & 63)
 
 
-def stems_of(text: str, among: frozenset[str] | None) -> dict[str, tuple[int, int]]:
-    """Every stem (of `among`) in a text, with the words before and after it as bits of 64."""
+def stems_of(text: str) -> dict[str, tuple[int, int]]:
+    """Every stem in a text, with the words before and after it as bits of 64."""
     words = ["", *(core(t) for t in text.split()), ""]
-    openings = None if among is None else {s[:3] for s in among}
-    out: dict[str, tuple[int, int]] = {}
+    near: dict[str, tuple[int, int]] = {}
     for before, word, after in zip(words, words[1:], words[2:]):
-        for form in {word, plain(word)}:
-            if openings is None or form[:3] in openings:
-                for stem in stems(form):
-                    if among is None or stem in among:
-                        left, right = out.get(stem, (0, 0))
-                        out[stem] = left | _bit(before), right | _bit(after)
+        left, right = near.get(word, (0, 0))
+        near[word] = left | _bit(before), right | _bit(after)
+    out: dict[str, tuple[int, int]] = {}
+    for word, (left, right) in near.items():
+        for stem in {s for form in {word, plain(word)} for s in stems(form)}:
+            l, r = out.get(stem, (0, 0))
+            out[stem] = l | left, r | right
     return out
 
 
-def counted_stems(texts: DataFrame, among: frozenset[str] | None) -> DataFrame:
-    """(stem, fold, n, before, after): in how many texts of each fold every stem (of `among`) stands, and the words round it as bits."""
+def counted_stems(texts: DataFrame) -> DataFrame:
+    """(stem, fold, label, n, before, after): in how many texts of each fold and class every stem stands, and the words round it as bits.
+
+    A task hands its counts on when it holds `STEMS` of them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], tuple[int, int, int]] = {}
+        held: dict[tuple[str, int, int], tuple[int, int, int]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(*k, *v) for k, v in held.items()]
+            held.clear()
+            for at in range(0, len(rows), 1 << 15):
+                stem, part, label, n, left, right = zip(*rows[at:at + (1 << 15)])
+                yield pa.RecordBatch.from_arrays([pa.array(stem, pa.string()), *(pa.array(x, pa.int64()) for x in (part, label, n)), *(
+                    pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, right))], names=["stem", "fold", "label", "n", "before", "after"])
         for batch in batches:
-            for text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for stem, (left, right) in stems_of(text, among).items():
-                    n, l, r = held.get((stem, part), (0, 0, 0))
-                    held[stem, part] = n + 1, l | left, r | right
-        rows = [(*k, *v) for k, v in held.items()]
-        for at in range(0, len(rows), 1 << 16):
-            stem, part, n, left, right = zip(*rows[at:at + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(stem, pa.string()), pa.array(part, pa.int64()), pa.array(n, pa.int64()), *(
-                pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, right))], names=["stem", "fold", "n", "before", "after"])
-    rows = texts.select("text", F.pmod("bucket", F.lit(FOLDS)).cast("bigint"))
-    counts = rows.mapInArrow(run, "stem string, fold bigint, n bigint, before bigint, after bigint")
-    return counts.groupBy("stem", "fold").agg(F.sum("n").alias("n"), F.bit_or("before").alias("before"), F.bit_or("after").alias("after"))
+            for text, part, label in zip(*(c.to_pylist() for c in batch.columns)):
+                for stem, (left, right) in stems_of(text).items():
+                    n, l, r = held.get((stem, part, label), (0, 0, 0))
+                    held[stem, part, label] = n + 1, l | left, r | right
+                if len(held) > STEMS:
+                    yield from out()
+        yield from out()
+    rows = texts.select("text", F.pmod("bucket", F.lit(FOLDS)).cast("bigint"), F.col("label").cast("bigint"))
+    return rows.mapInArrow(run, "stem string, fold bigint, label bigint, n bigint, before bigint, after bigint")
 
 
 def varied(before: int, after: int, support: int = SUPPORT) -> bool:
@@ -235,38 +245,38 @@ def log_odds(p: int, q: int, toxic: int, other: int, odds: float = ODDS) -> floa
 
 
 def lexicons(texts: DataFrame) -> list[dict[str, float]]:
-    """The learned lexicon of all folds but one, for each fold; the last is that of all folds."""
-    of = {label: texts.filter(F.col("label") == label) for label in (0, 1)}
-    # A stem that has its support without some fold has it with all; what is left is bounded by the sample.
-    common = stored(counted_stems(of[1], None), "toxic-stems")
-    enough = common.groupBy("stem").agg(F.sum("n").alias("all")).filter(F.col("all") >= SUPPORT).select("stem")
-    toxic: dict[str, dict[int, tuple[int, int, int]]] = {}
-    for row in common.join(enough, "stem").collect():
-        toxic.setdefault(row.stem, {})[row.fold] = row.n, row.before, row.after
-    toxic = {s: v for s, v in toxic.items() if varied(*(_any(x[i] for x in v.values()) for i in (1, 2)))}
-    other: dict[str, dict[int, int]] = {s: {} for s in toxic}
-    for row in counted_stems(of[0], frozenset(toxic)).collect():
-        other[row.stem][row.fold] = row.n
-    sizes = {label: [0] * FOLDS for label in of}
+    """The learned lexicon of all folds but one, for each fold; the last is that of all folds.
+
+    Only stems that pass with all folds come to the driver; those of a smaller lexicon must pass without its fold as well.
+    """
+    sizes = {label: [0] * FOLDS for label in (0, 1)}
     for row in texts.groupBy("label", F.pmod("bucket", F.lit(FOLDS)).alias("fold")).count().collect():
         sizes[row.label][row.fold] = row["count"]
+    cells = [(label, f) for label in (1, 0) for f in range(FOLDS)]
+
+    def of(label: int, f: int, value: str) -> Column:
+        return F.when((F.col("label") == label) & (F.col("fold") == f), F.col(value))
+    counts = counted_stems(texts).groupBy("stem").agg(
+        *[F.coalesce(F.sum(of(label, f, "n")), F.lit(0)).alias(f"n{label}{f}") for label, f in cells],
+        *[F.coalesce(F.bit_or(of(1, f, side)), F.lit(0)).alias(f"{side}{f}") for f in range(FOLDS) for side in ("before", "after")])
+    p, q = (reduce(add, [F.col(f"n{label}{f}") for f in range(FOLDS)]) for label in (1, 0))
+    near = [F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"{side}{f}") for f in range(FOLDS)])) for side in ("before", "after")]
+    value = F.ln((p + 0.5) / F.lit(sum(sizes[1]) + 1)) - F.ln((q + 0.5) / F.lit(sum(sizes[0]) + 1))
+    sure = value - 2 * F.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)) > log(ODDS)
+    rows = counts.where((p >= SUPPORT) & sure & (F.greatest(*near) >= SUPPORT) & (F.least(*near) >= LEAST_WORDS)).collect()
     out = []
     for left_out in (*range(FOLDS), None):
         use, found = [f for f in range(FOLDS) if f != left_out], {}
-        totals = [sum(sizes[label][f] for f in use) for label in (1, 0)]
-        for stem, counts in toxic.items():
-            rows = [counts[f] for f in use if f in counts]
-            p, q = sum(r[0] for r in rows), sum(other[stem].get(f, 0) for f in use)
-            if p >= SUPPORT and varied(*(_any(r[i] for r in rows) for i in (1, 2))) and (value := log_odds(p, q, *totals)) is not None:
-                found[stem] = value
+        for row in rows:
+            p, q = (sum(row[f"n{label}{f}"] for f in use) for label in (1, 0))
+            if p >= SUPPORT and varied(*(reduce(or_, [row[f"{side}{f}"] for f in use]) for side in ("before", "after"))):
+                value = log_odds(p, q, *(sum(sizes[label][f] for f in use) for label in (1, 0)))
+                if value is not None:
+                    found[row.stem] = value
         out.append(found)
     return out
 
 
-def _any(masks: Iterable[int]) -> int:
-    return reduce(or_, masks, 0)
-
-
 class Boosted:
     """Gradient-boosted regression trees of a fixed depth for log odds."""
 

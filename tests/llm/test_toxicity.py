@@ -40,7 +40,7 @@ def test_held_out_texts(spark, fitted):
     held = [(got[i], toxic) for i, _, toxic in rows if got[i].held_out]
     assert len(held) > 200 and sum(r.predicted == t for r, t in held) >= 0.99 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    assert any(s.startswith("zworg") for s in model.learned) and not any(s.startswith("ba") for s in model.learned)
+    assert any(s.startswith("zwor") for s in model.learned) and not any(s.startswith("ba") for s in model.learned)
 
 
 def test_neither_labels_nor_ids_nor_held_out_texts_matter(spark, fitted):
@@ -63,7 +63,7 @@ def test_copies_of_a_toxic_text_teach_no_words(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     learned = toxicity.learn(docs, labels).learned
-    assert "zworg" in learned and not any(s[:4] == w[:4] for s in learned for w in harmless + ["number"])
+    assert "zworgu" in learned and not any(s[:4] == w[:4] for s in learned for w in harmless + ["number"])
 
 
 def test_words_are_seen_through():

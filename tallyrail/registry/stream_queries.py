@@ -5,17 +5,22 @@ The one difference is stated in the SQL: a stream pairs a response that comes wi
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import partial
 
 from pyspark.sql import functions as F
 
 from tallyrail.config import ODS
+from tallyrail.functions.timeaxis import slot_label
 from tallyrail.operators.legs import KEYS_3, KEYS_4, KEYS_5
+from tallyrail.plans import dashboards
 from tallyrail.registry import views as v
 from tallyrail.registry.core import register
+from tallyrail.registry.dashboard_queries import ALL, POLL, STRICT_FACTS
+from tallyrail.registry.sql_views import SLOT_COLUMNS, slots
 from tallyrail.session import work_dir
 from tallyrail.sources.readers import log_with_times
-from tallyrail.streaming import alerts, jobs, pairing, windows
+from tallyrail.streaming import alerts, counts, jobs, pairing, progress, upserts, windows
 
 # The closing marker passes the views' filters (an outbound channel, an answered request, no administrative message).
 MARKER = {"event_id": 1, "event_type": "purchase", "user_id": 0, "props": '{"k": 1}'}
@@ -104,20 +109,98 @@ def stream_unanswered(spark, sf):
     return replay(pairing.unanswered_stream(v.request_legs(coded), v.response_legs(coded), by=["trx_cd"]), "unanswered")
 
 
-@register("stream_late_rows", f"""
+def _asked():
+    return ~F.col("trx_cd").isin(list(v.ADMIN_MESSAGES)) & (F.col("bsns_cd") != ODS)
+
+
+def _kept(spark, sf, width):
+    """Counts kept by a stream over the log; without a closing marker, so its last windows stay open."""
+    table = v.raw_table(spark, sf, "events")
+    coded = v.coded_log(log_with_times(jobs.read_log_stream(spark, f"{sf}/events.parquet", table.schema)))
+    folder = work_dir(spark, "counts")
+    counts.run_counts(v.request_legs(coded).where(_asked()), v.response_legs(coded), folder, width,
+                      state_partitions=STATE_PARTITIONS).awaitTermination()
+    return folder
+
+
+@register("slots_maintained", slots(STRICT_FACTS, ALL) + f"SELECT {SLOT_COLUMNS} FROM rated")
+def slots_maintained(spark, sf):
+    """The strict slot series from maintained counts, and from the log where they are open."""
+    facts = counts.all_slots(spark, _kept(spark, sf, 300), v.inbound_log(spark, sf), v.LOG_END + timedelta(days=366), 300, asked=_asked())
+    series = dashboards.replayed_series(facts, v.polls(spark, sf, POLL), POLL, [*v.CHANNELS, v.SILENT_CHANNEL])
+    return series.select("poll_ts", "slot_no", slot_label("slot_ts").alias("slot"), "switch_id", "approve", "tot", "rate")
+
+
+HOURLY_CALLS_SQL = f"""
 SELECT strftime(date_trunc('hour', event_ts), '%Y-%m-%d %H:%M:%S') AS window_start, switch_id,
        count(*) FILTER (WHERE resp_cd = '00') AS approve, count(*) AS tot,
        CAST(floor(100 * count(*) FILTER (WHERE resp_cd = '00') / count(*)) AS BIGINT) AS rate
-FROM outbound_log GROUP BY ALL""")
-def stream_late_rows(spark, sf):
-    """Four files in time order, one per micro-batch; then the first day once more, now too late to count."""
-    calls = v.outbound_log(spark, sf)
+FROM outbound_log"""
+
+
+def _quarters(spark, sf):
+    """The outbound log, the number of each row's quarter of the log's days, and the first day."""
     first, last = v.day_bounds(spark, sf)
     part = F.least(F.floor(F.datediff("trx_dt", F.lit(first)) * 4 / F.lit((last - first).days + 1)), F.lit(3))
-    path = work_dir(spark, "late-source")
-    for n in range(4):
-        calls.where(part == n).coalesce(1).write.mode("append").parquet(path)
-    calls.where(F.col("trx_dt") == F.lit(first)).coalesce(1).write.mode("append").parquet(path)
-    jobs.marker_row(calls, "event_ts", {"switch_id": "PURC"}).coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.read_log_stream(spark, path, calls.schema, files_per_trigger=1)
-    return replay(windows.window_calls(stream, "1 hour", ["switch_id"]), "late")
+    return v.outbound_log(spark, sf), part, first
+
+
+def _late_parts(spark, sf):
+    """Four quarters in time order; then the first day once more, now too late to count; then the marker."""
+    calls, part, first = _quarters(spark, sf)
+    again = calls.where(F.col("trx_dt") == F.lit(first))
+    return calls, [*[calls.where(part == n) for n in range(4)], again, jobs.marker_row(calls, "event_ts", {"switch_id": "PURC"})]
+
+
+def _in_turn(spark, schema, parts, run):
+    """Add each part to a folder with all its partitions, and let `run(stream)` read what is new: a micro-batch per part."""
+    path = work_dir(spark, "turns")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        run(jobs.read_log_stream(spark, path, schema))
+
+
+@register("stream_late_rows", f"{HOURLY_CALLS_SQL} GROUP BY ALL")
+def stream_late_rows(spark, sf):
+    calls, parts = _late_parts(spark, sf)
+    folder, counted = work_dir(spark, "late"), partial(windows.window_calls, width="1 hour", by=["switch_id"])
+    _in_turn(spark, calls.schema, parts, lambda stream: jobs.run_to_parquet(
+        counted(stream), folder, state_partitions=STATE_PARTITIONS).awaitTermination())
+    return jobs.results(spark, folder, counted(calls).schema)
+
+
+@register("stream_late_counts", f"""
+SELECT {{day}} AS trx_dt, switch_id, count(*) AS n_late FROM outbound_log
+WHERE trx_dt = (SELECT min(trx_dt) FROM inbound_log) GROUP BY ALL""".format(day="CAST(trx_dt AS VARCHAR)"))
+def stream_late_counts(spark, sf):
+    """The rows that `stream_late_rows` leaves out, counted as they come."""
+    calls, parts = _late_parts(spark, sf)
+    folder = work_dir(spark, "late-counts")
+    _in_turn(spark, calls.schema, parts, lambda stream: progress.run_late_rows(
+        stream, folder, "1 hour", by=["trx_dt", "switch_id"]).awaitTermination())
+    return spark.read.parquet(f"{folder}/late_by").select("trx_dt", "switch_id", "n_late")
+
+
+def _corrected(spark, sf, until):
+    """Hourly windows in update mode after `until` parts, where every ninth call comes a part late but within the watermark's delay."""
+    calls, part, _ = _quarters(spark, sf)
+    came = F.least(part + F.when(F.col("event_id") % 9 == 0, 1).otherwise(0), F.lit(3))
+    folder, width, keys = work_dir(spark, "updates"), "1 hour", ["window_start", "switch_id"]
+    counted = partial(windows.window_calls, width=width, by=["switch_id"], delay="60 days")
+    _in_turn(spark, calls.schema, [calls.where(came == n) for n in range(until)], lambda stream: upserts.run_upserts(
+        counted(stream), folder, state_partitions=STATE_PARTITIONS).awaitTermination())
+    schema = counted(calls).schema
+    if until > 2:
+        upserts.compact(spark, folder, schema, keys)
+    return upserts.latest(spark, folder, schema, keys)
+
+
+@register("stream_update_before", f"""{HOURLY_CALLS_SQL}, (SELECT min(trx_dt) AS lo, max(trx_dt) AS hi FROM inbound_log)
+WHERE least(floor((trx_dt - lo) * 4 / (hi - lo + 1)), 3) = 0 AND event_id % 9 <> 0 GROUP BY ALL""")
+def stream_update_before(spark, sf):
+    return _corrected(spark, sf, 1)
+
+
+@register("stream_update_after", f"{HOURLY_CALLS_SQL} GROUP BY ALL")
+def stream_update_after(spark, sf):
+    return _corrected(spark, sf, 4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyrail import config
 from tallyrail.functions.rates import floor_pct
-from tallyrail.functions.timeaxis import slot_label
+from tallyrail.functions.timeaxis import instant, slot_label
 from tallyrail.operators.spine import on_spine
 from tallyrail.schemas import ALERT_RULE, literal_table
 from tallyrail.streaming import jobs
 
 CLOSED = T.StructType([T.StructField("last_window", T.TimestampType())])
+WINDOWS = T.StructType([T.StructField("window_start", T.TimestampType()), T.StructField("switch_id", T.StringType()),
+                        T.StructField("approve", T.LongType()), T.StructField("tot", T.LongType())])
 ALERTS = ["window_start", "switch_id", "approve", "tot", "rate"]
 
 
@@ -72,6 +75,46 @@ def run_alerts(windows: DataFrame, folder: str, rules: DataFrame, width: str, ev
     return jobs.run_writer(windows, folder, alert_writer(folder, rules, width), "append", every, state_partitions)
 
 
+def watch_silence(spark: SparkSession, folder: str, rules: DataFrame, width: str, as_of: datetime, delay: str = "210 seconds",
+                  since: datetime | None = None) -> None:
+    """Alert on windows that the clock has closed but the stream has not, since no channel at all sends rows.
+
+    Run it at regular polls beside `run_alerts`. A window is closed by the clock if it ended `delay` before `as_of`. The windows
+    after the stream's last closed one count zero for every watched channel; before the stream has closed any, `since` says where the watch
+    begins. Each poll writes its whole answer to its own folder, so a repeated poll overwrites itself.
+    """
+    before = spark.read.schema(CLOSED).parquet(f"{folder}/closed").agg(F.max("last_window")).first()[0]
+    step = F.expr(f"interval {width}")
+    if before is not None:
+        start = F.lit(before) + step
+    elif since is not None:
+        start = F.window(instant(since), width)["start"]
+    else:
+        return
+    last = F.window(instant(as_of) - F.expr(f"interval {delay}"), width)["start"] - step
+    axis = rules.withColumn("_start", start).withColumn("_last", last).where("_start <= _last").withColumn(
+        "window_start", F.explode(F.sequence("_start", "_last", step))).drop("_start", "_last")
+    none = literal_table(spark, [], WINDOWS)
+    moment = as_of.strftime("%Y%m%dT%H%M%S")
+    window_alerts(none, axis).write.mode("overwrite").parquet(f"{folder}/clock/polled={moment}")
+
+
+def alerts_so_far(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The stream's alerts, and for the windows after its last closed one those of the clock.
+
+    Rows that arrive after all move the stream's watermark over such windows; from then on its own answer counts.
+    """
+    found = jobs.results(spark, folder, schema)
+    closed = spark.read.schema(CLOSED).parquet(f"{folder}/closed").agg(F.max("last_window")).first()[0]
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/clock")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return found
+    clock = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/clock").distinct()
+    if closed is not None:
+        clock = clock.where(F.col("window_start") > F.lit(closed))
+    return found.unionByName(clock)
+
+
 def replay_alerts(windows: DataFrame, name: str, rules: DataFrame, width: str,
                   state_partitions: int | None = None) -> DataFrame:
     """`run_alerts` over a finite stream; its alerts as a table."""

@@ -266,8 +266,62 @@ def test_html_of_the_given_pages(spark):
 
 
 def test_line_blocks():
-    assert html.main_lines([]) == (0, 0) and html.main_lines([0, 0]) == (0, 2)
-    assert html.main_lines([3, 0, 0, 0, 200, 150, 0, 90, 0, 0, 0, 5]) == (4, 8)
+    def found(weights, full=(), **limits):
+        return html.stretches(weights, [i in full for i in range(len(weights))], **limits)
+    assert found([]) == found([0, 0]) == []
+    assert found([3, 0, 0, 0, 200, 150, 0, 90, 0, 0, 0, 5]) == [(4, 8)]
+    # Thin lines round a stretch are cut, those that end like a sentence are not; a gap of thin lines makes two stretches.
+    assert found([10, 20, 300, 20, 10]) == [(2, 3)] and found([10, 20, 300, 20, 10], {1, 3}) == [(1, 4)]
+    assert found([300, 5, 5, 5, 5, 300]) == [(0, 1), (5, 6)]
+    assert found([30, 30, 30]) == [(0, 3)] and found([9, 4, 4]) == [(0, 3)]  # a short page: half of its fullest window
+    assert found([30, 30, 30], surge=200, share=1.0) == [(0, 3)] and found([9, 100], surge=86, share=1.0) == [(1, 2)]
+
+
+PARAGRAPHS = [" ".join(f"{name}{i}" for i in range(40)) + "." for name in ("red", "green", "blue")]
+
+
+@pytest.mark.parametrize("around", [
+    "<div class='has-sidebar no-comments'><article>%s</article></div>", "<div id=with-ads class='show-menu'><article>%s</article></div>",
+    "<div class='sidebar'><div>%s</div></div>", "<form id=aspnetForm><div class=content>%s</div></form>", "<div class=page-comments>%s</div>",
+    "<body class='sidebar-left ad'><div role=main>%s</div></body>", "<div hidden><main>%s</main></div>"])
+def test_html_marks_round_all_text_are_not_believed(around):
+    text = "".join(f"<p>{t}</p>" for t in PARAGRAPHS)
+    page = "<html><body><nav><a href=x>Home</a></nav>" + around % (text + "<div class=ad>Buy now and save.</div>") + "<footer>Imprint.</footer>"
+    assert html.main_text(page) == " ".join(PARAGRAPHS)
+
+
+def test_html_names_that_only_sound_like_marks():
+    for name in ("social-history", "related-work", "share-price", "banner-of-1848", "commentary", "adsorption", "menu-of-the-day", "noticeable",
+                 "alert-levels", "reply-of-the-king", "navigation-by-stars", "no-ads"):
+        assert not html.says_excluded(name), name
+        page = f"<article><p>{PARAGRAPHS[0]}</p><section class='{name}'><p>{PARAGRAPHS[1]}</p></section><p id='{name}'>{PARAGRAPHS[2]}</p></article>"
+        assert html.main_text(page) == " ".join(PARAGRAPHS), name
+    for name in ("ad", "site-footer", "main_nav", "comment-list", "commentList", "cookie-banner", "sidebar-2", "social-share", "share-buttons",
+                 "newsletter-box", "AdSlot", "related", "related-items", "top-banner-ad", "reply"):
+        assert html.says_excluded(name), name
+        page = f"<article><p>{PARAGRAPHS[0]}</p><div class='x {name}'><p>{PARAGRAPHS[1]}</p></div><p>{PARAGRAPHS[2]}</p></article>"
+        assert html.main_text(page) == f"{PARAGRAPHS[0]} {PARAGRAPHS[2]}", name
+
+
+def test_html_several_articles():
+    page = "".join(f"<article><h2>Part {i}</h2><p>{t}</p><p>So it was</p></article><div>By the way</div>" for i, t in enumerate(PARAGRAPHS))
+    assert html.main_text(page) == " ".join(f"Part {i} {t} So it was" for i, t in enumerate(PARAGRAPHS))
+    # Long comments neither hide a short article nor come through.
+    comments = "<div class=comments>" + "".join(f"<p>{t}</p>" for t in PARAGRAPHS * 5) + "</div>"
+    assert html.main_text(f"<article><h1>Short</h1><p>A short one.</p></article>{comments}") == "Short A short one."
+    assert html.main_text(f"<div><p>{PARAGRAPHS[0]}</p></div>{comments}") == PARAGRAPHS[0]
+
+
+def test_html_unmarked_menus_are_cut_by_the_distribution():
+    """Plain containers only: what is cut is cut by surge and dive, not by marks."""
+    body = f"<h1>A headline</h1><p>{PARAGRAPHS[0]}</p><ul><li>one thing</li><li>another</li><li>a third</li><li>more</li></ul><p>{PARAGRAPHS[1]}</p><p>The end.</p>"
+    page = f"<div id=page><div>About us Contact</div><div>Shop</div>{body}<div>Imprint Terms Privacy</div><div>Top of page</div></div>"
+    want = f"A headline {PARAGRAPHS[0]} one thing another a third more {PARAGRAPHS[1]} The end."
+    assert html.main_text(page) == want
+    everything = " ".join(t for t, *_ in html.Page(page).lines)
+    assert everything == f"About us Contact Shop {want} Imprint Terms Privacy Top of page"
+    # The parameters matter: with a surge that no window reaches, half of the fullest one decides.
+    assert html.main_text(page, surge=10 ** 9, share=1e-9) == everything
 
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")

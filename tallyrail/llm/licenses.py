@@ -7,8 +7,8 @@ for the whole notice and yields the span and its edits. Only texts with a seed p
 
 Exact places of the base phrases are counted besides, on word boundaries. Texts are handled whole, one by one inside tasks, without a shuffle.
 
-Defined results: a null or empty text has no words, places or labels and scores 0; repeated rows give repeated rows; of matches of
-different notices that overlap, the one with fewer edits is reported (both if equal). Other columns are ignored, whatever their names.
+Defined results: a null or empty text has no words, places or labels and scores 0; repeated rows give repeated rows; an empty table gives an empty
+table; a match that overlaps one with fewer edits is not reported (both are if equal). Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import re
 from bisect import bisect
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import pandas as pd
@@ -70,6 +71,28 @@ def seeds(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def fewest_edits(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Of the matches (from, to, notice, edits) those that no kept match with fewer edits overlaps, in order of place."""
+    kept: list[tuple[int, int]] = []  # stretches that are taken, apart from each other and sorted
+    out = []
+    by_edits = sorted(found, key=lambda f: (f[3], f))
+    for _, group in groupby(by_edits, key=lambda f: f[3]):
+        stands = []
+        for match in group:
+            at = bisect(kept, (match[1], -1))  # the last taken stretch that begins before the match ends
+            if at == 0 or kept[at - 1][1] <= match[0]:
+                stands.append(match)
+        out += stands
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(kept + [m[:2] for m in stands]):
+            if merged and a < merged[-1][1]:
+                merged[-1] = merged[-1][0], max(b, merged[-1][1])
+            else:
+                merged.append((a, b))
+        kept = merged
+    return sorted(out)
+
+
 class Scanner:
     def __init__(self, notices: Mapping[str, str] = NOTICES, base: Mapping[str, str] = BASE):
         self.notices, self.base = dict(notices), dict(base)
@@ -137,14 +160,7 @@ class Scanner:
                 if (at == 0 or taken[at - 1][1] <= found[0]) and (at == len(taken) or found[1] <= taken[at][0]):
                     taken.insert(at, found)
             out += taken
-        best: list[tuple[int, int, str, int]] = []
-        for found in sorted(out):
-            if best and found[0] < best[-1][1] and found[3] != best[-1][3]:
-                if found[3] < best[-1][3]:
-                    best[-1] = found
-            else:
-                best.append(found)
-        return best
+        return fewest_edits(out)
 
     def scan(self, text: str | None) -> dict:
         words = (text or "").encode("utf-8", "replace").translate(_TO_WORDS).split()

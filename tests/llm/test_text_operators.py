@@ -212,6 +212,28 @@ def test_license_notices_with_letters_added_at_their_ends():
     assert [x[4] for x in twice if x[1] == "licensed under the mit license"] == [1, 0]
 
 
+def test_every_notice_has_its_own_label_only():
+    scanner = licenses.Scanner()
+    assert scanner.scan("licensed under cc by sa 4.0")["labels"] == "cc-by-sa"
+    for notice, label in licenses.NOTICES.items():
+        for text in (notice, f"so: {notice.upper()}, and", f"{notice} {notice}"):
+            found = scanner.scan(text)
+            base = {own for phrase, own in licenses.BASE.items() if f" {phrase} " in f" {notice} "}
+            assert set(found["labels"].split(",")) == base | {label}, notice
+            assert found["score"] == 1.0 and {s[1] for s in found["spans"]} == {notice}
+
+
+def test_overlaps_leave_the_fewest_edits():
+    rng = random.Random(5)
+    for _ in range(500):
+        found = {(a := rng.randrange(60), a + rng.randint(1, 15), rng.choice("xyz"), rng.randrange(4)) for _ in range(rng.randrange(12))}
+        want = []
+        for f in sorted(found, key=lambda f: f[3]):
+            if not any(g[3] < f[3] and g[0] < f[1] and f[0] < g[1] for g in want):
+                want.append(f)
+        assert licenses.fewest_edits(list(found)) == sorted(want)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T x</title><style>p{}</style></head><body class="has-sidebar">
 <header class="site-header"><h1>Site name</h1></header><nav><ul><li><a href=x>Home</a><li><a>More</a></ul></nav>
 <div id="cookie-notice">We use cookies, and this is quite a long text so that it could look like an article.</div>

@@ -1,13 +1,14 @@
 """LM scoring by subword lattice likelihood.
 
-A word is `▁` and its characters. Its lattice has an arc for every entry of an existing subword vocabulary that spells a stretch of it (a
-character without an entry is spelled by the vocabulary's byte entries), and one arc for the whole word if the training documents have it.
-Arcs have unigram log probabilities; the log-space forward recursion adds up all segmentations, so a word's score is its marginal
-probability. Words are parted by white space, so a text's probability is the product over its words and one end.
+A word is `▁` and its characters. Its lattice has an arc for every entry of an existing subword vocabulary that spells a stretch of it; a
+character without an entry is spelled by the vocabulary's byte entries. Arcs have unigram log probabilities; the log-space forward recursion adds
+up all segmentations, so a word's score is its marginal probability. Words are parted by white space, so a text's probability is the
+product over its words and one end, which is an entry of its own.
 
-The vocabulary file gives the entries; it holds merge ranks and not probabilities, so those are estimated from the corpus: whole words by
-their discounted counts, and the mass that the discount frees goes to the subword entries, weighted by how often the tokenizer's own
-segmentation of the training vocabulary uses each. All counts are over all training documents.
+The vocabulary file gives the entries; it holds merge ranks and not probabilities, so those are estimated from the corpus by expectation and
+maximisation (`ROUNDS`, from even weights): forward and backward sums over the lattice of every distinct training word, times the word's count, give the
+expected count of every entry, and those, with `SMOOTHING` added, the next weights. All counts are over all training documents. The lattices are written once as
+numbers next to the words' counts; rounds and scoring work on many of them at a time and read no text again.
 
 Texts are cut into words once: a task gathers documents into blocks of at most `BLOCK_WORDS` words (more only for one longer text), and
 writes each text as compressed numbers into its block's word list. Only word lists are shuffled, a word at most once per block, so a word
@@ -15,16 +16,15 @@ that makes up a third of the corpus is no heavier than others. They are shuffled
 that may spill, and once back to their blocks, one bounded block per group.
 
 Defined results: a null or empty text is the end alone; repeated rows give repeated rows, and each counts in training. A null doc_id is
-neither held out nor trained on. Without any training token the end has probability one half and subwords share the rest evenly. Other columns are
-ignored, whatever their names.
+neither held out nor trained on. Without any training token all entries and the end have even weights. An empty table gives an empty table. Equal
+words have equal scores, however often they occur. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from math import exp, log, log10
+from collections.abc import Iterator, Sequence
+from math import log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +39,13 @@ from tallyrail.llm.common import fold, small_batches, stored
 
 FOLDS = 10
 BLOCK_WORDS = 2_000_000
-DISCOUNT = 0.5
-SMOOTHING = 0.1
+ROUNDS, SMOOTHING = 4, 0.1
 MARK = "▁"
 OUT_ROWS = 1 << 16
+#: Words whose lattices are worked on at once, and arcs (more only for one longer word).
+TOGETHER, ARCS = 1 << 15, 1 << 20
+#: An arc as one number: its start from bit 40 on, its length in 8 bits, its entry in 32. From SPELLED on the entry is a character spelled by bytes.
+SPELLED = 1 << 31
 
 BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()),
                        T.StructField("place", T.IntegerType()), T.StructField("n_train", T.LongType()),
@@ -122,114 +125,219 @@ def counted_words(words: DataFrame) -> DataFrame:
     return words.select("block", "place", "word", total.alias("n"), (F.row_number().over(by_word) == 1).alias("first"))
 
 
-def entry_counts(counted: DataFrame, path: str) -> dict[int, int]:
-    """How many distinct training words use each vocabulary entry; at most one row per entry and task is shuffled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = _subwords(path), Counter()
-        for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            for ids in model.encode(words, num_threads=1):
-                counts.update(ids)
-        if counts:
-            yield pa.RecordBatch.from_pydict({"entry": list(counts), "n": list(counts.values())})
-
-    words = counted.filter("first AND n > 0").select("word")
-    rows = words.mapInArrow(run, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    return {r.entry: r.n for r in rows.collect()}  # bounded by the vocabulary file
-
-
-def arc_weights(path: str, counts: dict[int, int]) -> dict[str, float]:
-    """Natural log probability by entry; byte entries are named `<0x..>`."""
-    model = _subwords(path)
-    entries = {i: model.id_to_piece(i) for i in range(model.get_piece_size())
-               if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-    total = sum(counts.get(i, 0) for i in entries) + SMOOTHING * len(entries)
-    return {name: log((counts.get(i, 0) + SMOOTHING) / total) for i, name in entries.items()}
+class Entries:
+    """The vocabulary: its entries that can be arcs, in a character trie, and the entries of bytes."""
 
-
-class Lattice:
-    """Subword arcs in a character trie; a node's weight is under the key 0."""
-
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, path: str):
+        model = _subwords(path)
+        usable = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.names = {i: model.id_to_piece(i) for i in usable}
+        self.end = model.get_piece_size()  # a number of its own
+        self.bytes = np.full(256, -1)
         self.root: dict = {}
-        self.bytes = {int(n[3:5], 16): w for n, w in weights.items() if re.fullmatch("<0x[0-9A-F]{2}>", n)}
-        lowest = min(weights.values(), default=-20.0)
-        for b in range(256):
-            self.bytes.setdefault(b, lowest)
-        for name, weight in weights.items():
-            if not re.fullmatch("<0x[0-9A-F]{2}>", name):
+        for i, name in self.names.items():
+            if re.fullmatch("<0x[0-9A-F]{2}>", name):
+                self.bytes[int(name[3:5], 16)] = i
+            else:
                 node = self.root
                 for ch in name:
                     node = node.setdefault(ch, {})
-                node[0] = weight
+                node[0] = i
 
-    def forward(self, word: str) -> float:
-        """Natural log of the summed probability of all segmentations."""
-        line, root = MARK + word, self.root
+    def even(self) -> np.ndarray:
+        """Even log weights of all entries and the end; -inf for numbers that are neither."""
+        out = np.full(self.end + 1, -np.inf)
+        out[[*self.names, self.end]] = -log(len(self.names) + 1)
+        return out
+
+    def arcs(self, word: str) -> list[int]:
+        """The lattice of a word: every entry that spells a stretch of it, in the order of starts."""
+        line, root, out = MARK + word, self.root, []
         size = len(line)
-        into: list[list[float]] = [[] for _ in range(size + 1)]
-        into[0].append(0.0)
         for i in range(size):
-            here = _log_sum(into[i])
-            into[i] = []
-            node = root.get(line[i])
-            if node is None or 0 not in node:
-                into[i + 1].append(here + sum(self.bytes[b] for b in line[i].encode("utf-8", "replace")))
-            j = i + 1
+            node, j, single = root.get(line[i]), i, False
             while node is not None:
-                weight = node.get(0)
-                if weight is not None:
-                    into[j].append(here + weight)
-                if j == size:
-                    break
-                node = node.get(line[j])
                 j += 1
-        return _log_sum(into[size])
-
-
-def _log_sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    most = max(terms)
-    return most + log(sum([exp(t - most) for t in terms]))
-
-
-def word_log10(n: int, spelled: float, total: int, distinct: int) -> float:
-    """log10 of a word's marginal: its own arc's discounted share, and its spellings' share of what the discounts free."""
-    if not total:
-        return log10(0.5) + spelled / log(10)
-    free = log(DISCOUNT * distinct / total) + spelled
-    return (_log_sum([log((n - DISCOUNT) / total), free]) if n else free) / log(10)
+                if (entry := node.get(0)) is not None:
+                    single = single or j == i + 1
+                    out.append(i << 40 | (j - i) << 32 | entry)
+                node = node.get(line[j]) if j < size else None
+            if not single:
+                out.append(i << 40 | 1 << 32 | SPELLED + ord(line[i]))
+        return out
+
+    def weights_of(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Log weights of arcs' entries; a spelled character has those of its bytes. A vocabulary without byte entries has the lowest weight for them."""
+        spelled = entries >= SPELLED
+        out = weights[np.where(spelled, 0, entries)]
+        if spelled.any():
+            chars, where = np.unique(entries[spelled], return_inverse=True)
+            out[spelled] = np.array([sum(self._byte(b, weights) for b in _utf8(c)) for c in chars.tolist()])[where]
+        return out
+
+    def _byte(self, b: int, weights: np.ndarray) -> float:
+        return float(weights[self.bytes[b]]) if self.bytes[b] >= 0 else float(weights[np.isfinite(weights)].min())
+
+
+def _utf8(entry: int) -> bytes:
+    return chr(entry - SPELLED).encode("utf-8", "replace")
+
+
+class Lattices:
+    """The lattices of many words as arrays of arcs, worked on start by start for all words at once."""
+
+    def __init__(self, flat: np.ndarray, counts: np.ndarray):
+        self.of = np.repeat(np.arange(len(counts)), counts)
+        start, length = flat >> 40, flat >> 32 & 255
+        size = np.maximum.reduceat(start + length, np.cumsum(counts) - counts) if len(counts) else np.zeros(0, np.int64)
+        self.base = np.cumsum(size + 1) - (size + 1)
+        self.last, self.cells = self.base + size, int((size + 1).sum())
+        order = np.argsort(start, kind="stable")  # within a start, words stay in order
+        self.of, start, length = self.of[order], start[order], length[order]
+        self.entry = flat[order] & 0xFFFFFFFF
+        self.source = self.base[self.of] + start
+        self.target = self.source + length
+        cuts = np.flatnonzero(np.diff(start)) + 1
+        self.steps = [slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)])] if len(start) else []
+
+    def forward(self, weight: np.ndarray) -> np.ndarray:
+        """Natural log of the summed probability of all ways to every place; a word's last place has all its segmentations."""
+        sums = np.full(self.cells, -np.inf)
+        sums[self.base] = 0.0
+        for step in self.steps:
+            target = self.target[step]  # a word's arcs of one start end at different places
+            sums[target] = np.logaddexp(sums[target], sums[self.source[step]] + weight[step])
+        return sums
+
+    def backward(self, weight: np.ndarray) -> np.ndarray:
+        sums = np.full(self.cells, -np.inf)
+        sums[self.last] = 0.0
+        for step in reversed(self.steps):
+            source = self.source[step]
+            begins = np.flatnonzero(np.concatenate(([True], source[1:] != source[:-1])))
+            sums[source[begins]] = np.logaddexp.reduceat(sums[self.target[step]] + weight[step], begins)
+        return sums
+
+    def expected(self, weight: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+        """(how often each arc is passed, the log likelihood) for words that occur `n` times."""
+        ahead, back = self.forward(weight), self.backward(weight)
+        total = ahead[self.last]
+        return np.exp(ahead[self.source] + weight + back[self.target] - total[self.of]) * n[self.of], float((n * total).sum())
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, words, arcs = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        words, arcs = words + batch.num_rows, arcs + len(batch.column(batch.schema.get_field_index("arcs")).flatten())
+        if words >= TOGETHER or arcs >= ARCS:
+            yield pa.Table.from_batches(held)
+            held, words, arcs = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lattices(arcs: pa.ChunkedArray) -> Lattices:
+    whole = arcs.combine_chunks() if isinstance(arcs, pa.ChunkedArray) else arcs
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    return Lattices(whole.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), whole.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def with_arcs(counted: DataFrame, path: str) -> DataFrame:
+    """`counted` with `arcs`: the lattice of each distinct word, at its first row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = Entries(path)
+        for batch in batches:
+            arcs = [entries.arcs(w.decode("utf-8", "replace")) if first else None
+                    for w, first in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arcs, pa.list_(pa.int64()))], names=[*batch.schema.names, "arcs"])
+    return counted.select("block", "place", "word", "n", "first").mapInArrow(
+        run, "block long, place int, word binary, n long, first boolean, arcs array<long>")
 
 
-def scored_words(counted: DataFrame, weights: dict[str, float], total: int, distinct: int) -> DataFrame:
-    """(in_block, place, n, model): log10 probability of every word of every block, worked out once per run of equal words."""
+def expected_counts(lattices: DataFrame, path: str, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """(expected count of each entry, log likelihood of all training words); at most one row per entry and task is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, word, value = Lattice(weights), None, 0.0
-        for batch in batches:
-            model = np.empty(batch.num_rows)
-            for i, (w, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if w != word:
-                    word, value = w, word_log10(n, lattice.forward(w.decode("utf-8", "replace")), total, distinct)
-                model[i] = value
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(model)],
+        entries, likelihood = Entries(path), 0.0
+        out = np.zeros(entries.end + 1)
+        for table in _gathered(batches):
+            tool = _lattices(table["arcs"])
+            passed, value = tool.expected(entries.weights_of(tool.entry, weights), table["n"].to_numpy().astype(float))
+            likelihood += value
+            spelled = tool.entry >= SPELLED
+            out += np.bincount(tool.entry[~spelled], passed[~spelled], len(out))
+            chars, where = np.unique(tool.entry[spelled], return_inverse=True)
+            for c, amount in zip(chars.tolist(), np.bincount(where, passed[spelled], len(chars)).tolist()):
+                for b in _utf8(c):
+                    if entries.bytes[b] >= 0:
+                        out[entries.bytes[b]] += amount
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_pydict({"entry": [-1, *some.tolist()], "amount": [likelihood, *out[some].tolist()]})
+
+    rows = lattices.filter("first AND n > 0").select("arcs", "n").mapInArrow(run, "entry long, amount double")
+    found = {r.entry: r.amount for r in rows.groupBy("entry").agg(F.sum("amount").alias("amount")).collect()}  # bounded by the vocabulary file
+    out = np.zeros(len(weights))
+    for entry, amount in found.items():
+        if entry >= 0:
+            out[entry] = amount
+    return out, found.get(-1, 0.0)
+
+
+def learned_weights(lattices: DataFrame, path: str, ends: int, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> tuple[np.ndarray, list[float]]:
+    """(natural log probability of every entry and of the end, log likelihood of the training texts before each round)."""
+    entries, likelihoods = Entries(path), []
+    weights = entries.even()
+    usable = np.isfinite(weights)
+    for _ in range(rounds):
+        counts, likelihood = expected_counts(lattices, path, weights)
+        likelihoods.append(likelihood + ends * float(weights[entries.end]))
+        counts[entries.end] = ends
+        counts = np.where(usable, counts + smoothing, 0.0)
+        with np.errstate(divide="ignore"):
+            weights = np.log(counts / counts.sum())
+    return weights, likelihoods
+
+
+def scored_words(lattices: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
+    """(in_block, place, n, model): log10 probability of every word of every block, worked out once per run of equal words.
+
+    A task may begin inside a run, whose first row another task has; it then makes that word's lattice itself.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, last, value = Entries(path), None, 0.0
+
+        def scores(arcs: Sequence) -> np.ndarray:
+            tool = _lattices(arcs)
+            return tool.forward(entries.weights_of(tool.entry, weights))[tool.last] / log(10)
+        for table in _gathered(batches):
+            words, first = table["word"], table["first"].to_numpy()
+            firsts = np.flatnonzero(first)
+            head = int(firsts[0]) if len(firsts) else len(first)
+            if head and (word := words[0].as_py()) != last:
+                last, value = word, float(scores(pa.array([entries.arcs(word.decode("utf-8", "replace"))], pa.list_(pa.int64())))[0])
+            model = np.full(len(first), value)
+            if len(firsts):
+                found = scores(table["arcs"].filter(table["first"]))
+                model[head:] = np.repeat(found, np.diff(np.append(firsts, len(first))))
+                last, value = words[int(firsts[-1])].as_py(), float(found[-1])
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("block", "place", "n")), pa.array(model)],
                                              names=["in_block", "place", "n", "model"])
-    return counted.select("block", "place", "word", "n").mapInArrow(run, "in_block long, place int, n long, model double")
+    return lattices.select("block", "place", "word", "n", "first", "arcs").mapInArrow(run, "in_block long, place int, n long, model double")
 
 
 def score(docs: DataFrame, subwords: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     both = stored(blocks(docs, doc_id, text), "blocks")
     words, texts = both.filter("word IS NOT NULL"), both.filter("text_words IS NOT NULL")
-    counted = stored(counted_words(words), "counted-words")
+    counted = stored(with_arcs(counted_words(words), subwords), "counted-words")
     in_words, distinct = counted.filter("first").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     ends = texts.filter("trained").count()
     total, distinct = in_words + ends, distinct + (ends > 0)
-    weights = arc_weights(subwords, entry_counts(counted, subwords))
-    listed = scored_words(counted, weights, total, distinct)
+    weights, _ = learned_weights(counted, subwords, ends)
+    listed = scored_words(counted, subwords, weights)
     floor, divisor = 0.1, total + 0.1 * (distinct + 1)
     end_base = log10((ends + floor) / divisor)
-    end_model = log10((ends - DISCOUNT) / total) if ends else log10(0.5)
+    end_model = float(weights[-1]) / log(10)
     schema = T.StructType([texts.schema["doc_id"], texts.schema["held_out"],
                            *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")),
                            *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])

@@ -201,13 +201,85 @@ def brute_forward(word, weights):
     return math.log(total(0))
 
 
+def lattices_of(words):
+    entries = lattice.Entries(PIECES)
+    arcs = [entries.arcs(w) for w in words]
+    return entries, lattice.Lattices(np.array([a for x in arcs for a in x], np.int64), np.array([len(x) for x in arcs]))
+
+
+def random_weights(entries, seed=1):
+    weights = entries.even()
+    usable = np.isfinite(weights)
+    weights[usable] = np.log(np.random.default_rng(seed).dirichlet(np.ones(usable.sum())) + 1e-12)
+    return weights
+
+
+WORDS = ["a", "the", "house", "été", "東京x", "\x00", "thanan", "thethe", "ab" * 40]
+
+
 def test_forward_recursion_adds_up_all_segmentations():
-    weights = lattice.arc_weights(PIECES, {300: 7, 301: 3, 5000: 2})
-    tool = lattice.Lattice(weights)
-    for word in ("a", "the", "house", "été", "東京x", "\x00", "thanan"):
-        assert tool.forward(word) == pytest.approx(brute_forward(word, weights), rel=1e-9)
-    assert sum(math.exp(w) for w in weights.values()) == pytest.approx(1)
-    assert tool.forward("ab" * 3000) < -3000  # beyond the range of plain products
+    entries, tool = lattices_of(WORDS)
+    weights = random_weights(entries)
+    named = {name: weights[i] for i, name in entries.names.items()}
+    sums = tool.forward(entries.weights_of(tool.entry, weights))[tool.last]
+    for word, value in list(zip(WORDS, sums))[:-1]:
+        assert value == pytest.approx(brute_forward(word, named), rel=1e-9)
+    _, long = lattices_of(["ab" * 3000, "京" * 500])
+    assert (long.forward(entries.weights_of(long.entry, weights))[long.last] < -3000).all()  # beyond the range of plain products
+
+
+def test_expected_counts_are_how_often_entries_are_passed():
+    """By trying each segmentation, and: pieces' lengths add up to the word's."""
+    entries, tool = lattices_of(WORDS[:7])
+    weights = random_weights(entries, 2)
+    n = np.arange(1, 8).astype(float)
+    passed, likelihood = tool.expected(entries.weights_of(tool.entry, weights), n)
+    assert likelihood == pytest.approx(sum(m * v for m, v in zip(n, tool.forward(entries.weights_of(tool.entry, weights))[tool.last])))
+    named = {name: weights[i] for i, name in entries.names.items()}
+    for k, word in enumerate(WORDS[:7]):
+        line, mine = lattice.MARK + word, tool.of == k
+        lengths = (tool.target - tool.source)[mine]
+        assert (lengths * passed[mine]).sum() == pytest.approx(n[k] * len(line))
+        ways = []
+
+        def walk(at, pieces, value):
+            if at == len(line):
+                ways.append((pieces, value))
+            for end in range(at + 1, len(line) + 1):
+                if line[at:end] in named:
+                    walk(end, [*pieces, (at, end)], value + named[line[at:end]])
+            if at < len(line) and line[at] not in named:
+                walk(at + 1, [*pieces, (at, at + 1)], value + sum(named[f"<0x{b:02X}>"] for b in line[at].encode()))
+        walk(0, [], 0.0)
+        every = sum(math.exp(v) for _, v in ways)
+        want = defaultdict(float)
+        for pieces, value in ways:
+            for piece in pieces:
+                want[piece] += n[k] * math.exp(value) / every
+        got = {(int(a), int(b)): p for a, b, p in zip((tool.source - tool.base[tool.of])[mine], (tool.target - tool.base[tool.of])[mine], passed[mine])}
+        assert set(got) == set(want) and all(got[x] == pytest.approx(want[x], rel=1e-6) for x in want)
+
+
+def test_weights_sum_to_one_and_the_likelihood_rises(spark):
+    words = [(0, i, w.encode(), 5 * i + 1, True) for i, w in enumerate(WORDS)] + [(0, 99, b"never", 0, True)]
+    counted = lattice.with_arcs(spark.createDataFrame(words, "block long, place int, word binary, n long, first boolean"), PIECES)
+    weights, likelihoods = lattice.learned_weights(counted, PIECES, 7, rounds=6, smoothing=1e-9)
+    assert np.exp(weights[np.isfinite(weights)]).sum() == pytest.approx(1)
+    assert all(b > a for a, b in zip(likelihoods, likelihoods[1:]))
+    # The same by hand: all training words, counted, with the weights of the last round but one.
+    entries, tool = lattices_of(WORDS)
+    n, hand = np.array([r[3] for r in words[:-1]], float), entries.even()
+    for value in likelihoods:
+        passed, likelihood = tool.expected(entries.weights_of(tool.entry, hand), n)
+        assert value == pytest.approx(likelihood + 7 * hand[-1], rel=1e-9)
+        counts = np.zeros(len(hand))
+        for entry, p in zip(tool.entry.tolist(), passed):
+            for e in [entry] if entry < lattice.SPELLED else [entries.bytes[b] for b in chr(entry - lattice.SPELLED).encode()]:
+                counts[e] += p
+        counts[-1] = 7
+        counts[np.isfinite(entries.even())] += 1e-9
+        with np.errstate(divide="ignore"):
+            hand = np.log(counts / counts.sum())
 
 
 def test_lattice_scores(spark, monkeypatch):
@@ -230,12 +302,15 @@ def test_lattice_scores(spark, monkeypatch):
         assert (r.n_tokens, r.n_known) == (len(words) + 1, sum(w in counts for w in words) + 1)
         assert r.base_score == pytest.approx(base, rel=1e-9) and -1e6 < r.score < 0
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
-    weights = lattice.arc_weights(PIECES, lattice.entry_counts(
-        spark.createDataFrame([(w.encode(), 1, True) for w in counts], "word binary, n long, first boolean"), PIECES))
-    tool = lattice.Lattice(weights)
-    one = next(r for r in got if r.doc_id == 7)
-    want = sum(lattice.word_log10(counts[w], tool.forward(w), n, v) for w in cut(texts[7])) + math.log10((ends - lattice.DISCOUNT) / n)
-    assert one.score == pytest.approx(want, rel=1e-9)
+    table = lattice.with_arcs(spark.createDataFrame([(0, 0, w.encode(), c, True) for w, c in counts.items()],
+                                                    "block long, place int, word binary, n long, first boolean"), PIECES)
+    weights, likelihoods = lattice.learned_weights(table, PIECES, ends)
+    assert all(b > a for a, b in zip(likelihoods, likelihoods[1:]))
+    for doc_id in (7, 202, 203):
+        words = cut(texts[doc_id])
+        entries, tool = lattices_of(words)
+        want = (tool.forward(entries.weights_of(tool.entry, weights))[tool.last].sum() + weights[-1]) / math.log(10)
+        assert next(r for r in got if r.doc_id == doc_id).score == pytest.approx(want, rel=1e-9)
     assert lattice.score(empty(spark), PIECES).count() == 0
     untrained = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert all(r.train_tokens == 0 and r.score < 0 and not r.held_out for r in lattice.score(untrained, PIECES).collect())

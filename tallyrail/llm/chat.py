@@ -35,8 +35,9 @@ CONTROLS = (BEGIN, END, *ROLES.values(), ROLE, ROLE_END)
 LEARNED = "assistant"
 
 _CONTROL_LIKE = re.compile(r"(<|\[)(\\*)(/?s>|SYS\]|/?INST\]|/?ROLE\])")
-#: Characters that are encoded at once; texts of any length are cut there.
+#: Characters after which a text is cut, at the next blank between a word's end and a letter: the pattern parts words there in any case.
 STRETCH = 1 << 16
+_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def escape(text: str) -> str:
@@ -65,8 +66,14 @@ class Codec:
         return self.first + CONTROLS.index(name)
 
     def encode(self, text: str) -> list[int]:
-        parts = (text[i:i + STRETCH] for i in range(0, len(text), STRETCH))
-        return [i for part in parts for i in self.encoding.encode_ordinary(part)]
+        out: list[int] = []
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+            to = cut.start() if cut else len(text)
+            out += self.encoding.encode_ordinary(text[at:to])
+            at = to
+        return out
 
     def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
         """(ids, where the text begins, how many ids it has)."""
@@ -174,6 +181,7 @@ def read_back(formatted: DataFrame, ranks: str) -> DataFrame:
             done.append((key, *digest.row()))
             yield out()
 
-    # The offsets' window has already brought a conversation's turns together.
-    ordered = formatted.select("conv_id", "ids", "offset", "loss_from", "loss_to").sortWithinPartitions(*_order("conv_id", "offset"))
+    # Where the offsets' window has already brought a conversation's turns together, Spark leaves this exchange out.
+    ordered = formatted.select("conv_id", "ids", "offset", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions(
+        *_order("conv_id", "offset"))
     return ordered.mapInArrow(run, schema)

@@ -93,14 +93,16 @@ def measure(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
                         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"))
 
     lines = F.filter(F.split(value, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
-    out = docs.drop("_words", "_lines").withColumns({"_words": let(_words(value), parts), "_lines": let(lines, line_parts)})
+    of_words, of_lines = (next(n for n in (name + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+                          for name in ("_of_words", "_of_lines"))
+    out = docs.withColumns({of_words: let(_words(value), parts), of_lines: let(lines, line_parts)})
     return out.withColumns({
-        "n_words": F.col("_words.n_words"), "word_chars": F.col("_words.word_chars"),
-        "n_repeat_words": F.col("_words.n_repeat_words"),
-        "n_lines": F.col("_lines.n_lines"), "n_dup_lines": F.col("_lines.n_dup_lines"),
+        "n_words": F.col(f"{of_words}.n_words"), "word_chars": F.col(f"{of_words}.word_chars"),
+        "n_repeat_words": F.col(f"{of_words}.n_repeat_words"),
+        "n_lines": F.col(f"{of_lines}.n_lines"), "n_dup_lines": F.col(f"{of_lines}.n_dup_lines"),
         "n_symbols": F.regexp_count(value, F.lit(r"[#*$%&|<>]")).cast("bigint"),
         "n_upper": F.regexp_count(value, F.lit(r"\p{Lu}")).cast("bigint"),
-    }).drop("_words", "_lines")
+    }).drop(of_words, of_lines)
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: Mapping[str, str] = RULES) -> DataFrame:

@@ -58,6 +58,12 @@ def test_quality_measures_and_policies(spark):
     assert kept.filter("text is null").count() == 0 and kept.filter("doc_id = 10").count() == 0  # capitals only
 
 
+def test_quality_keeps_the_callers_columns(spark):
+    docs = spark.createDataFrame([("a b c", 1, 2, 3, 4)], "text string, _words int, _lines int, _of_words int, _of_lines_ int")
+    got = quality.measure(docs).first()
+    assert (got._words, got._lines, got._of_words, got._of_lines_, got.n_words) == (1, 2, 3, 4, 3)
+
+
 def test_ablations_count_each_rule(spark):
     entries = spark.createDataFrame([(b,) for b in (0, 1, 1, 3, 4, 32)], "failed long")
     got = {r.rule: (r.n_failed, r.n_only) for r in quality.ablations(entries, "web-1").collect()}
@@ -361,6 +367,25 @@ def test_chat_escapes_are_reversible_and_hide_controls():
         assert sum(i >= codec.first for i in ids) == (3 if role in chat.ROLES else 4)
 
 
+def test_long_texts_have_the_ids_of_the_whole(monkeypatch):
+    codec, rng = chat.Codec(RANKS), random.Random(7)
+    bits = ["word", " word", " ", "  ", "\n", "'s", " 12", "é", "!!", " x", "\t", "don't "]
+    for size in (3, 10, 50):
+        monkeypatch.setattr(chat, "STRETCH", size)
+        for _ in range(300):
+            text = "".join(rng.choice(bits) for _ in range(rng.randrange(120)))
+            assert codec.encode(text) == codec.encoding.encode_ordinary(text)
+
+
+def test_turns_are_read_back_however_they_are_dealt(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    made = chat.format_turns(turns, RANKS)
+    direct, dealt = chat.read_back(made, RANKS), chat.read_back(made.repartition(7), RANKS)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, dealt.collect()))
+    plan = chat.read_back(made, RANKS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the window's own
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "</s>[INST] ok", 0), (1, 1, "assistant", None, 0), (1, None, None, "first", 0),
             (None, 5, "tool", "x", 0), (None, 4, "assistant", "a" * 70_000, 0), (2, 0, "assistant", "twice", 0), (2, 0, "assistant", "twice", 0)]

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyrail import config
 from tallyrail.functions.text import field_at, has_keywords
 from tallyrail.operators.dims import map_message_family
+from tallyrail.schemas import literal_table
 
 
 UNLISTED = "*"
@@ -66,18 +69,38 @@ def field_places(offsets: DataFrame) -> DataFrame:
         F.col("_amt.position").alias("amt_pos"), F.col("_amt.field_len").alias("amt_len"))
 
 
-def layout_extract(log: DataFrame, places: DataFrame, payload: str = "log_data",
-                   scale: int = 0) -> DataFrame:
+class Places(NamedTuple):
+    """Where currency and amount stand: a small table of the listed codes, and the place of every other message."""
+
+    listed: DataFrame
+    other: Column
+
+
+PLACE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("ccy_pos", "ccy_len", "amt_pos", "amt_len")])
+
+
+def known_places(places: DataFrame) -> Places:
+    """`field_places` worked out once, as literals: any number of logs joins them without working out the layout again.
+
+    One row per message code of the layout dictionary comes to the driver.
+    """
+    rows = {r["layout_cd"]: tuple(r[n] for n in PLACE.fieldNames()) for r in places.collect()}
+    other = rows.pop(UNLISTED, (None,) * len(PLACE))
+    listed = literal_table(places.sparkSession, [(code, *row) for code, row in rows.items()],
+                           T.StructType([T.StructField("_listed", T.StringType()), *PLACE.fields]))
+    return Places(listed.select("_listed", F.struct(*PLACE.fieldNames()).alias("_own")),
+                  F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(other, PLACE)]))
+
+
+def layout_extract(log: DataFrame, places: DataFrame | Places, payload: str = "log_data", scale: int = 0) -> DataFrame:
     """Currency and amount of every message, each by the layout of its own message code.
 
-    `places` comes from `field_places`; `scale` is the number of implied decimals in the amount text. One join finds a
-    listed code; the places of every other message are one value for the whole query.
+    `places` comes from `field_places` or, for several logs, from `known_places`; `scale` is the number of implied decimals in the amount text. One
+    broadcast join finds a listed code; the place of every other message is a literal.
     """
-    names = ["ccy_pos", "ccy_len", "amt_pos", "amt_len"]
-    other = places.where(F.col("layout_cd") == UNLISTED).select(F.struct(*names)).scalar()
-    listed = places.select(F.col("layout_cd").alias("_listed"), F.struct(*names).alias("_own"))
-    placed = log.join(listed, F.col("trx_cd") == F.col("_listed"), "left").withColumn(
-        "_place", F.when(F.col("_listed").isNotNull(), F.col("_own")).otherwise(other))
+    known = places if isinstance(places, Places) else known_places(places)
+    placed = log.join(known.listed, F.col("trx_cd") == F.col("_listed"), "left").withColumn(
+        "_place", F.when(F.col("_listed").isNotNull(), F.col("_own")).otherwise(known.other))
     amount = F.expr("try_cast(trim(_amt) as decimal(18,2))") / F.lit(10 ** scale)
     return (placed.withColumn("ccy", field_at(payload, "_place.ccy_pos", "_place.ccy_len"))
             .withColumn("_amt", field_at(payload, "_place.amt_pos", "_place.amt_len"))

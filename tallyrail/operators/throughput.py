@@ -33,10 +33,13 @@ def with_window_no(log: DataFrame, as_of: datetime, lag: int, width: int, window
 
 
 def throughput(inbound: DataFrame, outbound: DataFrame, as_of: datetime, lag: int = 210, width: int = 10,
-               windows: int = 1, inclusive: bool = False, ts: str = "reg_ts", live: bool = False) -> DataFrame:
+               windows: int = 1, inclusive: bool = False, ts: str = "reg_ts", live: bool = False,
+               settle: int | None = None) -> DataFrame:
     """Paired inbound and raw outbound counts per window; empty windows count zero.
 
-    `live` narrows the responses by the keys of the windows' requests before they are counted (`answers_to`).
+    `live` narrows the responses by the keys of the windows' requests before they are counted (`answers_to`). `settle` says that no response
+    comes earlier than its request or more than so many seconds later: the responses are then read by time as well. Without it any
+    response of the day counts.
 
     One window is the live reading, eleven (with lag 220) the dashboard's strip; all windows come from
     one read of each log leg.
@@ -45,7 +48,11 @@ def throughput(inbound: DataFrame, outbound: DataFrame, as_of: datetime, lag: in
         return with_window_no(log, as_of, lag, width, windows, ts, inclusive)
 
     asked = numbered(requests(inbound).where(F.col("bsns_cd") != config.ODS))
-    answered = answers_to(asked, responses(inbound), KEYS_5) if live else responses(inbound)
+    answered = responses(inbound)
+    if settle is not None:
+        answered = lagged_window(answered, as_of, lag - settle, width * windows + settle, ts, True)
+    if live:
+        answered = answers_to(asked, answered, KEYS_5)
     inc = pair_sums(asked, answered, KEYS_5, ["window_no"], approval_measures())
     out = numbered(outbound).groupBy("window_no").agg(
         *counted(approval_measures()))

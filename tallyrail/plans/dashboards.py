@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from tallyrail.operators.legs import (
     requests, responses)
 from tallyrail.operators.spine import (
     minute_spine, on_spine, polls_at, seen_at, seen_every, with_keys, with_slot)
-from tallyrail.sources.readers import lookback
+from tallyrail.sources.readers import between, lookback
 
 SLOT = ("slot_ts", "on_start", "switch_id")
 COUNTS = ("approve", "tot")
@@ -27,8 +27,11 @@ COUNTS = ("approve", "tot")
 def inbound_slots(log: DataFrame, keys: Sequence[str] = KEYS_3, exclude_trx: Sequence[str] = (),
                   exclude_resp: Sequence[str] = (), exclude_bsns: Sequence[str] = (),
                   exclude_response_trx: Sequence[str] = (), as_of: datetime | None = None,
-                  minutes: int = 60, step: int = 5) -> DataFrame:
-    """Answered requests per slot and channel; with `as_of`, of the requests one poll looks back on."""
+                  minutes: int = 60, step: int = 5, settle: int | None = None) -> DataFrame:
+    """Answered requests per slot and channel; with `as_of`, of the requests one poll looks back on.
+
+    `settle` says that a response comes at most so many seconds after its request; a poll then reads the responses by time as well.
+    """
     asked, answered = requests(log), responses(log)
     if as_of is not None:
         asked = lookback(asked, as_of, minutes)
@@ -41,6 +44,8 @@ def inbound_slots(log: DataFrame, keys: Sequence[str] = KEYS_3, exclude_trx: Seq
     if exclude_response_trx:
         answered = answered.where(~F.col("trx_cd").isin(list(exclude_response_trx)))
     if as_of is not None:
+        if settle is not None:
+            answered = between(answered, as_of - timedelta(minutes=minutes), as_of + timedelta(seconds=settle), "event_ts")
         answered = answers_to(asked, answered, keys)
     return pair_sums(with_slot(asked, step), answered, keys, SLOT, approval_measures())
 

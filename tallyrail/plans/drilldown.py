@@ -11,7 +11,7 @@ from tallyrail import config
 from tallyrail.functions.rates import n_rows
 from tallyrail.functions.timeaxis import hour_label
 from tallyrail.operators.legs import KEYS_5, pair_counts, requests, responses
-from tallyrail.operators.payload import field_places, layout_extract
+from tallyrail.operators.payload import field_places, known_places, layout_extract
 from tallyrail.operators.spine import hour_spine, on_spine
 
 HOUR = ("trx_dt", "hour")
@@ -62,7 +62,7 @@ def transaction_detail(inbound: DataFrame, outbound: DataFrame, offsets: DataFra
 
     Give it logs narrowed to one transaction (`correlated`), or whole logs.
     """
-    places = field_places(offsets)
+    places = known_places(field_places(offsets))
     columns = ["switch_id", "ccy", "amt", "trx_dt", "event_ts", "ret_ref_no", "trx_cd", "bsns_cd",
                "resp_cd"]
     inc = layout_extract(requests(inbound), places, "log_data", scale).select(columns)

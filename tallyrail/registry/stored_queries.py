@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyrail import config
+from tallyrail.operators import payload
 from tallyrail.operators.legs import KEYS_3, KEYS_5, approval_measures, pair_sums_stored, requests
 from tallyrail.plans import drilldown
 from tallyrail.registry import views as v
 from tallyrail.registry.basic_queries import DAY
-from tallyrail.registry.core import register
+from tallyrail.registry.core import ORACLES, register
+from tallyrail.registry.sql_views import VIEWS
 from tallyrail.session import work_dir
-from tallyrail.sources import bucketed, readers, sinks
+from tallyrail.sources import bucketed, readers, search_index, sinks
 
 BUCKETS = 16  # for these tables; a real log is sized by its volume
 
@@ -63,3 +65,15 @@ def transaction_stored(spark, sf):
     last = log.agg(*[F.max_by(c, F.struct("event_ts", "event_id")).alias(c) for c in ("switch_id", "trc_ad_no", "ret_ref_no")]).first()
     return drilldown.correlated(log, last.switch_id, last.trc_ad_no, last.ret_ref_no).select(
         "trx_dt", "event_ts", "io_cd", "trx_cd", "resp_cd")
+
+
+@register("search_indexed", ORACLES["search_payload"].removeprefix(VIEWS))
+def search_indexed(spark, sf):
+    """The payload search over stored logs, on the files that the index leaves."""
+    keywords, found = ["P0003", "IDR", ""], []
+    for log, columns in ((v.inbound_log(spark, sf), ["log_data"]), (v.outbound_log(spark, sf), ["i_log_data", "o_log_data"])):
+        path, index = work_dir(spark, "log"), work_dir(spark, "search-index")
+        sinks.write_log(log, path, ("trx_dt",))
+        search_index.index_files(spark, path, index, columns, log.schema)
+        found.append(search_index.narrowed(spark, path, index, columns, log.schema, "PURC", keywords).log)
+    return payload.search_payload(*found, "PURC", keywords, exclude_outbound=v.ADMIN_CALLS)

@@ -8,14 +8,17 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tables import at, inbound, leg, rows
+import test_reports
+from tables import at, call, inbound, leg, outbound, rows
 from test_legs import sample
 from tallyrail import schemas
+from tallyrail.operators import dims, payload
 from tallyrail.operators.legs import (
     KEYS_3, KEYS_4, KEYS_5, approval_measures, error_measures, pair_sums, pair_sums_in_place, pair_sums_stored, requests, responses)
-from tallyrail.plans import drilldown
+from tallyrail.operators.throughput import throughput
+from tallyrail.plans import dashboards, drilldown
 from tallyrail.session import settings, work_dir
-from tallyrail.sources import bucketed, readers, sinks
+from tallyrail.sources import bucketed, readers, search_index, sinks
 
 
 def plan(df):
@@ -126,6 +129,67 @@ def test_one_transaction_reads_few_row_groups(spark, clustered):
     assert rows_read(nothing.select("event_ts", "ret_ref_no")) <= 40_000
 
 
+def test_an_index_leaves_files_out_and_the_search_exact(spark):
+    """Twelve files; a rare word in two of them, another word only in a response payload, one only in another channel."""
+    path, index = work_dir(spark, "log"), work_dir(spark, "search-index")
+    schema, columns = schemas.OUTBOUND_LOG, ["i_log_data", "o_log_data"]
+
+    def rows_of(n):
+        rare = f"ref{n % 6 == 2 and 'NEEDLE77' or 'common'}"
+        return [call(f"10:{n:02d}:{i:02d}", "ATMD" if i % 2 else "FINN", request=f"{rare} {n * 1000 + i:08d} card 4111" if i != 1 else None,
+                     out=("reply QUARTZ" if (n, i) == (5, 3) else "reply"), trace=f"{n}-{i}") for i in range(8)]
+    for n in range(12):
+        outbound(spark, rows_of(n)).coalesce(1).write.mode("append").parquet(path)
+    assert search_index.index_files(spark, path, index, columns, schema) == 12
+    assert search_index.index_files(spark, path, index, columns, schema) == 0
+    whole = spark.read.schema(schema).parquet(path)
+    none = inbound(spark, [])
+
+    def check(keywords, files, channel="ATMD", like=False):
+        found = search_index.narrowed(spark, path, index, columns, schema, channel, keywords, like)
+        want = payload.search_payload(none, whole, channel, keywords, like=like)
+        assert rows(payload.search_payload(none, found.log, channel, keywords, like=like)) == rows(want)
+        assert (found.files, found.all_files) == files, keywords
+        return want.count()
+    assert check(["NEEDLE77"], (2, 12)) > 0 and check(["refNEEDLE77", "card"], (2, 12)) > 0
+    assert check(["QUARTZ"], (1, 12)) == 1 and check(["QUARTZ"], (0, 12), "FINN") == 0
+    assert check(["NEEDLE77", "QUARTZ"], (0, 12)) == 0  # one payload must hold both
+    assert check(["00005003"], (1, 12)) == 1 and check(["nowhere"], (0, 12)) == 0
+    assert check(["NEE%77"], (12, 12), like=True) > 0 and check(["N%DLE77 0000_003"], (2, 12), like=True) > 0  # parts of three letters say nothing
+    assert check(["IDR"], (12, 12)) == 0 and check([""], (12, 12)) > 0
+    # A file that came after the index is read until it is indexed.
+    outbound(spark, rows_of(14)).coalesce(1).write.mode("append").parquet(path)
+    whole = spark.read.schema(schema).parquet(path)
+    assert check(["QUARTZ"], (2, 13)) == 1
+    assert search_index.index_files(spark, path, index, columns, schema) == 1
+    assert check(["QUARTZ"], (1, 13)) == 1 and check(["NEEDLE77"], (3, 13)) > 0
+
+
+def test_layout_is_worked_out_once(spark):
+    offsets = payload.layout_offsets(payload.message_layout(test_reports.layout(spark), dims.message_families(spark)))
+    got = drilldown.transaction_detail(inbound(spark, sample(20)), outbound(spark, [call("10:00:00", "ATMD")]), offsets)
+    text = plan(got)
+    assert text.count("BroadcastHashJoin") == 2 and "Window" not in text and "Subquery" not in text and "SortMergeJoin" not in text
+
+
+def test_live_readings_read_both_legs_by_time(spark, clustered):
+    log = clustered.withColumns({"reg_ts": F.col("event_ts"), **{c: F.lit("x") for c in ("bsns_cd", "trx_cd", "resp_cd")}})
+    as_of = at("12:00:00")
+    calls = outbound(spark, [])
+    for want, got in (
+            (throughput(log, calls, as_of, 210, 10, ts="event_ts"), throughput(log, calls, as_of, 210, 10, ts="event_ts", live=True, settle=60)),
+            (dashboards.inbound_slots(log, as_of=as_of, minutes=5), dashboards.inbound_slots(log, as_of=as_of, minutes=5, settle=60))):
+        with settings(spark, {"spark.sql.maxMetadataStringLength": "2000"}):
+            text = plan(got)
+        scans = [s for s in text.split("\n") if "FileScan parquet" in s and "io_cd" in s]
+        assert scans and all("GreaterThanOrEqual(event_ts" in s and "LessThan" in s for s in scans)
+    day = log.where(F.col("trx_dt") == F.lit(date(2024, 3, 5)))
+    assert rows(throughput(day, calls, as_of, 210, 10, ts="event_ts", settle=60).select("direction", "tot")) == [("INC", 0), ("OUT", 0)]
+    inc = inbound(spark, [leg(io, t, "1", f"r{t}", resp="00" if io == "O" else None) for t in ("11:56:21", "11:56:25") for io in "IO"])
+    exact, bounded = (throughput(inc, calls, as_of, 210, 10, settle=s, live=s is not None) for s in (None, 60))
+    assert rows(exact) == rows(bounded) and exact.where("direction = 'INC'").first()["tot"] == 2
+
+
 def test_a_burst_of_one_instant_is_dealt_over_files(spark):
     path = work_dir(spark, "burst")
     burst = spark.range(40_000).select(F.lit(date(2024, 3, 5)).alias("trx_dt"), F.lit(str(at("10:00:00"))).cast("timestamp").alias("event_ts"),

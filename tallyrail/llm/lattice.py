@@ -7,8 +7,8 @@ product over its words and one end, which is an entry of its own.
 
 The vocabulary file gives the entries; it holds merge ranks and not probabilities, so those are estimated from the corpus by expectation and
 maximisation (`ROUNDS`, from even weights): forward and backward sums over the lattice of every distinct training word, times the word's count, give the
-expected count of every entry, and those, with `SMOOTHING` added, the next weights. All counts are over all training documents. The lattices are written once as
-numbers next to the words' counts; rounds and scoring work on many of them at a time and read no text again.
+expected count of every entry, and those, with `SMOOTHING` added, the next weights. All counts are over all training documents. Rounds and scoring work on the lattices of many
+distinct words at a time, as arrays, and read no text again.
 
 Texts are cut into words once: a task gathers documents into blocks of at most `BLOCK_WORDS` words (more only for one longer text), and
 writes each text as compressed numbers into its block's word list. Only word lists are shuffled, a word at most once per block, so a word
@@ -39,12 +39,12 @@ from tallyrail.llm.common import fold, small_batches, stored
 
 FOLDS = 10
 BLOCK_WORDS = 2_000_000
-ROUNDS, SMOOTHING = 4, 0.1
+ROUNDS, SMOOTHING = 3, 0.1
 MARK = "▁"
 OUT_ROWS = 1 << 16
-#: Words whose lattices are worked on at once, and arcs (more only for one longer word).
-TOGETHER, ARCS = 1 << 15, 1 << 20
-#: An arc as one number: its start from bit 40 on, its length in 8 bits, its entry in 32. From SPELLED on the entry is a character spelled by bytes.
+#: Words whose lattices are worked on at once, and their characters (more only for one longer word).
+TOGETHER, LETTERS = 1 << 15, 1 << 19
+#: From here on an arc's entry is a character that is spelled by bytes.
 SPELLED = 1 << 31
 
 BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()),
@@ -126,7 +126,10 @@ def counted_words(words: DataFrame) -> DataFrame:
 
 
 class Entries:
-    """The vocabulary: its entries that can be arcs, in a character trie, and the entries of bytes."""
+    """The vocabulary: its entries that can be arcs as a character trie in arrays, and the entries of bytes.
+
+    The trie's edges are the sorted numbers node << 32 | character; node 0 is the root.
+    """
 
     def __init__(self, path: str):
         model = _subwords(path)
@@ -134,15 +137,22 @@ class Entries:
         self.names = {i: model.id_to_piece(i) for i in usable}
         self.end = model.get_piece_size()  # a number of its own
         self.bytes = np.full(256, -1)
-        self.root: dict = {}
+        edges: dict[int, int] = {}
+        of_node = [-1]
         for i, name in self.names.items():
             if re.fullmatch("<0x[0-9A-F]{2}>", name):
                 self.bytes[int(name[3:5], 16)] = i
-            else:
-                node = self.root
-                for ch in name:
-                    node = node.setdefault(ch, {})
-                node[0] = i
+                continue
+            node = 0
+            for ch in name:
+                key = node << 32 | ord(ch)
+                node = edges.setdefault(key, len(of_node))
+                if node == len(of_node):
+                    of_node.append(-1)
+            of_node[node] = i
+        self.of_node = np.array(of_node)
+        self.edges = np.array(sorted(edges), np.int64)
+        self.children = np.array([edges[k] for k in self.edges.tolist()], np.int64)
 
     def even(self) -> np.ndarray:
         """Even log weights of all entries and the end; -inf for numbers that are neither."""
@@ -150,22 +160,6 @@ class Entries:
         out[[*self.names, self.end]] = -log(len(self.names) + 1)
         return out
 
-    def arcs(self, word: str) -> list[int]:
-        """The lattice of a word: every entry that spells a stretch of it, in the order of starts."""
-        line, root, out = MARK + word, self.root, []
-        size = len(line)
-        for i in range(size):
-            node, j, single = root.get(line[i]), i, False
-            while node is not None:
-                j += 1
-                if (entry := node.get(0)) is not None:
-                    single = single or j == i + 1
-                    out.append(i << 40 | (j - i) << 32 | entry)
-                node = node.get(line[j]) if j < size else None
-            if not single:
-                out.append(i << 40 | 1 << 32 | SPELLED + ord(line[i]))
-        return out
-
     def weights_of(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Log weights of arcs' entries; a spelled character has those of its bytes. A vocabulary without byte entries has the lowest weight for them."""
         spelled = entries >= SPELLED
@@ -184,38 +178,62 @@ def _utf8(entry: int) -> bytes:
 
 
 class Lattices:
-    """The lattices of many words as arrays of arcs, worked on start by start for all words at once."""
-
-    def __init__(self, flat: np.ndarray, counts: np.ndarray):
-        self.of = np.repeat(np.arange(len(counts)), counts)
-        start, length = flat >> 40, flat >> 32 & 255
-        size = np.maximum.reduceat(start + length, np.cumsum(counts) - counts) if len(counts) else np.zeros(0, np.int64)
-        self.base = np.cumsum(size + 1) - (size + 1)
-        self.last, self.cells = self.base + size, int((size + 1).sum())
-        order = np.argsort(start, kind="stable")  # within a start, words stay in order
-        self.of, start, length = self.of[order], start[order], length[order]
-        self.entry = flat[order] & 0xFFFFFFFF
-        self.source = self.base[self.of] + start
-        self.target = self.source + length
-        cuts = np.flatnonzero(np.diff(start)) + 1
-        self.steps = [slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)])] if len(start) else []
+    """The lattices of many words as arrays of arcs (`of` which word, `source`, `target`, `entry`), sorted by start and length.
+
+    Places are numbered word by word, one more than a word has characters with its mark. Arcs of one start and length never share a place.
+    """
+
+    def __init__(self, words: Sequence[str], entries: Entries):
+        codes = np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        self.base = begin + np.arange(len(words))
+        self.last, self.cells = self.base + size, len(codes) + len(words)
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)  # characters where an arc may begin, and how far its name was followed
+        room = (begin + size)[word] - at
+        arcs, single, length = [], np.zeros(len(codes), bool), 0
+        while len(at):
+            key = node << 32 | codes[at + length]
+            place = np.minimum(np.searchsorted(entries.edges, key), len(entries.edges) - 1)
+            known = entries.edges[place] == key
+            length += 1
+            at, node = at[known], entries.children[place[known]]
+            entry = entries.of_node[node]
+            ends = entry >= 0
+            arcs.append((at[ends], np.full(int(ends.sum()), length), entry[ends]))
+            if length == 1:
+                single[at[ends]] = True
+            on = room[at] > length
+            at, node = at[on], node[on]
+        alone = np.flatnonzero(~single)
+        arcs.append((alone, np.ones(len(alone), np.int64), SPELLED + codes[alone]))
+        at, length, entry = (np.concatenate(x) for x in zip(*arcs))
+        start = at - begin[word[at]]
+        key = start << 8 | np.minimum(length, 255)
+        order = np.argsort(key.astype(np.uint16) if key.max(initial=0) < 1 << 16 else key, kind="stable")
+        self.of, self.entry = word[at][order], entry[order]
+        self.source = (at + word[at])[order]
+        self.target = self.source + length[order]
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        self.steps = [slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)])] if len(order) else []
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """Natural log of the summed probability of all ways to every place; a word's last place has all its segmentations."""
         sums = np.full(self.cells, -np.inf)
         sums[self.base] = 0.0
         for step in self.steps:
-            target = self.target[step]  # a word's arcs of one start end at different places
+            target = self.target[step]
             sums[target] = np.logaddexp(sums[target], sums[self.source[step]] + weight[step])
         return sums
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
+        """The same from every place to the word's end."""
         sums = np.full(self.cells, -np.inf)
         sums[self.last] = 0.0
         for step in reversed(self.steps):
             source = self.source[step]
-            begins = np.flatnonzero(np.concatenate(([True], source[1:] != source[:-1])))
-            sums[source[begins]] = np.logaddexp.reduceat(sums[self.target[step]] + weight[step], begins)
+            sums[source] = np.logaddexp(sums[source], sums[self.target[step]] + weight[step])
         return sums
 
     def expected(self, weight: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
@@ -225,56 +243,56 @@ class Lattices:
         return np.exp(ahead[self.source] + weight + back[self.target] - total[self.of]) * n[self.of], float((n * total).sum())
 
 
+def _decoded(words: pa.ChunkedArray) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in words.to_pylist()]
+
+
+def _parts(words: list[str]) -> Iterator[slice]:
+    """Stretches of words with bounded lattices."""
+    at, letters = 0, 0
+    for i, word in enumerate(words):
+        letters += len(word) + 1
+        if letters >= LETTERS:
+            yield slice(at, i + 1)
+            at, letters = i + 1, 0
+    if at < len(words):
+        yield slice(at, len(words))
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held, words, arcs = [], 0, 0
+    held, rows = [], 0
     for batch in batches:
         held.append(batch)
-        words, arcs = words + batch.num_rows, arcs + len(batch.column(batch.schema.get_field_index("arcs")).flatten())
-        if words >= TOGETHER or arcs >= ARCS:
+        rows += batch.num_rows
+        if rows >= TOGETHER:
             yield pa.Table.from_batches(held)
-            held, words, arcs = [], 0, 0
+            held, rows = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _lattices(arcs: pa.ChunkedArray) -> Lattices:
-    whole = arcs.combine_chunks() if isinstance(arcs, pa.ChunkedArray) else arcs
-    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
-    return Lattices(whole.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), whole.value_lengths().to_numpy(zero_copy_only=False))
-
-
-def with_arcs(counted: DataFrame, path: str) -> DataFrame:
-    """`counted` with `arcs`: the lattice of each distinct word, at its first row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = Entries(path)
-        for batch in batches:
-            arcs = [entries.arcs(w.decode("utf-8", "replace")) if first else None
-                    for w, first in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arcs, pa.list_(pa.int64()))], names=[*batch.schema.names, "arcs"])
-    return counted.select("block", "place", "word", "n", "first").mapInArrow(
-        run, "block long, place int, word binary, n long, first boolean, arcs array<long>")
-
-
-def expected_counts(lattices: DataFrame, path: str, weights: np.ndarray) -> tuple[np.ndarray, float]:
+def expected_counts(counted: DataFrame, path: str, weights: np.ndarray) -> tuple[np.ndarray, float]:
     """(expected count of each entry, log likelihood of all training words); at most one row per entry and task is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, likelihood = Entries(path), 0.0
         out = np.zeros(entries.end + 1)
         for table in _gathered(batches):
-            tool = _lattices(table["arcs"])
-            passed, value = tool.expected(entries.weights_of(tool.entry, weights), table["n"].to_numpy().astype(float))
-            likelihood += value
-            spelled = tool.entry >= SPELLED
-            out += np.bincount(tool.entry[~spelled], passed[~spelled], len(out))
-            chars, where = np.unique(tool.entry[spelled], return_inverse=True)
-            for c, amount in zip(chars.tolist(), np.bincount(where, passed[spelled], len(chars)).tolist()):
-                for b in _utf8(c):
-                    if entries.bytes[b] >= 0:
-                        out[entries.bytes[b]] += amount
+            words, n = _decoded(table["word"]), table["n"].to_numpy().astype(float)
+            for part in _parts(words):
+                tool = Lattices(words[part], entries)
+                passed, value = tool.expected(entries.weights_of(tool.entry, weights), n[part])
+                likelihood += value
+                spelled = tool.entry >= SPELLED
+                out += np.bincount(tool.entry[~spelled], passed[~spelled], len(out))
+                chars, where = np.unique(tool.entry[spelled], return_inverse=True)
+                for c, amount in zip(chars.tolist(), np.bincount(where, passed[spelled], len(chars)).tolist()):
+                    for b in _utf8(c):
+                        if entries.bytes[b] >= 0:
+                            out[entries.bytes[b]] += amount
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_pydict({"entry": [-1, *some.tolist()], "amount": [likelihood, *out[some].tolist()]})
 
-    rows = lattices.filter("first AND n > 0").select("arcs", "n").mapInArrow(run, "entry long, amount double")
+    rows = counted.filter("first AND n > 0").select("word", "n").mapInArrow(run, "entry long, amount double")
     found = {r.entry: r.amount for r in rows.groupBy("entry").agg(F.sum("amount").alias("amount")).collect()}  # bounded by the vocabulary file
     out = np.zeros(len(weights))
     for entry, amount in found.items():
@@ -283,13 +301,13 @@ def expected_counts(lattices: DataFrame, path: str, weights: np.ndarray) -> tupl
     return out, found.get(-1, 0.0)
 
 
-def learned_weights(lattices: DataFrame, path: str, ends: int, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> tuple[np.ndarray, list[float]]:
+def learned_weights(counted: DataFrame, path: str, ends: int, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> tuple[np.ndarray, list[float]]:
     """(natural log probability of every entry and of the end, log likelihood of the training texts before each round)."""
     entries, likelihoods = Entries(path), []
     weights = entries.even()
     usable = np.isfinite(weights)
     for _ in range(rounds):
-        counts, likelihood = expected_counts(lattices, path, weights)
+        counts, likelihood = expected_counts(counted, path, weights)
         likelihoods.append(likelihood + ends * float(weights[entries.end]))
         counts[entries.end] = ends
         counts = np.where(usable, counts + smoothing, 0.0)
@@ -298,38 +316,41 @@ def learned_weights(lattices: DataFrame, path: str, ends: int, rounds: int = ROU
     return weights, likelihoods
 
 
-def scored_words(lattices: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
+def scored_words(counted: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
     """(in_block, place, n, model): log10 probability of every word of every block, worked out once per run of equal words.
 
-    A task may begin inside a run, whose first row another task has; it then makes that word's lattice itself.
+    A task may begin inside a run, whose first row another task has; it then works that word out itself.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, last, value = Entries(path), None, 0.0
 
-        def scores(arcs: Sequence) -> np.ndarray:
-            tool = _lattices(arcs)
-            return tool.forward(entries.weights_of(tool.entry, weights))[tool.last] / log(10)
+        def scores(words: list[str]) -> np.ndarray:
+            out = np.empty(len(words))
+            for part in _parts(words):
+                tool = Lattices(words[part], entries)
+                out[part] = tool.forward(entries.weights_of(tool.entry, weights))[tool.last] / log(10)
+            return out
         for table in _gathered(batches):
             words, first = table["word"], table["first"].to_numpy()
             firsts = np.flatnonzero(first)
             head = int(firsts[0]) if len(firsts) else len(first)
             if head and (word := words[0].as_py()) != last:
-                last, value = word, float(scores(pa.array([entries.arcs(word.decode("utf-8", "replace"))], pa.list_(pa.int64())))[0])
+                last, value = word, float(scores([word.decode("utf-8", "replace")])[0])
             model = np.full(len(first), value)
             if len(firsts):
-                found = scores(table["arcs"].filter(table["first"]))
+                found = scores(_decoded(words.filter(table["first"])))
                 model[head:] = np.repeat(found, np.diff(np.append(firsts, len(first))))
                 last, value = words[int(firsts[-1])].as_py(), float(found[-1])
             yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("block", "place", "n")), pa.array(model)],
                                              names=["in_block", "place", "n", "model"])
-    return lattices.select("block", "place", "word", "n", "first", "arcs").mapInArrow(run, "in_block long, place int, n long, model double")
+    return counted.select("block", "place", "word", "n", "first").mapInArrow(run, "in_block long, place int, n long, model double")
 
 
 def score(docs: DataFrame, subwords: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     both = stored(blocks(docs, doc_id, text), "blocks")
     words, texts = both.filter("word IS NOT NULL"), both.filter("text_words IS NOT NULL")
-    counted = stored(with_arcs(counted_words(words), subwords), "counted-words")
+    counted = stored(counted_words(words), "counted-words")
     in_words, distinct = counted.filter("first").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     ends = texts.filter("trained").count()
     total, distinct = in_words + ends, distinct + (ends > 0)

@@ -89,19 +89,31 @@ class WordIds(dict):
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(words):  # else a letter is no letter to the tokenizer: such words are encoded one by one
-            starts = [0, *ends[:-1].tolist()]
-            for word, a, b in zip(words, starts, ends.tolist()):
-                self[word] = ids[a:b].tobytes()
+            raw, places = ids.tobytes(), (4 * ends).tolist()
+            self.update(zip(words, map(raw.__getitem__, map(slice, [0, *places], places))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHED:
             self.clear()
         lists = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {self._simple(w) for w in set().union(*lists) if w not in self and len(w) <= CACHED_CHARS}
-        plain = sorted(w for w in new if w.isalpha() and w not in self)
-        for at in range(0, len(plain), BATCH):
-            self._learn(plain[at:at + BATCH])
-        return [b"".join(map(self.__getitem__, words)) for words in lists]
+        found = [list(map(self.get, words)) for words in lists]
+        missed = [None in ids for ids in found]
+        new = {w for words, ids, miss in zip(lists, found, missed) if miss for w, i in zip(words, ids) if i is None}
+        if new:
+            cores = {w: self._simple(w) for w in new if len(w) <= CACHED_CHARS}
+            unknown = {c for c in cores.values() if c not in self}
+            plain = [c for c in unknown if c.isalpha()]
+            for at in range(0, len(plain), BATCH):
+                self._learn(plain[at:at + BATCH])
+            rest = [c for c in unknown if c not in self]
+            for core, found_ids in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+                self[core] = np.array(found_ids.ids, dtype="<u4").tobytes()
+            for word, core in cores.items():
+                if core is not word:
+                    self[word] = self[core] + (self[word[len(core):]] if len(core) < len(word) else b"")
+            found = [[self[w] if i is None else i for w, i in zip(words, ids)] if miss else ids
+                     for words, ids, miss in zip(lists, found, missed)]
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=2)

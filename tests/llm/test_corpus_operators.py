@@ -203,8 +203,7 @@ def brute_forward(word, weights):
 
 def lattices_of(words):
     entries = lattice.Entries(PIECES)
-    arcs = [entries.arcs(w) for w in words]
-    return entries, lattice.Lattices(np.array([a for x in arcs for a in x], np.int64), np.array([len(x) for x in arcs]))
+    return entries, lattice.Lattices(words, entries)
 
 
 def random_weights(entries, seed=1):
@@ -262,7 +261,7 @@ def test_expected_counts_are_how_often_entries_are_passed():
 
 def test_weights_sum_to_one_and_the_likelihood_rises(spark):
     words = [(0, i, w.encode(), 5 * i + 1, True) for i, w in enumerate(WORDS)] + [(0, 99, b"never", 0, True)]
-    counted = lattice.with_arcs(spark.createDataFrame(words, "block long, place int, word binary, n long, first boolean"), PIECES)
+    counted = spark.createDataFrame(words, "block long, place int, word binary, n long, first boolean")
     weights, likelihoods = lattice.learned_weights(counted, PIECES, 7, rounds=6, smoothing=1e-9)
     assert np.exp(weights[np.isfinite(weights)]).sum() == pytest.approx(1)
     assert all(b > a for a, b in zip(likelihoods, likelihoods[1:]))
@@ -302,8 +301,8 @@ def test_lattice_scores(spark, monkeypatch):
         assert (r.n_tokens, r.n_known) == (len(words) + 1, sum(w in counts for w in words) + 1)
         assert r.base_score == pytest.approx(base, rel=1e-9) and -1e6 < r.score < 0
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
-    table = lattice.with_arcs(spark.createDataFrame([(0, 0, w.encode(), c, True) for w, c in counts.items()],
-                                                    "block long, place int, word binary, n long, first boolean"), PIECES)
+    table = spark.createDataFrame([(0, 0, w.encode(), c, True) for w, c in counts.items()],
+                                  "block long, place int, word binary, n long, first boolean")
     weights, likelihoods = lattice.learned_weights(table, PIECES, ends)
     assert all(b > a for a, b in zip(likelihoods, likelihoods[1:]))
     for doc_id in (7, 202, 203):

@@ -5,9 +5,12 @@ distances to 16 fixed reference fingerprints, packed into two integers. Distance
 within `bits` of each other differ by at most `bits` in every coordinate of their tables: pairs whose largest coordinate difference is
 greater are discarded, and survivors are verified by their exact distance.
 
-So that not all pairs meet, tables are looked up by blocks first: a fingerprint is cut into `blocks` runs of bits, and `bits` differing
-bits leave `blocks - bits` runs equal, so any linked pair agrees on one of the combinations of that many runs (exact, by the pigeonhole
-principle). Work is done on distinct fingerprints only; copies never meet each other.
+Pairs are never formed by comparing all: a fingerprint is looked up under the runs of bits that it is cut into (`bits` differing bits leave
+`blocks - bits` of the runs equal, so any linked pair agrees on one of the combinations of that many runs: exact, by the pigeonhole
+principle) and, in the same key, under a pivot coordinate in steps of `bits + 1`. Two coordinates that differ by `bits` at most lie in the same step
+or in neighbouring ones, so one side is looked up in its own step and the other in its own and the one below. Each combination uses
+another pivot. The coordinates that are not in the key then discard pairs, and `discards` counts how many each one does. Work is done on
+distinct fingerprints only; copies never meet each other.
 
 `keep` leaves one document of each component, for a pipeline.
 
@@ -19,7 +22,9 @@ names a component unless all its documents' ids are null. Empty tables give empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from tallyrail.llm.common import components, sized, small_batches, stored
 
 SHINGLE, SEED, BITS = 3, 42, 3
-BLOCKS = 6
+BLOCKS = 5
 PIVOTS = 16
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
@@ -86,36 +91,55 @@ def pivot_tables(fps: DataFrame) -> DataFrame:
     return fps.withColumns({"near": packed(signed[:PIVOTS // 2]), "far": packed(signed[PIVOTS // 2:])})
 
 
-def _largest_difference_within(bits: int) -> Column:
-    """Whether no coordinate of a's and b's pivot tables differs by more than `bits`."""
-    ok = F.lit(True)
-    for half in ("near", "far"):
-        for place in range(PIVOTS // 2):
-            a, b = (F.shiftright(F.col(f"{side}.{half}"), 8 * place).bitwiseAND(F.lit(127)) for side in "ab")
-            ok = ok & (F.abs(a - b) <= bits)
-    return ok
+def _coordinate(side: str, number: int) -> Column:
+    half, place = ("near", "far")[number * 2 // PIVOTS], number % (PIVOTS // 2)
+    return F.shiftright(F.col(f"{side}{half}"), 8 * place).bitwiseAND(F.lit(127))
 
 
-def block_keys(bits: int, blocks: int) -> Column:
-    """Array of (table, key): the fingerprint under every combination of `blocks - bits` runs of bits."""
+def _within(number: int, bits: int) -> Column:
+    """Whether a pivot's coordinates of a and b differ by at most `bits`."""
+    return F.abs(_coordinate("a.", number) - _coordinate("b.", number)) <= bits
+
+
+def index_keys(bits: int, blocks: int, below: bool) -> Column:
+    """Array of (table, key, step, below): the fingerprint under every combination of `blocks - bits` runs of bits and a step of that
+    combination's pivot. With `below` also under the step below its own, marked so."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     runs = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
     keys = []
     for n, chosen in enumerate(combinations(runs, blocks - bits)):
         mask = sum(chosen)
         mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")).alias("key")))
+        step = F.floor(_coordinate("", n % PIVOTS) / (bits + 1)).cast("int")
+        for shift in (0, 1) if below else (0,):
+            keys.append(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")).alias("key"),
+                                 (step - shift).alias("step"), F.lit(shift == 1).alias("below")))
     return F.array(*keys)
 
 
+def formed_pairs(fps: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs of distinct fingerprints that share a key, as `a` and `b` with their pivot tables; a pair can be formed by several tables."""
+    tables = stored(pivot_tables(fps), "pivot-tables")
+    a, b = (tables.select("*", F.explode(index_keys(bits, blocks, side == "b")).alias("k")).select("fp", "near", "far", "k.*").alias(side)
+            for side in "ab")
+    same = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step"))
+    # In the same step each pair is formed once by its order; of neighbouring steps the lower one is a's.
+    return a.join(b, same & (F.col("b.below") | (F.col("a.fp") < F.col("b.fp"))))
+
+
 def links(fps: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): distinct fingerprints `a` < `b` that differ in `bits` bits at most."""
-    tables = stored(pivot_tables(fps), "pivot-tables")
-    keyed = tables.select("*", F.explode(block_keys(bits, blocks)).alias("k")).select("fp", "near", "far", "k.table", "k.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-    close = _largest_difference_within(bits) & (_distance(F.col("a.fp"), F.col("b.fp")) <= bits)
-    return a.join(b, same & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    close = reduce(and_, [_within(i, bits) for i in range(PIVOTS)]) & (_distance(F.col("a.fp"), F.col("b.fp")) <= bits)
+    return formed_pairs(fps, bits, blocks).filter(close).select(
+        F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
+
+
+def discards(fps: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """One row: pairs `formed`, how many each pivot discards (`by_0`, ...), how many `any` discards, and pairs `linked`."""
+    within = [_within(i, bits) for i in range(PIVOTS)]
+    return formed_pairs(fps, bits, blocks).agg(
+        F.count("*").alias("formed"), *[F.count_if(~w).alias(f"by_{i}") for i, w in enumerate(within)],
+        F.count_if(~reduce(and_, within)).alias("any"), F.count_if(_distance(F.col("a.fp"), F.col("b.fp")) <= bits).alias("linked"))
 
 
 def _roots(fps: DataFrame, bits: int) -> DataFrame:

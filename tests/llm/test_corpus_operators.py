@@ -1,6 +1,7 @@
 """Operators over a whole corpus, and the pipeline, against brute force on small and odd tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -66,6 +67,23 @@ def test_links_are_exactly_those_within_three_bits(spark):
     assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1:] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
 
 
+def test_pivots_form_fewer_pairs_and_each_discards_some(spark):
+    """Fingerprints that agree on 30 bits, as those of one template do: all pairs share keys of blocks alone."""
+    rng = random.Random(2)
+    top = rng.getrandbits(30) << 34
+    fps = sorted({top | rng.getrandbits(34) for _ in range(700)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = simhash.discards(df).first()
+    edges = [64 * i // simhash.BLOCKS for i in range(simhash.BLOCKS + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    alone = sum(math.comb(n, 2) for x, y in itertools.combinations(masks, 2) for n in Counter(f & (x | y) for f in fps).values())
+    assert alone >= math.comb(700, 2) and 0 < got.formed < 0.9 * alone
+    assert all(got[f"by_{i}"] > 0 for i in range(simhash.PIVOTS)) and got["any"] > 0.95 * got.formed
+    links = simhash.links(df).count()
+    assert got.formed - got["any"] >= got.linked >= links
+
+
 def test_components_of_chains_stars_and_cliques(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(a, b) for a in range(900, 910) for b in range(a)

@@ -195,9 +195,19 @@ t0 AS (
            len(string_split(regexp_replace(shape, '^/', ''), '/')) > 3 THEN
            [array_to_string(string_split(regexp_replace(shape, '^/', ''), '/')[4:], '/')] ELSE [] END) END AS segments
   FROM r GROUP BY host, shape),{levels}
-pure AS (
-  SELECT host, template, (sum(blocked) + 2.0::DOUBLE) / (sum(labelled) + 4.0::DOUBLE) AS purity FROM t{urls.DEPTH} GROUP BY ALL)
-SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
+counts AS (
+  SELECT host, template, regexp_extract(host, '(?:[^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS top,
+         CAST(sum(blocked) AS DOUBLE) AS b, CAST(sum(labelled) AS DOUBLE) AS l FROM t{urls.DEPTH} GROUP BY ALL),
+by_host AS (SELECT host, sum(b) AS hb, sum(l) AS hl FROM counts GROUP BY host),
+by_domain AS (SELECT domain, sum(b) AS db, sum(l) AS dl FROM counts GROUP BY domain),
+by_top AS (SELECT top, sum(b) AS tb, sum(l) AS tl FROM counts GROUP BY top),
+q1 AS (
+  SELECT *, (tb - db + 4.0::DOUBLE * 0.5::DOUBLE) / (tl - dl + 4.0::DOUBLE) AS of_top
+  FROM counts JOIN by_host USING (host) JOIN by_domain USING (domain) JOIN by_top USING (top)),
+q2 AS (SELECT *, (db - hb + 4.0::DOUBLE * of_top) / (dl - hl + 4.0::DOUBLE) AS of_domain FROM q1),
+q3 AS (SELECT *, (hb - b + 4.0::DOUBLE * of_domain) / (hl - l + 4.0::DOUBLE) AS of_host FROM q2),
+pure AS (SELECT host, template, (b + 4.0::DOUBLE * of_host) / (l + 4.0::DOUBLE) AS purity FROM q3)
+SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
        t.template, purity
 FROM r JOIN t{urls.DEPTH} t ON t.host = r.host AND t.path = r.shape
 JOIN pure ON pure.host = t.host AND pure.template = t.template"""

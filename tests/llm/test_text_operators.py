@@ -419,6 +419,26 @@ def test_url_rules_and_templates(spark):
     assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_labels_reach_branches_without_any(spark):
+    """A host's blocked pages speak for its other ones, and less for its neighbours; hosts of another top level hear nothing."""
+    rows = [(i, f"http://a.shop.com/de/{i}") for i in range(40)] + [(100, "http://a.shop.com/en/x"), (101, "http://b.shop.com/en/x"),
+                                                                  (102, "http://c.net/de/1"), (103, "http://other.com/en/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    by = {r.page_id: r for r in urls.judge(pages, queries.URL_RULES, reject=0.9).collect()}
+    some = (40 + 4 * 0.5) / 44  # the labels count once, wherever they are first met
+    assert by[100].purity == pytest.approx(some) and by[101].purity == pytest.approx(some) and by[103].purity == pytest.approx(some)
+    assert by[0].purity == pytest.approx(some) and by[102].purity == 0.5
+    assert [by[i].verdict for i in (100, 101, 102, 103)] == ["block", "block", "allow", "block"]
+
+
+def test_url_held_out_figures(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = urls.held_out_figures(pages, queries.URL_RULES).first()
+    assert got.hits + got.misses > 40 and got.agreed + got.false_blocks > 100
+    assert got.hits >= 0.9 * (got.hits + got.false_blocks) and got.hits >= 0.25 * (got.hits + got.misses)
+    assert urls.held_out_figures(pages.limit(0), queries.URL_RULES).first().hits == 0
+
+
 def test_a_branch_that_differs_keeps_its_own_template(spark):
     counted = [("h.com", f"/{branch}/{{n}}", 100, 50, blocked) for branch, blocked in (("a", 50), ("b", 1), ("c", 2), ("d", 0))]
     tree = urls.templates(spark.createDataFrame(counted, "host string, path string, n long, labelled long, blocked long"))

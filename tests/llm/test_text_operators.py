@@ -111,6 +111,29 @@ def test_language_is_learned_from_all_of_a_text(spark):
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_language_of_the_given_documents_by_plain_zstandard_calls(spark):
+    """The registered query against compressing every piece of every text with every dictionary."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    dictionaries = langid.learn(docs)
+    got = {r.doc_id: r for r in queries.QUERIES["op3_language_id"](spark, SF).collect()}
+    tools = [zstandard.ZstdCompressor(level=langid.LEVEL, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(
+        content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for content in dictionaries.values()]
+    assert len(tools) > 1
+    for row in docs.select("doc_id", "text").collect():
+        letters = "".join(c if c.isalpha() else " " for c in (row.text or "").lower())
+        line = " ".join(letters.split()).encode()
+        want = ("und", 0.0)
+        if line:
+            sizes = [sum(len(t.compress(line[i:i + langid.PIECE])) for i in range(0, len(line), langid.PIECE)) for t in tools]
+            best = sizes.index(min(sizes))
+            want = list(dictionaries)[best], 1 - sizes[best] / min(s for i, s in enumerate(sizes) if i != best)
+        found = got[row.doc_id]
+        assert (found.lang_pred, found.score) == (want[0], pytest.approx(want[1], abs=1e-12)), row.doc_id
+        assert found.held_out == (zlib.crc32(str(row.doc_id).encode()) % 3 == 1) and found.rejected == (want[1] < langid.MARGIN)
+
+
 def check_packing(pieces, texts, limits, prompts=None):
     """Every id of every row in one piece, sequences gapless and inside all limits; returns the share of padding."""
     tokenizer = Tokenizer.from_file(TOKENIZER)

@@ -23,7 +23,7 @@ from tallyrail.operators.legs import KEYS_5, answers_to, approval_measures, pair
 from tallyrail.operators.spine import with_slot
 from tallyrail.schemas import literal_table
 from tallyrail.sources.readers import between
-from tallyrail.streaming import jobs, pairing
+from tallyrail.streaming import jobs, pairing, upserts
 
 COUNTS = T.StructType([
     T.StructField("window_start", T.TimestampType()), T.StructField("on_start", T.BooleanType()), T.StructField("switch_id", T.StringType()),
@@ -72,10 +72,22 @@ def kept_counts(spark: SparkSession, folder: str, width: int) -> tuple[DataFrame
         F.date_format(F.max("last_window") + F.make_dt_interval(secs=F.lit(width)), "yyyy-MM-dd HH:mm:ss")).first()[0]
     if end is None:
         return literal_table(spark, [], COUNTS), None
-    rows = spark.read.schema(COUNTS).option("recursiveFileLookup", "true").parquet(f"{folder}/data")
+    rows = upserts.versions(spark, folder, COUNTS).select(COUNTS.fieldNames())  # a window is written once, when it closes
     return rows.where(F.col("window_start") < instant(datetime.fromisoformat(end))), datetime.fromisoformat(end)
 
 
+def compact(spark: SparkSession, folder: str) -> int:
+    """Merge the batches' small tables into one, so that a reading opens few files however long the stream has run; gives the last batch merged.
+
+    Run it now and then, beside the stream if need be. Bounds of batches before the last merged one say nothing more and go as well.
+    """
+    upto = upserts.compact(spark, folder, COUNTS, ["window_start", "on_start", "switch_id"])
+    bounds = [n for n in upserts.numbers(spark, f"{folder}/closed", "batch_id") if n <= upto]
+    for number in bounds[:-1]:
+        upserts.remove(spark, f"{folder}/closed/batch_id={number}")
+    return upto
+
+
 def counted_log(log: DataFrame, start: datetime, end: datetime, inclusive: bool, step: int, keys: Sequence[str] = KEYS_5,
                 asked: Column | None = None, settle: int = 210) -> DataFrame:
     """Slot counts of the requests between two moments, from the log itself; both legs are read by time."""

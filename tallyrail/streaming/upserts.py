@@ -27,7 +27,7 @@ def run_upserts(stream: DataFrame, folder: str, every: str | None = None, state_
 
 def latest(spark: SparkSession, folder: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
     """The last version of every window written so far; one row per key."""
-    return _newest(_versions(spark, folder, schema), keys).select(schema.fieldNames())
+    return _newest(versions(spark, folder, schema), keys).select(schema.fieldNames())
 
 
 def compact(spark: SparkSession, folder: str, schema: T.StructType, keys: Sequence[str]) -> int:
@@ -36,30 +36,31 @@ def compact(spark: SparkSession, folder: str, schema: T.StructType, keys: Sequen
     The merged table is complete before anything is removed, and readers take the newest complete one with the batches after it; so it
     does not matter where a run is interrupted. Call it between batches, or beside the running query: new batches are left alone.
     """
-    upto = max(_numbers(spark, f"{folder}/data", "batch_id"), default=-1)
-    base = max(_numbers(spark, f"{folder}/base", "upto"), default=-1)
+    upto = max(numbers(spark, f"{folder}/data", "batch_id"), default=-1)
+    base = max(numbers(spark, f"{folder}/base", "upto"), default=-1)
     if upto <= base:
         return base
-    versions = _versions(spark, folder, schema).where(F.col("batch_id") <= upto)
-    _newest(versions, keys).write.mode("overwrite").parquet(f"{folder}/base/upto={upto}")
-    for number in _numbers(spark, f"{folder}/data", "batch_id"):
+    merged = versions(spark, folder, schema).where(F.col("batch_id") <= upto)
+    _newest(merged, keys).write.mode("overwrite").parquet(f"{folder}/base/upto={upto}")
+    for number in numbers(spark, f"{folder}/data", "batch_id"):
         if number <= upto:
-            _remove(spark, f"{folder}/data/batch_id={number}")
+            remove(spark, f"{folder}/data/batch_id={number}")
     if base >= 0:
-        _remove(spark, f"{folder}/base/upto={base}")
+        remove(spark, f"{folder}/base/upto={base}")
     return upto
 
 
-def _newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Map-side combine keeps one version per key and task, however often a window was written."""
-    values = [c for c in versions.columns if c not in keys]
-    return versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
-def _versions(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+def versions(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """All versions that are kept: the newest complete merged table and the batches after it."""
     versioned = T.StructType([*schema.fields, BATCH])
-    base = max(_numbers(spark, f"{folder}/base", "upto"), default=-1)
-    later = [n for n in _numbers(spark, f"{folder}/data", "batch_id") if n > base]
+    base = max(numbers(spark, f"{folder}/base", "upto"), default=-1)
+    later = [n for n in numbers(spark, f"{folder}/data", "batch_id") if n > base]
     out = spark.read.schema(versioned).parquet(f"{folder}/base/upto={base}") if base >= 0 else spark.createDataFrame([], versioned)
     if later:
         found = spark.read.schema(versioned).option("basePath", f"{folder}/data").parquet(*[f"{folder}/data/batch_id={n}" for n in later])
@@ -72,7 +73,7 @@ def _path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+def numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
     """The numbers of the complete tables `name`=N in a folder."""
     place, fs = _path(spark, folder)
     if not fs.exists(place):
@@ -82,6 +83,7 @@ def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
     return sorted(map(int, done))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder."""
     place, fs = _path(spark, path)
     fs.delete(place, True)

@@ -41,6 +41,11 @@ def test_live_readings_equal_the_batch_reading_at_every_poll(spark):
         counts.run_counts(requests(stream), responses(stream), folder, state_partitions=3).awaitTermination()
         log = spark.read.schema(schemas.INBOUND_LOG).parquet(source).cache()
         settled.append(counts.kept_counts(spark, folder, 10)[1])
+        if part == 1:  # readings go on over merged tables
+            before = rows(counts.kept_counts(spark, folder, 10)[0])
+            last = counts.compact(spark, folder)
+            assert upserts.numbers(spark, f"{folder}/data", "batch_id") == [] and len(upserts.numbers(spark, f"{folder}/closed", "batch_id")) == 1
+            assert rows(counts.kept_counts(spark, folder, 10)[0]) == before and len(before) > 50 and last >= 0
         for second in (0, 7, 295) if part == 2 else (130,):
             as_of = START + timedelta(minutes=25 * part + 19, seconds=second)
             seen = log.where(F.col("event_ts") <= F.lit(str(as_of)).cast("timestamp"))
@@ -102,15 +107,15 @@ def test_corrected_windows_are_versions_and_compact_to_one(spark):
     check()
     before = upserts.latest(spark, folder, schema, keys).count()
     # A repeated batch overwrites its own version.
-    last = max(upserts._numbers(spark, f"{folder}/data", "batch_id"))
+    last = max(upserts.numbers(spark, f"{folder}/data", "batch_id"))
     again = spark.read.schema(schema).parquet(f"{folder}/data/batch_id={last}")
     jobs.batch_writer(folder, lambda batch: batch)(spark.createDataFrame(again.collect(), schema), last)
     check()
-    assert upserts.compact(spark, folder, schema, keys) == last and upserts._numbers(spark, f"{folder}/data", "batch_id") == []
+    assert upserts.compact(spark, folder, schema, keys) == last and upserts.numbers(spark, f"{folder}/data", "batch_id") == []
     check()
     send(call("10:02:00", "FINN", resp="05"))
     check()
-    assert upserts.compact(spark, folder, schema, keys) > last and upserts._numbers(spark, f"{folder}/base", "upto")[:-1] == []
+    assert upserts.compact(spark, folder, schema, keys) > last and upserts.numbers(spark, f"{folder}/base", "upto")[:-1] == []
     check()
     assert upserts.latest(spark, folder, schema, keys).count() == before == 2
     assert upserts.compact(spark, work_dir(spark, "nothing"), schema, keys) == -1

@@ -336,7 +336,7 @@ def test_lattice_scores(spark, monkeypatch):
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
 
@@ -353,7 +353,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_all_queries_are_registered():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(driver.queries())
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tables import at, call, inbound, leg, outbound, rows
 from tallyrail import schemas
-from tallyrail.operators.legs import requests, responses
+from tallyrail.operators.legs import KEYS_3, requests, responses
 from tallyrail.session import work_dir
 from tallyrail.streaming import alerts, jobs, pairing, windows
 
@@ -47,6 +47,38 @@ def test_pairs_and_unanswered(spark):
         + [("late", "x", 1), ("odd", "x", 1)], key=repr)
 
 
+def reused_keys():
+    """Trace numbers without a reference number: one that comes every second, and odd ones about the settle time."""
+    asked = {"busy": range(0, 900), "edge": [0, 104, 105, 209, 210, 420], "alone": [5, 600], "back": [300]}
+    answered = {"busy": range(0, 900, 2), "edge": [210, 315, 631], "alone": [216, 810], "back": [299]}
+    return asked, answered
+
+
+def test_reused_keys_are_not_paired_response_by_response(spark):
+    asked, answered = reused_keys()
+    end = START + timedelta(days=1)
+    data = [leg("I", START + timedelta(seconds=s), k, f"q{s}") for k, v in asked.items() for s in v for _ in range(1 + (k == "edge"))]
+    data += [leg("O", START + timedelta(seconds=s), k, f"r{s}", resp="00" if s % 4 else "05") for k, v in answered.items() for s in v]
+    path = work_dir(spark, "reused")
+    for part in range(4):  # a batch each, in time order: the state of the batch before counts
+        some = [r for r in data if (r[1] - START).total_seconds() // 300 == part]
+        some += [leg(io, end, "marker", resp="00") for io in "IO"] if part == 3 else []
+        inbound(spark, some).coalesce(1).write.mode("append").parquet(path)
+    whole = stream(spark, inbound(spark, data + [leg(io, end, "marker", resp="00") for io in "IO"]))
+    parts = jobs.read_log_stream(spark, path, schemas.INBOUND_LOG, files_per_trigger=1)
+    second = (F.unix_seconds("request_ts") - F.unix_seconds(F.lit(str(START)).cast("timestamp"))).alias("q")
+    for log, name, settle in ((whole, "whole", 7), (whole, "same-second", 0), (parts, "parts", 210)):
+        near = {(k, q): [r for r in answered[k] if 0 <= r - q <= settle] for k, v in asked.items() for q in v}
+        want = {(k, q): (n * sum(r % 4 > 0 for r in found), n * len(found)) for (k, q), found in near.items() if found for n in [1 + (k == "edge")]}
+        got = jobs.replay(pairing.pair_stream(requests(log), responses(log), KEYS_3, settle=settle), name, state_partitions=2).cache()
+        sums = got.groupBy("trc_ad_no", second).agg(F.sum("approve"), F.sum("tot")).collect()
+        assert {(k, q): (approve, tot) for k, q, approve, tot in sums} == want
+        assert got.count() <= 3 * len(near)  # some rows per request second, not one for every response that it meets
+    missing = jobs.replay(pairing.unanswered_stream(requests(log), responses(log), KEYS_3), "missing", state_partitions=2)
+    assert rows(missing.select("trc_ad_no", second, "n_requests")) == sorted(
+        [(k, q, 1 + (k == "edge")) for (k, q), found in near.items() if not found], key=repr)
+
+
 def test_throughput_and_alerts(spark):
     log = stream(spark, inbound(spark, legs()))
     calls = stream(spark, outbound(spark, [call("10:00:03", "FINN"), call("10:00:09", "FINN", resp="05"),

@@ -1,10 +1,15 @@
+import itertools
+import json
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tables import at, call, inbound, leg, outbound, rows
 from tallyrail import schemas
 from tallyrail.operators.legs import KEYS_3, requests, responses
+from tallyrail.registry import QUERIES, stream_queries
+from tallyrail.registry import views as v
 from tallyrail.session import work_dir
 from tallyrail.streaming import alerts, jobs, pairing, windows
 
@@ -100,6 +105,44 @@ def test_throughput_and_alerts(spark):
     assert found.where("switch_id = 'ATMD' and tot = 0").count() > 0
 
 
+def events(spark, folder):
+    """Three days of events, of which a third come in one instant and some at no time, in files that are in no order of time."""
+    hot = START + timedelta(days=1)
+    times = [hot if i % 3 == 0 else None if i % 50 == 1 else START + timedelta(seconds=i * 7919 % 250_000, microseconds=i) for i in range(600)]
+    kinds = ("click", "error", "view", "purchase", "signup")
+    data = [(i, t, i % 4, kinds[i * 7 % 5], i / 2, f'{{"k": {i * 31 % 100}}}') for i, t in enumerate(times)]
+    spark.createDataFrame(data, v.TABLES["events"]).repartition(3).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def offsets(folder, name):
+    """The number and metadata of the last micro-batches of the job that ran in a folder of this name."""
+    found = sorted(folder.glob(f"{name}-*/checkpoint/offsets/[0-9]*"), key=lambda f: int(f.name))
+    return [(int(f.name), json.loads(f.read_text().split("\n")[1])) for f in found]
+
+
+@pytest.mark.parametrize("name, folder", [("slots_maintained", "counts")])
+def test_a_long_log_is_replayed_in_turns(spark, monkeypatch, tmp_path, name, folder):
+    sf, number = events(spark, tmp_path / "sf"), itertools.count()
+    whole = rows(QUERIES[name](spark, sf))
+    for module in (jobs, stream_queries):
+        monkeypatch.setattr(module, "work_dir", lambda spark, name: f"{tmp_path}/{name}-{next(number)}")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.unset(provider)
+    try:
+        monkeypatch.setattr(jobs, "TURN_ROWS", 25)  # of 600 rows, for 8 state partitions: three turns
+        assert rows(QUERIES[name](spark, sf)) == whole and whole
+        assert spark.conf.get(provider, None) is None
+    finally:
+        spark.conf.set(provider, before)
+    batches = offsets(tmp_path, folder)
+    marks = [b["batchWatermarkMs"] for _, b in batches]
+    # A turn's state is let go when the next comes, and is on disk until then.
+    assert batches[-1][0] >= 3 and marks == sorted(marks) and 0 < marks[-3] < marks[-2] < marks[-1]
+    assert all("RocksDB" in b["conf"][provider] for _, b in batches)
+
+
 def test_update_mode_ends_with_the_batch_counts(spark):
     calls = stream(spark, outbound(spark, [call("10:00:03", "FINN"), call("10:04:09", "FINN", resp="05"),
                                            call("10:05:00", "SWDK")]))

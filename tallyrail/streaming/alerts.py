@@ -15,6 +15,7 @@ from tallyrail.functions.rates import floor_pct
 from tallyrail.functions.timeaxis import instant, slot_label
 from tallyrail.operators.spine import on_spine
 from tallyrail.schemas import ALERT_RULE, literal_table
+from tallyrail.session import settings
 from tallyrail.streaming import jobs
 
 CLOSED = T.StructType([T.StructField("last_window", T.TimestampType())])
@@ -120,5 +121,7 @@ def replay_alerts(windows: DataFrame, name: str, rules: DataFrame, width: str,
     """`run_alerts` over a finite stream; its alerts as a table."""
     spark = windows.sparkSession
     folder = jobs.work_dir(spark, name)
-    run_alerts(windows, folder, rules, width, state_partitions=state_partitions).awaitTermination()
+    with settings(spark, jobs.REPLAY):
+        query = run_alerts(windows, folder, rules, width, state_partitions=state_partitions)
+    query.awaitTermination()
     return jobs.results(spark, folder, windows.select(ALERTS).schema)

@@ -121,7 +121,8 @@ def offsets(folder, name):
     return [(int(f.name), json.loads(f.read_text().split("\n")[1])) for f in found]
 
 
-@pytest.mark.parametrize("name, folder", [("slots_maintained", "counts")])
+@pytest.mark.parametrize("name, folder", [("stream_slots", "slots"), ("slots_maintained", "counts"), ("stream_alerts", "alerts"),
+                                          ("stream_unanswered", "unanswered")])
 def test_a_long_log_is_replayed_in_turns(spark, monkeypatch, tmp_path, name, folder):
     sf, number = events(spark, tmp_path / "sf"), itertools.count()
     whole = rows(QUERIES[name](spark, sf))
@@ -143,6 +144,16 @@ def test_a_long_log_is_replayed_in_turns(spark, monkeypatch, tmp_path, name, fol
     assert all("RocksDB" in b["conf"][provider] for _, b in batches)
 
 
+def test_a_store_without_times_of_files_gets_one_batch(spark, monkeypatch, tmp_path):
+    sf = events(spark, tmp_path / "sf")
+    whole = rows(QUERIES["stream_slots"](spark, sf))
+    monkeypatch.setattr(jobs, "work_dir", lambda spark, name: f"{tmp_path}/{name}-0")
+    monkeypatch.setattr(jobs, "_timed_by_name", lambda spark, folder: False)
+    monkeypatch.setattr(jobs, "TURN_ROWS", 25)
+    assert rows(QUERIES["stream_slots"](spark, sf)) == whole
+    assert dict(offsets(tmp_path, "slots"))[1]["batchWatermarkMs"] > (START + timedelta(days=3)).timestamp() * 1000
+
+
 def test_update_mode_ends_with_the_batch_counts(spark):
     calls = stream(spark, outbound(spark, [call("10:00:03", "FINN"), call("10:04:09", "FINN", resp="05"),
                                            call("10:05:00", "SWDK")]))
